@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratawise.llm import common, prefix_bpe, token_files
+from stratawise.llm import common, prefix_bpe, suffix_dedup, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, out)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove repeated passages of 20 words and more."""
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), depth=20)
+
+
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text by prefix tables."""
     return prefix_bpe.bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -28,6 +33,7 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op7_prefix_bpe": op7_prefix_bpe,
 }
 ORACLES: dict[str, str] = {}
