@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratawise.llm import common, prefix_bpe, suffix_dedup, token_files
+from stratawise.llm import common, prefix_bpe, secret_scan, suffix_dedup, token_files, weak_rules
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +31,22 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All secrets of every whole text."""
+    return secret_scan.find_secrets(documents(spark, sf_dir))
+
+
+def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics, the hard base rule and the posterior verdict of every document."""
+    judged, _ = weak_rules.judge(documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op7_prefix_bpe": op7_prefix_bpe,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_weak_rules": op9_weak_rules,
 }
 ORACLES: dict[str, str] = {}
