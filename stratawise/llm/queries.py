@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratawise.llm import common, prefix_bpe, secret_scan, suffix_dedup, token_files, weak_rules
+from stratawise.llm import common, pareto_mix, prefix_bpe, secret_scan, suffix_dedup, token_files, weak_rules
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), depth=20)
 
 
+def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents to the weights 5, 2, 1 of their sources."""
+    mixed = pareto_mix.mix_sizes(documents(spark, sf_dir))
+    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+
+
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text by prefix tables."""
     return prefix_bpe.bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -45,6 +52,7 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_pareto_mix": op6_pareto_mix,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_weak_rules": op9_weak_rules,
