@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratawise.llm import common, pareto_mix, prefix_bpe, secret_scan, suffix_dedup, token_files, weak_rules
+from stratawise.llm import common, pareto_mix, prefix_bpe, rule_quality, secret_scan, suffix_dedup, token_files, weak_rules
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), depth=20)
 
 
+def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text with the rule ensemble learnt from the labels."""
+    docs = documents(spark, sf_dir)
+    model = rule_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = rule_quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", rule_quality.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
+
 def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to the weights 5, 2, 1 of their sources."""
     mixed = pareto_mix.mix_sizes(documents(spark, sf_dir))
@@ -52,6 +60,7 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_rule_quality": op4_rule_quality,
     "op6_pareto_mix": op6_pareto_mix,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_secret_scan": op8_secret_scan,
