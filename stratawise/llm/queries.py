@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratawise.llm import common, pareto_mix, prefix_bpe, rule_quality, secret_scan, suffix_dedup, token_files, weak_rules
+from stratawise.llm import common, lsh_forest, pareto_mix, prefix_bpe, rule_quality, secret_scan, suffix_dedup, token_files, weak_rules
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", rule_quality.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at a Jaccard similarity of 0.8 over 5-word shingles."""
+    return lsh_forest.jaccard_join(documents(spark, sf_dir))
+
+
 def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to the weights 5, 2, 1 of their sources."""
     mixed = pareto_mix.mix_sizes(documents(spark, sf_dir))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_rule_quality": op4_rule_quality,
+    "op5_lsh_forest": op5_lsh_forest,
     "op6_pareto_mix": op6_pareto_mix,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_secret_scan": op8_secret_scan,
