@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratawise.llm import common, lsh_forest, pareto_mix, prefix_bpe, rule_quality, secret_scan, suffix_dedup, token_files, weak_rules
+from stratawise.llm import common, lsh_forest, pareto_mix, pii_crf, prefix_bpe, rule_quality, secret_scan, suffix_dedup, token_files, weak_rules
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, out)
 
 
+def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: base patterns and the CRF's additions."""
+    return pii_crf.find_pii(documents(spark, sf_dir))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove repeated passages of 20 words and more."""
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), depth=20)
@@ -64,6 +69,7 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_pii_crf": op2_pii_crf,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_rule_quality": op4_rule_quality,
     "op5_lsh_forest": op5_lsh_forest,
