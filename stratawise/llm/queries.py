@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratawise.llm import common, lsh_forest, pareto_mix, pii_crf, prefix_bpe, rule_quality, secret_scan, suffix_dedup, token_files, weak_rules
+from stratawise.llm import common, lsh_forest, media_chunks, pareto_mix, pii_crf, prefix_bpe, rule_quality, secret_scan, suffix_dedup, token_files, weak_rules
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,12 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
 
 
+def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every text as chunked media, read it back and compute its values."""
+    out = common.scratch(spark, "media")
+    return media_chunks.read_media(media_chunks.store_media(documents(spark, sf_dir), out), out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_pii_crf": op2_pii_crf,
@@ -77,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_weak_rules": op9_weak_rules,
+    "op10_media_chunks": op10_media_chunks,
 }
 ORACLES: dict[str, str] = {}
