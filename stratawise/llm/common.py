@@ -137,14 +137,17 @@ def text_units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     counts = np.diff(split.offsets.to_numpy()).astype(np.int64)
     words = coded.dictionary.to_pylist()
     starts = np.cumsum(counts) - counts
-    bare = np.zeros(len(codes), dtype=bool)  # pieces without a space before them
-    bare[starts[counts > 0]] = True
-    if "\n" in coded.dictionary.to_pylist():
-        at = np.flatnonzero(codes == words.index("\n"))
-        bare[at] = True
-        bare[at + 1] = True  # a plain text never ends with a newline
-    keys, codes = np.unique(codes * 2 + bare, return_inverse=True)
-    units = [words[k >> 1] if k & 1 else " " + words[k >> 1] for k in keys.tolist()]
+    codes *= 2  # odd: a piece without a space before it
+    codes[starts[counts > 0]] |= 1
+    newline = pc.index(coded.dictionary, "\n").as_py()
+    if newline >= 0:
+        at = np.flatnonzero(codes >> 1 == newline)
+        codes[at] |= 1
+        codes[at + 1] |= 1  # a plain text never ends with a newline
+    used = np.zeros(2 * len(words), dtype=bool)
+    used[codes] = True
+    units = [words[k >> 1] if k & 1 else " " + words[k >> 1] for k in np.flatnonzero(used).tolist()]
+    codes = (np.cumsum(used) - 1)[codes]
     if not careful.any():
         return units, codes, counts
     known = {u: i for i, u in enumerate(units)}
@@ -162,7 +165,7 @@ def text_units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 class UnitTable:
     """Token ids of units, kept between batches of one Python worker."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 800_000):
         self.encode, self.most = encode, most
         self._reset()
 

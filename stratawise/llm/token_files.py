@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,9 +32,52 @@ from pyspark.sql import functions as F
 
 from stratawise.llm.common import UnitTable, default_parallelism, doc_texts, ids_by_text, open_fs, publish, slices
 
+#: Marks that the byte-level pattern always parts from the letters before them.
+_MARKS = ".,;:!?*$%&#|"
+_LETTERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+
 _tables: dict[tuple[str, int], UnitTable] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level BPE writes for each byte."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    spare = iter(range(256, 512))
+    return [chr(b if b in plain else next(spare)) for b in range(256)]
+
+
+class _Encoder:
+    """Unit ids from a byte-level tokenizer: plain words straight from its merge model,
+    which skips the text pipeline, and all else through the whole tokenizer."""
+
+    def __init__(self, tokenizer, most: int = 400_000):
+        self.tokenizer, self.most, self.known = tokenizer, most, {}
+        self.letters = dict(enumerate(_byte_letters()))
+
+    def word(self, text: str) -> list[int]:
+        ids = self.known.get(text)
+        if ids is None:
+            ids = self.known[text] = [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+        return ids
+
+    def __call__(self, units: list[str]) -> list[list[int]]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        out, rest, word = [], [], self.word
+        for i, unit in enumerate(units):
+            core = unit.rstrip(_MARKS)
+            if _LETTERS(core):
+                out.append(word(core) + word(unit[len(core) :]) if len(core) < len(unit) else word(core))
+            else:
+                out.append([])
+                rest.append(i)
+        for a in range(0, len(rest), 20_000):
+            made = self.tokenizer.encode_batch_fast([units[i] for i in rest[a : a + 20_000]], add_special_tokens=False)
+            for i, e in zip(rest[a : a + 20_000], made, strict=True):
+                out[i] = e.ids
+        return out
+
+
 def tokenizer_table(path: str) -> UnitTable:
     """The unit table over a ``tokenizers`` file, one per Python worker."""
     if (path, 0) not in _tables:
@@ -43,10 +87,7 @@ def tokenizer_table(path: str) -> UnitTable:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-        def encode(units: list[str]) -> list[list[int]]:
-            return [e.ids for i in range(0, len(units), 20_000) for e in tokenizer.encode_batch_fast(units[i : i + 20_000], add_special_tokens=False)]
-
-        _tables[path, 0] = UnitTable(encode)
+        _tables[path, 0] = UnitTable(_Encoder(tokenizer))
     return _tables[path, 0]
 
 
