@@ -40,7 +40,7 @@ def singularize(value: Column) -> Column:
 
 
 #: The entities, in the order in which decoding replaces them.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&apos;", "'"))
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&apos;", "'"), ("&quot;", '"'))
 
 
 def decode_entities(value: Column) -> Column:
