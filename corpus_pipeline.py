@@ -24,13 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of each class whose id names the class; rows without an id stay."""
-    named = lsh_forest.jaccard_join(docs).where("class_id = doc_id").select(F.col("doc_id").alias("__id"))
+    named = lsh_forest.jaccard_join(docs).where("class_id = doc_id").select("doc_id")
+    kept = docs.join(named, "doc_id", "left_semi")
     # One row of an id that comes repeatedly: the one with the least text.
-    kept = docs.join(named, F.col("doc_id") == F.col("__id"), "left_semi")
-    twice = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    single = kept.join(twice, F.col("doc_id") == F.col("__id"), "left_anti")
-    repeated = kept.join(twice, F.col("doc_id") == F.col("__id"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("r")).select("r.*")
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    twice = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    single = kept.join(twice, "doc_id", "left_anti")
+    repeated = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("r")).select("r.*")
+    return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ a spanning forest, never pairs.  Verified forests give the classes.
 Shingles are 64-bit hashes.  A link is a pair at or above the threshold, copies
 included: ``n_links`` counts a document's linked documents.  Classes are connected
 components, named by their least doc_id.  Rows with a null doc_id stand alone with null
-class and no links; a repeated doc_id with different texts is one document with
-several sets, and its links are summed.
+class and no links; equal rows are one document; a repeated doc_id with different texts
+is one document with several sets, and its links are summed.
 """
 
 from __future__ import annotations
@@ -285,7 +285,7 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: in
     roots = components(checked.select(F.col("rep").alias("a"), F.col("near").alias("b")))
     named = classes.join(degree, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("s1", "s2", "copies", F.coalesce("root", "rep").alias("class_id"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    out = sets.where("doc_id is not null").join(named, ["s1", "s2"], "left").groupBy("doc_id").agg(
+    out = sets.where("doc_id is not null").select("doc_id", "s1", "s2").distinct().join(named, ["s1", "s2"], "left").groupBy("doc_id").agg(
         F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id"),
         F.sum(F.coalesce(F.col("degree") + F.col("copies") - 1, F.lit(0))).alias("n_links"),
         F.max(F.coalesce("copies", F.lit(1))).alias("n_copies"),
