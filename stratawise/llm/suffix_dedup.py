@@ -146,6 +146,8 @@ def _repeated_anchors(docs: DataFrame, depth: int, parts: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, depth: int = 20, group_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """The keyed documents, and the repeats of each: rows (did, th, runs), a run being
     (first window start, number of windows) as pairs of little-endian 32-bit integers."""
+    if depth < GRAM + 4:
+        raise ValueError(f"a window has at least {GRAM + 4} words")
     parts = default_parallelism(docs.sparkSession)
     keyed = _keyed(docs)
     found = checkpointed(_repeated_anchors(keyed, depth, parts))
@@ -161,7 +163,8 @@ def repeated_windows(docs: DataFrame, depth: int = 20, group_rows: int = 20_000)
             for piece in slices(batch, most=8_000_000):
                 yield from _suffixes(piece, depth, heavy)
 
-    rows = keyed.join(anchors, ["did", "th"]).select("did", "th", "text", "anchors").mapInArrow(suffixes, "route long, did long, th long, pos int, letters binary")
+    # The same columns as in the last join, so that both read one shuffle of the texts.
+    rows = keyed.join(anchors, ["did", "th"]).select("did", "no_id", "th", "text", "anchors").mapInArrow(suffixes, "route long, did long, th long, pos int, letters binary")
     runs = rows.repartition(parts, "route").mapInArrow(lambda batches: _subtrees(batches, depth), "did long, th long, runs binary")
     return keyed, runs.groupBy("did", "th").agg(F.collect_list("runs").alias("runs"))
 
@@ -189,7 +192,7 @@ def _suffixes(piece: pa.RecordBatch, depth: int, heavy: np.ndarray) -> Iterator[
         first = own[new]
         yield _batch(
             route=pa.array((window[new, 0] ^ (window[new, 1] * np.uint64(_MULTIPLIER))).view(np.int64)), did=pa.array(did[w.doc[first]]), th=pa.array(th[w.doc[first]]),
-            pos=pa.array(w.pos[first].astype(np.int32)), letters=_sliced(letters, first, np.ones(len(first), dtype=np.int64), depth),
+            pos=pa.array(w.pos[first].astype(np.int32)), letters=_whole(window[new]),
         )
         if repeat.any():
             yield from _run_rows(did[doc[repeat]], th[doc[repeat]], w.pos[own[repeat]])
@@ -238,6 +241,12 @@ def _sliced(letters: np.ndarray, first: np.ndarray, n: np.ndarray, depth: int) -
     return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(letters[where])])
 
 
+def _whole(window: np.ndarray) -> pa.Array:
+    """Single windows as their 16 bytes."""
+    offsets = np.arange(len(window) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(window), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(window.astype("<u8")))])
+
+
 def _run_rows(did: np.ndarray, th: np.ndarray, pos: np.ndarray, *, last: bool = False) -> Iterator[pa.RecordBatch]:
     """Window starts as runs, one row a document."""
     order = np.lexsort((pos, th, did))
@@ -274,11 +283,15 @@ def _subtrees(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Reco
     raw = table["letters"].chunk(0)
     offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64) // 4
     letters = np.frombuffer(raw.buffers()[2], dtype="<u4")
-    n = np.diff(offsets) - (depth - GRAM)
+    single = np.diff(offsets) == 4  # one window as such; rows of letters are longer
+    n = np.where(single, 1, np.diff(offsets) - (depth - GRAM))
     ends = np.cumsum(n)
     row = np.repeat(np.arange(len(n)), n)
     step = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
-    window = _joined(letters, offsets[row] + step, depth)
+    lone = single[row]
+    window = np.empty((len(row), 2), dtype=np.uint64)
+    window[~lone] = _joined(letters, (offsets[row] + step)[~lone], depth)
+    window[lone] = letters[(offsets[:-1][single][:, None] + np.arange(4)).reshape(-1)].view("<u8").reshape(-1, 2)
     did, th, pos = table["did"].to_numpy()[row], table["th"].to_numpy()[row], table["pos"].to_numpy()[row].astype(np.int64) + step
     order = np.lexsort((pos, th, did, window[:, 1], window[:, 0]))
     did, th, pos = did[order], th[order], pos[order]
