@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 
 def with_ancestors(edges: DataFrame, node: str, parent: str, most: int = 10) -> DataFrame:
-    """(node, ancestor, distance) up to ``most`` hops, by doubling the reach of each round,
-    so ten hops take four joins; cycles end at the bound."""
-    reach = edges.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance")).distinct()
-    hops = 1
-    while hops < most:
-        up = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__top"), F.col("distance").alias("__d"))
-        longer = reach.join(up, "ancestor").select("node", F.col("__top").alias("ancestor"), (F.col("distance") + F.col("__d")).alias("distance")).where(F.col("distance") <= most)
-        reach = reach.union(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
-        hops *= 2
-    return reach
+    """(node, ancestor, distance) up to ``most`` hops; cycles end at the bound.
+
+    A row carries its chain as an array and each hop is one join of the chain's top with
+    the edges, so the plan grows with the hops and reads each side once a hop."""
+    own = edges.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("top")).distinct()
+    up = own.select(F.col("node").alias("top"), F.col("top").alias("next"))
+    reach = own.withColumn("chain", F.array("top"))
+    for _ in range(most - 1):
+        reach = reach.join(up, "top", "left").select("node", F.col("next").alias("top"), F.when(F.col("next").isNotNull(), F.array_append("chain", F.col("next"))).otherwise(F.col("chain")).alias("chain"))
+    hops = reach.select("node", F.posexplode("chain").alias("at", "ancestor"))
+    return hops.groupBy("node", "ancestor").agg((F.min("at") + 1).alias("distance"))
 
 
 def tree(nodes: DataFrame, node: str, parent: str, seeds: DataFrame, most: int = 10) -> DataFrame:
