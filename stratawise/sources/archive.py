@@ -23,9 +23,9 @@ MOST_FILES, MOST_TABLE, DELETED = 1_000_000, 128 << 20, 0x0000BEEFDEADBEEF
 METHODS = {0: "none", 1: "zlib", 2: "lz4"}
 
 
-def lz4_decode(data: bytes, size: int) -> bytes:
-    """One LZ4 block."""
-    out, i = bytearray(), 0
+def lz4_decode(data: bytes, size: int | None, before: bytes = b"") -> bytes:
+    """One LZ4 block of ``size`` bytes (None: any); it may copy from what stands before it."""
+    out, i = bytearray(before), 0
     while i < len(data):
         token = data[i]
         i += 1
@@ -54,9 +54,9 @@ def lz4_decode(data: bytes, size: int) -> bytes:
         start = len(out) - back
         for k in range(n):
             out.append(out[start + k])
-    if len(out) != size:
-        raise ValueError(f"{len(out)} bytes where {size} were said")
-    return bytes(out)
+    if size is not None and len(out) - len(before) != size:
+        raise ValueError(f"{len(out) - len(before)} bytes where {size} were said")
+    return bytes(out[len(before) :])
 
 
 def lz4_encode(data: bytes) -> bytes:
