@@ -1,11 +1,12 @@
 """Quality rules under weak supervision, all in DataFrame functions.
 
-Each rule votes good, bad or abstains on a document from its whole text.  Rules
-are noisy judges: expectation-maximisation over the counts of vote patterns (at
-most 3 to the number of rules, whatever the number of documents) estimates each
-rule's accuracy and the share of good documents, and a document is kept when its
-posterior probability of being good is at least one half.  The posterior is a sum
-of log weights, compiled to one Column expression.
+Each rule votes good, bad or abstains on a document from its whole text; most rules
+know only one kind of fault, so they vote bad or abstain.  Rules are noisy judges:
+expectation-maximisation over the counts of vote patterns (at most 3 to the number of
+rules, whatever the number of documents) estimates the share of good documents and how
+often each rule's votes are right, and a document is kept when its posterior
+probability of being good is at least one half.  An abstention says nothing.  The
+posterior is a sum of log weights, compiled to one Column expression.
 
 Words are runs of characters other than space and \\t..\\r.  A null text has no
 words.  A hard base rule (too few words, or too many of them in repeated 5-word
@@ -36,16 +37,17 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    n, c = F.col("n_words"), F.col
+    n, c, never = F.col("n_words"), F.col, F.lit(False)
     return [
-        Rule("length", n < 10, n >= 30),
-        Rule("word_length", (c("word_chars") < 2 * n) | (c("word_chars") > 15 * n), (c("word_chars") >= 3 * n) & (c("word_chars") <= 12 * n)),
-        Rule("symbols", c("n_symbols") * 10 > n, c("n_symbols") * 100 <= n),
-        Rule("shouting", c("n_upper") * 2 > c("n_letters"), c("n_upper") * 5 <= c("n_letters")),
-        Rule("marks", c("n_marks") * 3 > n, c("n_marks") * 20 <= n),
-        Rule("repeats", c("n_repeat_words") * 5 > n, c("n_repeat_words") * 10 <= n),
-        Rule("lines", c("n_dup_lines") * 3 > c("n_lines"), c("n_dup_lines") * 10 <= c("n_lines")),
-        Rule("variety", c("n_distinct") * 4 < n, c("n_distinct") * 3 >= n),
+        Rule("length", n < 10, never),
+        Rule("word_length", (c("word_chars") < 2 * n) | (c("word_chars") > 15 * n), never),
+        Rule("symbols", c("n_symbols") * 10 > n, never),
+        Rule("shouting", c("n_upper") * 2 > c("n_letters"), never),
+        Rule("marks", c("n_marks") * 3 > n, never),
+        Rule("repeats", c("n_repeat_words") * 5 > n, never),
+        Rule("lines", c("n_dup_lines") * 3 > c("n_lines"), never),
+        Rule("variety", c("n_distinct") * c("n_distinct") < n, never),
+        Rule("sentences", (n >= 50) & (c("n_stops") == 0), (n >= 10) & (c("n_stops") * 40 >= n) & (c("n_stops") * 2 <= n)),
     ]
 
 
@@ -88,49 +90,59 @@ def statistics(docs: DataFrame) -> DataFrame:
         _count(F.col("text"), r"[^\p{Lu}]+").alias("n_upper"),
         _count(F.col("text"), r"[^\p{L}]+").alias("n_letters"),
         _count(F.col("text"), r"[^!?]+").alias("n_marks"),
+        _count(F.col("text"), r"[^.,]+").alias("n_stops"),
     )
 
 
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Share of good documents; for each rule P(vote | good) and P(vote | bad), votes in order bad, abstain, good."""
+    """Share of good documents, and for each rule the share among those it votes bad and votes good on."""
 
     share: float
-    good: tuple[tuple[float, float, float], ...]
-    bad: tuple[tuple[float, float, float], ...]
+    bad: tuple[float, ...]
+    good: tuple[float, ...]
+
+    def weights(self) -> list[tuple[float, float]]:
+        """Log-odds that a bad and a good vote of each rule add to those of the share."""
+        base = _logit(self.share)
+        return [(_logit(b) - base, _logit(g) - base) for b, g in zip(self.bad, self.good, strict=True)]
 
     def log_odds(self, votes: tuple[int, ...]) -> float:
-        return math.log(self.share / (1 - self.share)) + sum(math.log(g[v + 1] / b[v + 1]) for v, g, b in zip(votes, self.good, self.bad, strict=True))
+        return _logit(self.share) + sum((b if v < 0 else g) if v else 0.0 for v, (b, g) in zip(votes, self.weights(), strict=True))
+
+
+#: Before any data: the share of good documents, overall and under a bad and a good vote.
+PRIOR = (0.85, 0.05, 0.93)
 
 
-def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 50, smoothing: float = 1.0) -> Model:
-    """EM from a prior in which votes are mostly right; abstaining says nothing.
+def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 50, strength: float = 0.5) -> Model:
+    """EM from a prior in which votes are mostly right.
 
-    Smoothing by a few pseudo-votes of the prior keeps every probability above zero,
-    and a rule never counts against its own sense.
+    Half as many prior votes stand beside each rule's own, so a rule that no other ever
+    meets keeps its prior, while rules that meet correct each other; and a rule never
+    counts against its own sense.  Documents without a vote say nothing about the share,
+    so it is estimated beside as many prior documents and stays above one half: where all
+    rules abstain, a document is kept.
     """
-    prior_good, prior_bad = (0.05, 0.15, 0.80), (0.60, 0.20, 0.20)
-    model = Model(0.85, (prior_good,) * n_rules, (prior_bad,) * n_rules)
-    items = sorted(patterns.items())
-    total = sum(patterns.values())
+    share, prior_bad, prior_good = PRIOR
+    model = Model(share, (prior_bad,) * n_rules, (prior_good,) * n_rules)
+    items, total = sorted(patterns.items()), sum(patterns.values())
     for _ in range(rounds if total else 0):
         weight = [n / (1 + math.exp(-max(-60.0, min(60.0, model.log_odds(v))))) for v, n in items]
-        w = sum(weight)
-        share = (w + 8.5 * smoothing) / (total + 10 * smoothing)
-        good, bad = [], []
+        share = min(max((sum(weight) + total * PRIOR[0]) / (2 * total), 0.55), 0.98)
+        bad, good = [], []
         for j in range(n_rules):
-            g = [10 * smoothing * p for p in prior_good]
-            b = [10 * smoothing * p for p in prior_bad]
-            for (v, n), x in zip(items, weight, strict=True):
-                g[v[j] + 1] += x
-                b[v[j] + 1] += n - x
-            g, b = [x / sum(g) for x in g], [x / sum(b) for x in b]
-            if g[0] / b[0] > 1 or g[2] / b[2] < 1:  # a rule that turned against its sense says nothing
-                both = [(x + y) / 2 for x, y in zip(g, b, strict=True)]
-                g, b = both, both
-            good.append(tuple(g))
-            bad.append(tuple(b))
-        model = Model(min(share, 1 - 1e-9), tuple(good), tuple(bad))
+            for sign, prior, out in ((-1, prior_bad, bad), (1, prior_good, good)):
+                cast = sum(n for v, n in items if v[j] == sign)
+                own = sum(w for (v, _), w in zip(items, weight, strict=True) if v[j] == sign)
+                k = max(10.0, strength * cast)
+                p = min(max((own + k * prior) / (cast + k), 1e-4), 1 - 1e-4)
+                out.append(min(p, share) if sign < 0 else max(p, share))
+        model = Model(share, tuple(bad), tuple(good))
     return model
 
 
@@ -146,10 +158,9 @@ def judge(docs: DataFrame) -> tuple[DataFrame, Model]:
     seen = counts.select(*votes).groupBy(*[f"vote_{r.name}" for r in own]).count()
     model = fit({tuple(int(x) for x in r[:-1]): r[-1] for r in seen.collect()}, len(own))
     # Rounded so that the order of additions can't decide a document.
-    odds = F.lit(math.log(model.share / (1 - model.share)))
-    for r, g, b in zip(own, model.good, model.bad, strict=True):
-        bad, none, good = (math.log(x / y) for x, y in zip(g, b, strict=True))
-        odds = odds + F.when(r.bad, bad).when(r.good, good).otherwise(none)
+    odds = F.lit(_logit(model.share))
+    for r, (bad, good) in zip(own, model.weights(), strict=True):
+        odds = odds + F.when(r.bad, bad).when(r.good, good).otherwise(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = counts.withColumn("probability", F.round(1 / (1 + F.exp(-odds)), 9)).withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= 0.5)), model

@@ -216,19 +216,20 @@ def test_weak_rules_statistics(docs, table, empty):
     assert "Python" not in plan and "MapInArrow" not in plan
 
 
-def test_weak_rules_em_finds_accuracies():
+def test_weak_rules_em_weighs_rules():
     import random
 
-    rng = random.Random(1)
-    accuracy, patterns = [0.95, 0.9, 0.8, 0.7], Counter()
-    for _ in range(4000):
-        good = rng.random() < 0.8
-        patterns[tuple((1 if good else -1) * (1 if rng.random() < a else -1) for a in accuracy)] += 1
+    rng, patterns = random.Random(1), Counter()
+    for _ in range(5000):
+        good = rng.random() < 0.85
+        fires = [rng.random() < (0.002 if good else 0.7) for _ in range(2)] + [rng.random() < 0.03]
+        patterns[(*(-1 if f else 0 for f in fires), 1 if good and rng.random() < 0.9 else 0)] += 1
     model = weak_rules.fit(dict(patterns), 4)
-    assert abs(model.share - 0.8) < 0.05
-    right = [0.8 * g[2] + 0.2 * b[0] for g, b in zip(model.good, model.bad, strict=True)]
-    assert right[0] > right[2] > right[3]
-    assert model.log_odds((1, 1, 1, 1)) > 0 > model.log_odds((-1, -1, -1, -1))
+    assert 0.7 < model.share < 0.98
+    assert max(model.bad[:2]) < model.bad[2]  # the rule that fires at random meets good votes and loses weight
+    assert model.log_odds((0, 0, 0, 1)) >= model.log_odds((0, 0, 0, 0)) > 0 > model.log_odds((-1, 0, 0, 1)) > model.log_odds((-1, -1, 0, 1))
+    alone = weak_rules.fit({(0, 0): 900, (-1, 0): 50, (0, -1): 50}, 2)
+    assert alone.log_odds((-1, 0)) < 0 < alone.log_odds((0, 0))  # rules that never meet keep their prior
 
 
 def test_media(spark, docs, table, empty):
