@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratawise.functions import fuzzy, text, values
-from stratawise.operators import aggregate, diff, hierarchy, integrity, lint, lookup, precedence, staging
+from stratawise.operators import aggregate, diff, hierarchy, integrity, lint, lookup, options, packaging, precedence, staging, validate
 from stratawise.session import table
-from stratawise.sources import stats_text
+from stratawise.sources import binary_tree, loca, stats_text, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -582,3 +582,153 @@ def stats_value_lists(spark: SparkSession, d: str) -> DataFrame:
     docs = aggregate.concatenated(table(spark, d, "nation").withColumn("content", body), ["n_regionkey"], "n_name", "content")
     out = stats_text.value_lists(docs.select(c("n_regionkey").cast("string").alias("path"), c("content").alias("text")))
     return out.select(c("path").cast("int").alias("n_regionkey"), "list_key", "index", "value")
+
+
+# --- further operators -----------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_orderkey % 2 = 0)""")
+def overlay_tombstones(spark: SparkSession, d: str) -> DataFrame:
+    base = table(spark, d, "orders").select("o_orderkey", c("o_orderstatus").alias("status"))
+    over = base.where("o_orderkey % 5 = 0").withColumns({"status": F.lit("X"), "gone": c("o_orderkey") % 2 == 0})
+    return precedence.overlay_tombstones(base, over, ["o_orderkey"], "gone")
+
+
+@query("""
+SELECT n_nationkey AS id, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 'supplier' WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN 'customer' ELSE 'nation' END AS winner FROM nation""")
+def last_wins_union(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "nation").select(c("n_nationkey").alias("id"))
+    a = table(spark, d, "customer").select(c("c_nationkey").alias("id")).join(own, "id", "left_semi")
+    b = table(spark, d, "supplier").select(c("s_nationkey").alias("id")).join(own, "id", "left_semi")
+    return precedence.last_wins(precedence.ranked_union([("nation", own), ("customer", a), ("supplier", b)], tag="winner"), ["id"], ["_rank"]).select("id", "winner")
+
+
+@query("""
+SELECT o_orderpriority AS section, count(*) AS entries, count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)) AS lost,
+  CAST(round(100.0 * count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)) / count(*)) AS INT) AS fidelity FROM orders GROUP BY 1""")
+def round_trip_fidelity(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by priority, and those that come back with a large line."""
+    own = table(spark, d, "orders").select(c("o_orderpriority").alias("section"), c("o_orderkey").alias("entry"))
+    back = table(spark, d, "lineitem").where("l_quantity > 45").select(c("l_orderkey").alias("entry")).distinct().join(own, "entry")
+    return diff.round_trip(own, back, "section", "entry")
+
+
+@query("""
+SELECT event_type AS module, count(*) AS rows, count(DISTINCT user_id) AS files, round(count(*) / count(DISTINCT user_id), 2) AS average FROM events GROUP BY 1""")
+def source_summary(spark: SparkSession, d: str) -> DataFrame:
+    return aggregate.source_summary(table(spark, d, "events").withColumnRenamed("event_type", "module"), "module", "user_id")
+
+
+@query("""
+WITH u AS (SELECT 0 AS r, 'package' AS source, CAST(s_suppkey AS VARCHAR) AS id, s_name AS label FROM supplier WHERE s_suppkey % 2 = 0
+           UNION ALL SELECT 1, 'baseline', CAST(s_suppkey AS VARCHAR), 'old ' || s_name FROM supplier UNION ALL SELECT 2, 'other0', CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END FROM customer)
+SELECT id, coalesce(nullif(label, ''), 'Unnamed') AS label, source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r) AS k FROM u) WHERE k = 1""")
+def section_options(spark: SparkSession, d: str) -> DataFrame:
+    sup = table(spark, d, "supplier").select(c("s_suppkey").cast("string").alias("id"), c("s_name").alias("label"))
+    cust = table(spark, d, "customer").select(c("c_custkey").cast("string").alias("id"), F.when(c("c_custkey") % 9 == 0, "").otherwise(c("c_name")).alias("label"))
+    return options.section_options(sup.where("CAST(id AS int) % 2 = 0"), sup.withColumn("label", F.concat(F.lit("old "), "label")), [cust])
+
+
+@query("""
+SELECT n_name AS name, 'vanilla' AS layer FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT lower(n_name), 'group' FROM nation WHERE n_nationkey % 4 = 0 AND n_nationkey % 3 <> 0""")
+def cost_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """Names overlaid without regard to case; a deleted row of a later layer removes its name."""
+    base = table(spark, d, "nation").select(c("n_name").alias("name"), "n_nationkey")
+    over = base.where("n_nationkey % 4 = 0").select(F.lower("name").alias("name"), "n_nationkey", F.when(c("n_nationkey") % 3 == 0, 1).otherwise(0).alias("_is_deleted"))
+    return options.cost_options(base, over.where("false"), over).select("name", "layer")
+
+
+@query("""
+WITH f AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Public/M/Lists/L' || p_partkey || '.SpellLists.lsx' WHEN 1 THEN 'Public/M/RootTemplates/' || p_partkey || '.lsf' WHEN 2 THEN 'a/' || p_partkey || '.lsf.lsf' ELSE 'a/MultiEffectInfos/x/' || p_partkey || '.lsx' END AS path FROM part)
+SELECT path, CASE p_partkey % 4 WHEN 0 THEN 'Public/M/Lists/SpellLists.lsx' WHEN 1 THEN 'Public/M/RootTemplates/_merged.lsf' WHEN 2 THEN 'a/' || p_partkey || '.lsf' ELSE 'a/MultiEffectInfos/' || p_partkey || '.lsx' END AS target,
+  CASE p_partkey % 4 WHEN 0 THEN 'regions' WHEN 1 THEN 'templates' WHEN 2 THEN 'extension' ELSE 'effects' END AS rule FROM f""")
+def packaging_rewrites(spark: SparkSession, d: str) -> DataFrame:
+    k, m = c("p_partkey").cast("string"), c("p_partkey") % 4
+    path = F.when(m == 0, F.concat(F.lit("Public/M/Lists/L"), k, F.lit(".SpellLists.lsx"))).when(m == 1, F.concat(F.lit("Public/M/RootTemplates/"), k, F.lit(".lsf"))).when(m == 2, F.concat(F.lit("a/"), k, F.lit(".lsf.lsf"))).otherwise(F.concat(F.lit("a/MultiEffectInfos/x/"), k, F.lit(".lsx")))
+    return packaging.rewrites(table(spark, d, "part").select(path.alias("path")))
+
+
+@query("""
+WITH k AS (SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderstatus AS section FROM orders), g AS (SELECT key, count(*) AS n, count(DISTINCT section) AS s FROM k GROUP BY 1)
+SELECT 'not a guid' AS problem, count(*) AS n FROM k UNION ALL SELECT 'repeated in its section', count(*) FROM g WHERE n > s HAVING count(*) > 0 UNION ALL SELECT 'also in another section', count(*) FROM g WHERE s > 1 HAVING count(*) > 0""")
+def entry_validation(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "orders").select(c("o_custkey").cast("string").alias("k"), "o_orderstatus")
+    return validate.entries(own, "k", "o_orderstatus").groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH h AS (SELECT r_name AS node, lower(r_name) LIKE '%am%' AS m, r_name AS r FROM region UNION ALL SELECT r_name || '/' || n_name, lower(n_name) LIKE '%am%', r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT node, m AS matched FROM h WHERE m OR (node = r AND r IN (SELECT r FROM h WHERE m)) OR (node <> r AND r IN (SELECT r FROM h WHERE node = r AND m) AND r NOT IN (SELECT r FROM h WHERE node <> r AND m))""")
+def tree_search(spark: SparkSession, d: str) -> DataFrame:
+    """Regions and nations as a tree: names with "am", their ancestors, and all below a matching folder without a matching child."""
+    both = table(spark, d, "nation").join(table(spark, d, "region"), c("n_regionkey") == c("r_regionkey"))
+    return lookup.search_tree(both.select(F.concat_ws("/", "r_name", "n_name").alias("path")), "am")
+
+
+@query("""
+SELECT p_brand AS path, p_name || ' ' || p_partkey AS name, 'Part' AS type, p_type AS kind, CAST(p_size AS VARCHAR) AS size FROM part""")
+def stats_entries_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Stats texts, one a brand, rendered from parts and read back."""
+    block = F.concat(F.lit('new entry "'), c("p_name"), F.lit(" "), c("p_partkey").cast("string"), F.lit('"\ntype "Part"\ndata "Kind" "'), c("p_type"), F.lit('"\ndata "Size" "0"\ndata "Size" "'), c("p_size").cast("string"), F.lit('"\n'))
+    files = aggregate.concatenated(table(spark, d, "part").withColumn("text", block), ["p_brand"], "p_partkey", "text")
+    out = stats_text.entries(files.select(c("p_brand").alias("path"), "text"))
+    return out.select("path", "name", "type", F.element_at("data", "Kind").alias("kind"), F.element_at("data", "Size").alias("size"))
+
+
+@query("""
+SELECT 'h' || doc_id AS contentuid, CAST(CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END AS BIGINT) AS version, source || ' <' || lang || '> & "x"' AS text FROM documents WHERE doc_id IS NOT NULL""")
+def loca_xml_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Localisation lists, one a source, rendered as XML and read back."""
+    rows = table(spark, d, "documents").where("doc_id is not null").select("source", F.concat(F.lit("h"), c("doc_id").cast("string")).alias("contentuid"), F.when(c("doc_id") % 2 == 0, 3).alias("version"), F.concat(c("source"), F.lit(" <"), c("lang"), F.lit('> & "x"')).alias("text"))
+    line = F.concat(F.lit('<content contentuid="'), c("contentuid"), F.lit('" version="'), F.coalesce("version", F.lit(1)).cast("string"), F.lit('">'), text.escape_xml(c("text")), F.lit("</content>"))
+    files = aggregate.concatenated(rows.withColumn("line", line), ["source"], "contentuid", "line")
+    return loca.read_xml(files.select(c("source").alias("path"), c("line").alias("text"))).select("contentuid", "version", "text")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(pos - 1 AS BIGINT) AS pos, res AS resource, qty AS quantity, lvl AS level FROM (
+  SELECT l_orderkey, l_linenumber, unnest([1, 2]) AS pos, unnest([l_returnflag, l_linestatus]) AS res, unnest([CAST(l_partkey AS VARCHAR), '']) AS qty, unnest(['1:' || l_linenumber, '']) AS lvl FROM lineitem WHERE l_linenumber = 1)""")
+def costs_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Cost texts built from lines and parsed; a level keeps its inner colon."""
+    built = F.concat(c("l_returnflag"), F.lit(":"), c("l_partkey").cast("string"), F.lit(":1:"), c("l_linenumber").cast("string"), F.lit("; ;"), c("l_linestatus"))
+    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.posexplode(values.parse_costs(built)).alias("pos", "x"))
+    return rows.select("l_orderkey", "l_linenumber", c("pos").cast("long").alias("pos"), "x.resource", "x.quantity", "x.level")
+
+
+@query("""
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_id % 4 = 0 THEN 'guid' WHEN event_id % 4 = 1 THEN 'bool' WHEN event_id % 4 = 2 THEN 'int32' ELSE 'FixedString' END AS kind FROM events) GROUP BY 1""")
+def inferred_types(spark: SparkSession, d: str) -> DataFrame:
+    m = c("event_id") % 4
+    key = F.when(m == 0, "UUID").otherwise("Field")
+    value = F.when(m == 1, "False").when(m == 2, (-c("event_id")).cast("string")).otherwise(F.concat(c("event_type"), F.lit("_x")))
+    return table(spark, d, "events").groupBy(values.infer_type(key, value).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 21.0::DOUBLE ELSE 1.0::DOUBLE END AS ratio FROM part""")
+def contrast_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """White on black for even keys, equal colours for odd ones."""
+    fg = F.when(c("p_partkey") % 2 == 0, "#ffffff").otherwise("#123456")
+    bg = F.when(c("p_partkey") % 2 == 0, "#000000").otherwise("#123456")
+    return table(spark, d, "part").select("p_partkey", F.round(text.contrast_ratio(fg, bg), 4).alias("ratio"))
+
+
+@query("""
+SELECT r_name AS region, n_name AS uuid, CAST(n_nationkey AS VARCHAR) AS key FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def tree_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Tree documents, one a region, built from nations and flattened to entries."""
+    node = F.concat(F.lit('<node id="N"><attribute id="UUID" type="guid" value="'), text.escape_xml(c("n_name")), F.lit('"/><attribute id="Key" type="int32" value="'), c("n_nationkey").cast("string"), F.lit('"/></node>'))
+    both = table(spark, d, "nation").join(table(spark, d, "region"), c("n_regionkey") == c("r_regionkey")).withColumn("x", node)
+    docs = aggregate.concatenated(both, ["r_name"], "n_name", "x", "")
+    files = docs.select(c("r_name").alias("path"), F.concat(F.lit('<save><region id="'), c("r_name"), F.lit('"><node id="root"><children>'), c("x"), F.lit("</children></node></region></save>")).alias("text"))
+    return trees.entries(trees.read(files)).select("region", "uuid", F.element_at("attributes", "Key")["value"].alias("key"))
+
+
+@query("""
+SELECT n_name AS path, 'N' AS node_id, CAST(n_nationkey AS VARCHAR) AS key FROM nation""")
+def binary_tree_read(spark: SparkSession, d: str) -> DataFrame:
+    """Binary documents, one a nation, written and read back."""
+    make = F.udf(lambda n, k: bytearray(binary_tree.write([("R", [{"id": "N", "attributes": {"UUID": ("FixedString", n), "Key": ("int32", str(k))}}])])), "binary")
+    files = table(spark, d, "nation").select(c("n_name").alias("path"), make("n_name", "n_nationkey").alias("content"))
+    return binary_tree.read(files).where("node_id = 'N'").select("path", "node_id", F.element_at("attrs", "Key")["value"].alias("key"))
