@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The statistics, in the order of the model's columns.
-STATISTICS = ("words", "word_length", "distinct", "upper", "symbols", "marks", "bars", "digits", "stops", "line_words")
+STATISTICS = ("words", "word_length", "distinct", "variety", "upper", "symbols", "marks", "bars", "digits", "stops", "line_words")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -39,6 +39,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         "words": F.col("__n").cast("double"),
         "word_length": F.col("__letters") / n,
         "distinct": F.size(F.array_distinct("__words")) / n,
+        # log distinct over log words: of like height in short and long texts
+        "variety": F.when(F.col("__n") > 1, F.log(F.size(F.array_distinct("__words")).cast("double")) / F.log(F.col("__n").cast("double"))).otherwise(F.lit(1.0)),
         "upper": count(r"[^\p{Lu}]+") / F.greatest(F.col("__letters"), F.lit(1)),
         "symbols": count(r"[^#*$%&<>]+") / n,
         "marks": count(r"[^!?]+") / n,
@@ -47,7 +49,10 @@ def statistics(docs: DataFrame) -> DataFrame:
         "stops": count(r"[^.,]+") / n,
         "line_words": n / (1 + count(r"[^\n]+")),
     }
-    return out.withColumns({f"s_{k}": F.round(v, 6) for k, v in columns.items()}).drop("__text", "__words", "__n", "__letters")
+    # Made by a generator of one row: a later filter on the score can't be pushed below it,
+    # where it would repeat the statistics in every rule.
+    row = F.inline(F.array(F.struct(*[F.round(v, 6).alias(f"s_{k}") for k, v in columns.items()])))
+    return out.select(*docs.columns, row)
 
 
 @dataclass(frozen=True)
