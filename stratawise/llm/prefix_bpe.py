@@ -208,23 +208,27 @@ class TextEncoder:
         return self.flat[where], ends
 
 
-_encoders: dict[tuple[str, str], tuple[TextEncoder, UnitTable]] = {}
+_encoders: dict[tuple[str, str, int], tuple[TextEncoder, UnitTable]] = {}
 
 
-def encoder(ranks_path: str, pattern: str) -> tuple[TextEncoder, UnitTable]:
+def encoder(ranks_path: str, pattern: str, remembered: int = 400_000) -> tuple[TextEncoder, UnitTable]:
     """One encoder and its unit table per Python worker."""
-    if (ranks_path, pattern) not in _encoders:
-        own = TextEncoder(ranks_path, pattern)
-        _encoders[ranks_path, pattern] = own, UnitTable(own.units, 400_000)
-    return _encoders[ranks_path, pattern]
+    key = ranks_path, pattern, remembered
+    if key not in _encoders:
+        own = TextEncoder(ranks_path, pattern, remembered)
+        _encoders[key] = own, UnitTable(own.units, remembered)
+    return _encoders[key]
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids: bool = False) -> DataFrame:
-    """Encode and decode each text: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids)."""
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids: bool = False, remembered: int = 400_000) -> DataFrame:
+    """Encode and decode each text: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids).
+
+    ``remembered`` is how many units and matches a Python worker keeps between batches; a
+    worker lives on after its stage, so a pipeline keeps fewer than a job of its own."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = encoder(ranks_path, pattern)
+        own, table = encoder(ranks_path, pattern, remembered)
         for batch in batches:
             for piece in slices(batch):
                 ids, at = ids_by_text(table, piece.column("text"))
