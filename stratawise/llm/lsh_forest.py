@@ -239,18 +239,23 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: in
     classes = sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
     candidates = components(_met(planted.where("a is not null").select("key", "a", "b"), parts))
     sized = candidates.join(candidates.groupBy("root").agg(F.count("*").alias("members")), "root").withColumnRenamed("node", "s1")
-    reps = checkpointed(classes.join(sized, "s1").select("rep", "copies", "root", F.ceil(F.col("members") / block).cast("int").alias("blocks")))
-    wanted = texts.join(reps.select(F.col("rep").alias("doc_id"), "copies", "root", "blocks"), "doc_id")
+    reps = checkpointed(classes.join(sized, "s1").select("rep", "s1", "s2", "copies", "root", F.ceil(F.col("members") / block).cast("int").alias("blocks")))
+    wanted = texts.join(reps.select(F.col("rep").alias("doc_id"), "s1", "s2", "copies", "root", "blocks"), "doc_id")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                h, at = distinct(*shingles(piece.column("text")), piece.num_rows)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("copies"), piece.column("root"), piece.column("blocks"), _binary(h, at)], ["rep", "copies", "root", "blocks", "shingles"])
-
-    members = wanted.mapInArrow(dealt, "rep long, copies long, root long, blocks int, shingles binary").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+                h, doc = shingles(piece.column("text"))
+                s1, s2, _ = _digest(h, doc, piece.num_rows)
+                # Another text of a repeated id isn't the class's set.
+                own = (s1 == piece.column("s1").to_numpy()) & (s2 == piece.column("s2").to_numpy())
+                h, at = distinct(h, doc, piece.num_rows)
+                made = pa.RecordBatch.from_arrays([piece.column("s1"), piece.column("copies"), piece.column("root"), piece.column("blocks"), _binary(h, at)], ["s1", "copies", "root", "blocks", "shingles"])
+                yield made if own.all() else made.filter(pa.array(own))
+
+    members = wanted.mapInArrow(dealt, "s1 long, copies long, root long, blocks int, shingles binary").withColumn("mine", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
     pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "copies", "root", "mine", "shingles")
+    pairs = pairs.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "s1", "copies", "root", "mine", "shingles")
     pairs = pairs.withColumn("route", F.xxhash64("root", "i", "j"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,23 +273,26 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: in
                 _compare(held.get(i, []), held.get(j, []), num, den, emit)
 
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "mine", "rep", "copies", "shingles")), strict=True)
-            for root, i, j, mine, rep, copies, shingles in rows:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "mine", "s1", "copies", "shingles")), strict=True)
+            for root, i, j, mine, s1, copies, held_set in rows:
                 if key != (root, i, j):
                     done()
                     held, key = {}, (root, i, j)
-                held.setdefault(mine, []).append((rep, copies, shingles))
+                members = held.setdefault(mine, [])
+                if not members or members[-1][0] != s1:  # an equal row of the representative comes next to it
+                    members.append((s1, copies, held_set))
             if len(emit) > 20_000:
                 yield _emitted(emit)
                 emit = []
         done()
         yield _emitted(emit)
 
-    checked = checkpointed(pairs.repartition(parts, "route").sortWithinPartitions("root", "i", "j", "mine", "rep").select("root", "i", "j", "mine", "rep", "copies", "shingles").mapInArrow(verify, "rep long, degree long, near long"))
-    degree = checked.groupBy("rep").agg(F.sum("degree").alias("degree"))
-    roots = components(checked.select(F.col("rep").alias("a"), F.col("near").alias("b")))
-    named = classes.join(degree, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("s1", "s2", "copies", F.coalesce("root", "rep").alias("class_id"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    checked = checkpointed(pairs.repartition(parts, "route").sortWithinPartitions("root", "i", "j", "mine", "s1").select("root", "i", "j", "mine", "s1", "copies", "shingles").mapInArrow(verify, "s1 long, degree long, near long"))
+    degree = checked.groupBy("s1").agg(F.sum("degree").alias("degree"))
+    roots = components(checked.select(F.col("s1").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "s1")
+    titles = roots.join(classes, "s1").groupBy("root").agg(F.min("rep").alias("title"))
+    named = classes.join(degree, "s1", "left").join(roots.join(titles, "root"), "s1", "left")
+    named = named.select("s1", "s2", "copies", F.coalesce("title", "rep").alias("class_id"), F.coalesce("degree", F.lit(0)).alias("degree"))
     out = sets.where("doc_id is not null").select("doc_id", "s1", "s2").distinct().join(named, ["s1", "s2"], "left").groupBy("doc_id").agg(
         F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id"),
         F.sum(F.coalesce(F.col("degree") + F.col("copies") - 1, F.lit(0))).alias("n_links"),
@@ -300,7 +308,7 @@ def _compare_small(members: list, num: int, den: int, emit: list) -> None:
 
 
 def _emitted(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("rep", "degree", "near"))})
+    return pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("s1", "degree", "near"))})
 
 
 def expected_recall(similarity: float, trees: int, depth: int) -> float:

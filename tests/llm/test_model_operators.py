@@ -67,6 +67,12 @@ def test_jaccard_join_of_a_large_group_in_blocks(spark, block):
     check_join(lsh_forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block=block), rows)
 
 
+def test_jaccard_join_of_repeated_representatives(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, base), (1, base), (2, base + " more"), (2, "something else " * 9), (3, base), (2, base + " more")]
+    check_join(lsh_forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+
+
 def test_forest_depth_and_recall():
     depth = lsh_forest.forest_depth(24, 8, 0.8, 0.9999)
     assert lsh_forest.expected_recall(0.8, 24, depth) >= 0.9999 > lsh_forest.expected_recall(0.8, 24, depth + 1)
