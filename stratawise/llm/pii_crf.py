@@ -7,10 +7,11 @@ formats, cards with other separators.  Its features are the shapes of a word and
 neighbours; it is trained by gradient ascent on the small labelled table below and decoded
 by Viterbi in numpy batches.
 
-A word is a *marker* when it has a digit, an at sign or a spelt-out sign.  Words more than
-``REACH`` words from any marker can only be outside a span; that is part of the model, and
-it makes decoding the stretches around markers equal to decoding whole texts.  An added
-span must hold what its kind needs and must not touch a base span.
+A word is a *marker* when it has a digit, an at sign or a bracketed sign anywhere in it, or
+is a spelt-out sign.  Words more than ``REACH`` words from any marker can only be outside a
+span; that is part of the model, and it makes decoding the stretches around markers equal to
+decoding whole texts with it.  A plain "at" is no marker, so "bob at corp.com" is not looked
+at.  An added span must hold what its kind needs and must not touch a base span.
 
 Spans are code points, end exclusive.  Null texts count as empty; repeated rows give
 repeated results.
@@ -42,6 +43,8 @@ _WORD = re.compile(WORD)
 REACH = 3
 _SPELT = re.compile(r"\S+ ?(@|[(\[]at[)\]]| at ) ?[^\s@]+ ?(\.| dot |[(\[]dot[)\]]) ?[a-z]{2,}", re.IGNORECASE)
 _SIGN_WORDS = frozenset(("dot", "(dot)", "[dot]", "(at)", "[at]", "punkt", "punto", "point"))
+_SIGN = re.compile(r"[(\[](at|dot|punkt|punto|point)[)\]]", re.IGNORECASE)
+_INNER = re.compile(r"[^\W_][(\[]at[)\]][^\W_]", re.IGNORECASE)
 _CUES = frozenset(("at", "dot", "com", "org", "net", "mail", "e-mail", "email", "phone", "tel", "call", "fax", "mobile", "card", "visa", "ip", "host", "version", "page", "isbn", "order", "password", "token"))
 
 
@@ -100,7 +103,7 @@ def shape(word: str) -> str:
 
 
 def is_marker(word: str) -> bool:
-    return any(c in "0123456789@" for c in word) or word.lower().strip(".,;:!?") in _SIGN_WORDS
+    return any(c in "0123456789@" for c in word) or word.lower().strip(".,;:!?") in _SIGN_WORDS or _SIGN.search(word) is not None
 
 
 def _features(words: list[str], i: int) -> list[str]:
@@ -108,7 +111,7 @@ def _features(words: list[str], i: int) -> list[str]:
     before = shape(words[i - 1]) if i else "<"
     after = shape(words[i + 1]) if i + 1 < len(words) else ">"
     own = shape(word.strip(".,;:!?"))
-    out = ["bias", f"0:{own}", f"00:{re.sub('d[0-6]', 'd', own)}", f"-1:{before}", f"+1:{after}", f"-1:{before}|0:{own}", f"0:{own}|+1:{after}", f"marker:{is_marker(word)}", f"at:{'@' in word}"]
+    out = ["bias", f"0:{own}", f"00:{re.sub('d[0-6]', 'd', own)}", f"-1:{before}", f"+1:{after}", f"-1:{before}|0:{own}", f"0:{own}|+1:{after}", f"marker:{is_marker(word)}", f"at:{'@' in word}", f"inner:{_INNER.search(word) is not None}"]
     for name, k in (("w", i), ("w-", i - 1), ("w+", i + 1)):
         if 0 <= k < len(words) and (cue := words[k].lower().strip(".,;:!?()[]")) in _CUES:
             out.append(f"{name}:{cue}")
@@ -139,7 +142,8 @@ def labelled_table(rows: int = 500, seed: int = 5) -> list[tuple[int, str, int]]
         return f"{name()}.{('com', 'org', 'net')[int(rng.integers(3))]}"
 
     makers = {
-        1: [lambda: f"{name()}.{d(2)}@{name()}{d(1)}.{host()}", lambda: f"{name()}@{host()}", lambda: f"{name()} [at] {name()} [dot] com", lambda: f"{name()} (at) {name()} (dot) org", lambda: f"{name()} at {name()} dot com", lambda: f"{name()}(at){d(1)}{host()}"],
+        1: [lambda: f"{name()}.{d(2)}@{name()}{d(1)}.{host()}", lambda: f"{name()}@{host()}", lambda: f"{name()} [at] {name()} [dot] com", lambda: f"{name()} (at) {name()} (dot) org", lambda: f"{name()} at {name()} dot com", lambda: f"{name()}(at){d(1)}{host()}",
+            lambda: f"{name()}(at){host()}", lambda: f"{name()}[at]{name()}[dot]net", lambda: f"{name()}.{name()}(at){name()}(dot)org"],
         2: [lambda: ".".join(n(1, 256) for _ in range(4)), lambda: "[.]".join(n(1, 256) for _ in range(4))],
         3: [lambda: d(16), lambda: " ".join(d(4) for _ in range(4)), lambda: "-".join(d(4) for _ in range(4)), lambda: ".".join(d(4) for _ in range(4))],
         4: [lambda: f"+{n(1, 99)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"+{n(1, 99)} {d(2)} {d(7)}"],
@@ -150,13 +154,13 @@ def labelled_table(rows: int = 500, seed: int = 5) -> list[tuple[int, str, int]]
     out = []
     for s in range(rows):
         for _ in range(int(rng.integers(1, 3))):
-            fill = [_FILL[int(x)] + ("." if rng.random() < 0.15 else "") for x in rng.integers(0, len(_FILL), int(rng.integers(2, 5)))]
+            fill = [_FILL[int(x)] + ("." if rng.random() < 0.15 else "") for x in rng.integers(0, len(_FILL), int(rng.integers(0, 5)))]
             kind = int(rng.choice([0, 0, 1, 2, 3, 4]))
             made = makers[kind][int(rng.integers(len(makers[kind])))]().split(" ")
             if rng.random() < 0.2:
                 made[-1] += ".,"[int(rng.integers(2))]
             out += [(s, w, 0) for w in fill] + [(s, w, kind) for w in made]
-        out += [(s, _FILL[int(x)], 0) for x in rng.integers(0, len(_FILL), 3)]
+        out += [(s, _FILL[int(x)], 0) for x in rng.integers(0, len(_FILL), int(rng.integers(0, 4)))]
     return out
 
 

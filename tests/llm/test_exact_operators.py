@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -159,6 +160,25 @@ def test_stretches_decode_like_whole_texts():
     assert [near.get(p, 0) for p in spans] == whole.tolist()
 
 
+def test_addresses_in_one_word_pass_the_gate(spark, monkeypatch):
+    crf = pii_crf.train(pii_crf.labelled_table())
+    fill = "of the and onher erthat stion der keit " * 3
+
+    def added(text, parts):
+        spans = pii_crf.added_spans(text, crf.decode([crf.scores(w) for w, _ in parts]), parts, pii_crf.base_spans(text))
+        return [text[a:b] for _, a, b in spans]
+
+    addresses = ["bob(at)corp.com", "bob[at]corp[dot]com", "bob(at)corp(dot)org", "Bob.Smith(AT)mail-corp.com"]
+    texts = [f"{fill}{a} {fill}" for a in addresses] + [f"{fill}call (309) 555-1438 {fill}bob (at) corp (dot) org {fill}item(s) x[i] at home.", f"{fill}foo(at)bar {fill}", addresses[0]]
+    gated = [added(t, pii_crf.stretches(t)) for t in texts]
+    assert gated == [[a] for a in addresses] + [["(309) 555-1438", "bob (at) corp (dot) org"], [], [addresses[0]]]
+    rows = pii_crf.find_pii(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), crf).collect()
+    assert {r["doc_id"]: r["n_added"] for r in rows} == {i: len(g) for i, g in enumerate(gated)}
+    whole = [[([m[0] for m in WORD.finditer(t)], [m.span() for m in WORD.finditer(t)])] for t in texts]
+    monkeypatch.setattr(pii_crf, "_near", lambda words: np.ones(len(words), dtype=bool))
+    assert gated == [added(t, p) for t, p in zip(texts, whole, strict=True)]
+
+
 def brute_secrets(t):
     rules = (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
     out = []
