@@ -11,7 +11,9 @@ A word is a *marker* when it has a digit, an at sign or a bracketed sign anywher
 is a spelt-out sign.  Words more than ``REACH`` words from any marker can only be outside a
 span; that is part of the model, and it makes decoding the stretches around markers equal to
 decoding whole texts with it.  A plain "at" is no marker, so "bob at corp.com" is not looked
-at.  An added span must hold what its kind needs and must not touch a base span.
+at.  An added span must hold what its kind needs and must not touch a base span.  Words of
+one tag in succession may be several spans: they are cut between words and at commas,
+semicolons, slashes and bars so that most of them is covered by pieces that pass.
 
 Spans are code points, end exclusive.  Null texts count as empty; repeated rows give
 repeated results.
@@ -21,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +45,18 @@ _DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(WORD)
 
 REACH = 3
-_SPELT = re.compile(r"\S+ ?(@|[(\[]at[)\]]| at ) ?[^\s@]+ ?(\.| dot |[(\[]dot[)\]]) ?[a-z]{2,}", re.IGNORECASE)
+_DOT = r"(\.| ?[(\[](\.|dot|punkt|punto|point)[)\]] ?| (dot|punkt|punto|point) )"
+_LABELS = rf"([^\s@.()\[\],;|/]+{_DOT}(?=[^\W_]))++[a-z]{{2,}}(?!\w)"  # never given back, so long ones take linear time
+_AT = r"\S+ ?(@|[(\[]at[)\]]| at ) ?"
+_SPELT = re.compile(rf"{_AT}({_LABELS}|[^\s@]+ ?(\.| dot |[(\[]dot[)\]]) ?[a-z]{{2,}})", re.IGNORECASE)
+_ADDRESS = re.compile(_AT + _LABELS, re.IGNORECASE)  # without its context: no space at a plain dot
+_AT_SIGN = re.compile(r"@|[(\[]at[)\]]|(?<!\S)at(?!\S)", re.IGNORECASE)
+_ATOM = re.compile(r"[^\s,;|/]+")
+_MOST = {1: 12, 2: 19, 3: 15}  # digits of a span
 _SIGN_WORDS = frozenset(("dot", "(dot)", "[dot]", "(at)", "[at]", "punkt", "punto", "point"))
 _SIGN = re.compile(r"[(\[](at|dot|punkt|punto|point)[)\]]", re.IGNORECASE)
 _INNER = re.compile(r"[^\W_][(\[]at[)\]][^\W_]", re.IGNORECASE)
-_CUES = frozenset(("at", "dot", "com", "org", "net", "mail", "e-mail", "email", "phone", "tel", "call", "fax", "mobile", "card", "visa", "ip", "host", "version", "page", "isbn", "order", "password", "token"))
+_CUES = frozenset(("at", "dot", "punkt", "punto", "point", "com", "org", "net", "mail", "e-mail", "email", "phone", "tel", "call", "fax", "mobile", "card", "visa", "ip", "host", "version", "page", "isbn", "order", "password", "token"))
 
 
 def luhn(digits: str) -> bool:
@@ -141,14 +152,18 @@ def labelled_table(rows: int = 500, seed: int = 5) -> list[tuple[int, str, int]]
     def host() -> str:
         return f"{name()}.{('com', 'org', 'net')[int(rng.integers(3))]}"
 
+    def spelt() -> str:
+        return ("dot", "punkt", "punto", "point")[int(rng.integers(4))]
+
     makers = {
         1: [lambda: f"{name()}.{d(2)}@{name()}{d(1)}.{host()}", lambda: f"{name()}@{host()}", lambda: f"{name()} [at] {name()} [dot] com", lambda: f"{name()} (at) {name()} (dot) org", lambda: f"{name()} at {name()} dot com", lambda: f"{name()}(at){d(1)}{host()}",
-            lambda: f"{name()}(at){host()}", lambda: f"{name()}[at]{name()}[dot]net", lambda: f"{name()}.{name()}(at){name()}(dot)org"],
+            lambda: f"{name()}(at){host()}", lambda: f"{name()}[at]{name()}[dot]net", lambda: f"{name()}.{name()}(at){name()}(dot)org",
+            lambda: f"{name()} at {name()} {spelt()} {name()} {spelt()} net", lambda: f"{name()} at {name()} {spelt()} de", lambda: f"{name()} [at] {name()} {spelt()} {name()} {spelt()} org", lambda: f"{name()} (at) {name()} ({spelt()}) com"],
         2: [lambda: ".".join(n(1, 256) for _ in range(4)), lambda: "[.]".join(n(1, 256) for _ in range(4))],
         3: [lambda: d(16), lambda: " ".join(d(4) for _ in range(4)), lambda: "-".join(d(4) for _ in range(4)), lambda: ".".join(d(4) for _ in range(4))],
         4: [lambda: f"+{n(1, 99)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"+{n(1, 99)} {d(2)} {d(7)}"],
         0: [lambda: f"version {n(1, 9)}.0.", lambda: f"{n(1, 9)}.{n(0, 9)}", lambda: f"Version {n(1, 9)}.{n(0, 9)}.{n(0, 9)}", lambda: f"20{d(2)}-{d(2)}-{d(2)}", lambda: f"{n(1, 24)}:{d(2)}", lambda: d(4), lambda: d(2), lambda: d(1), lambda: f"{d(2)}%", lambda: f"${d(2)}.{d(2)}",
-            lambda: f"password={name()}{d(6)}{name()}{d(4)}", lambda: f'token = "{d(5)}{name()}{d(7)}{name()}{d(6)}"', lambda: f"AKIA{d(3)}{name().upper()}{d(2)}", lambda: f"{d(3)},{d(3)}", lambda: f"at {n(1, 12)}", lambda: f"{name()} at {name()}", lambda: f"dot {name()}", lambda: f"isbn {d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}",
+            lambda: f"password={name()}{d(6)}{name()}{d(4)}", lambda: f'token = "{d(5)}{name()}{d(7)}{name()}{d(6)}"', lambda: f"AKIA{d(3)}{name().upper()}{d(2)}", lambda: f"{d(3)},{d(3)}", lambda: f"at {n(1, 12)}", lambda: f"{name()} at {name()}", lambda: f"dot {name()}", lambda: f"{name()} {spelt()} {name()}", lambda: f"{spelt()} {n(1, 30)}", lambda: f"isbn {d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}",
             lambda: f"{d(1)}) {name()}", lambda: f"#{d(4)}", lambda: f"{d(2)}.{d(2)}.20{d(2)}", lambda: f"{name()}{d(1)}", lambda: "CC BY-NC 4.0.", lambda: f"{n(1, 30)} {name()} {n(1, 30)}", lambda: f"{d(4)} {d(4)}", lambda: f"{d(3)} {d(3)}"],
     }
     out = []
@@ -156,10 +171,12 @@ def labelled_table(rows: int = 500, seed: int = 5) -> list[tuple[int, str, int]]
         for _ in range(int(rng.integers(1, 3))):
             fill = [_FILL[int(x)] + ("." if rng.random() < 0.15 else "") for x in rng.integers(0, len(_FILL), int(rng.integers(0, 5)))]
             kind = int(rng.choice([0, 0, 1, 2, 3, 4]))
-            made = makers[kind][int(rng.integers(len(makers[kind])))]().split(" ")
-            if rng.random() < 0.2:
-                made[-1] += ".,"[int(rng.integers(2))]
-            out += [(s, w, 0) for w in fill] + [(s, w, kind) for w in made]
+            out += [(s, w, 0) for w in fill]
+            for _ in range(1 + int(rng.integers(1, 3)) * (rng.random() < 0.2)):  # some follow each other
+                made = makers[kind][int(rng.integers(len(makers[kind])))]().split(" ")
+                if rng.random() < 0.2:
+                    made[-1] += ".,"[int(rng.integers(2))]
+                out += [(s, w, kind) for w in made]
         out += [(s, _FILL[int(x)], 0) for x in rng.integers(0, len(_FILL), int(rng.integers(0, 4)))]
     return out
 
@@ -298,7 +315,9 @@ def stretches(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
 
 
 def added_spans(text: str, tags: list[np.ndarray], parts: list, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
+    out, edges = [], sorted((s, e) for _, s, e in base)
+    # Ends rise with starts only within a kind: the furthest end so far tells whether a base span is touched.
+    starts, ends = [s for s, _ in edges], list(accumulate((e for _, e in edges), max))
     for (_, places), own in zip(parts, tags, strict=True):
         i = 0
         while i < len(own):
@@ -306,16 +325,77 @@ def added_spans(text: str, tags: list[np.ndarray], parts: list, base: list[tuple
             while j < len(own) and own[j] == own[i]:
                 j += 1
             if own[i]:
-                a, b = places[i][0], places[j - 1][1]
-                while b > a and text[b - 1] in ".,;:!?":
-                    b -= 1
                 kind = int(own[i]) - 1
-                if b > a and _holds(kind, text[a:b]) and not any(s < b and a < e for _, s, e in base):
-                    out.append((kind, a, b))
+                out += [(kind, a, b) for a, b in _pieces(kind, text, places[i][0], places[j - 1][1], starts, ends)]
             i = j
     return out
 
 
+def _pieces(kind: int, text: str, start: int, end: int, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Spans of one tag's run: the choice of passing pieces that covers most of it.
+
+    Among equals, one that doesn't run over a comma or into a plus sign, then fewest and most even pieces."""
+
+    def untouched(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return not k or ends[k - 1] <= a
+
+    whole = end
+    while whole > start and text[whole - 1] in ".,;:!?":
+        whole -= 1
+    fits = whole > start and untouched(start, whole) and _holds(kind, text[start:whole])
+    if fits and (kind or len(_AT_SIGN.findall(text, start, whole)) < 2):
+        return [(start, whole)]
+    atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text, start, end)]
+    # What a piece costs that runs on over the gap before an atom.
+    gap = [0] + [int(text[b] == "+" or any(c in ",;|" for c in text[a:b])) for (_, a), (b, _) in zip(atoms, atoms[1:], strict=False)]
+    over = [0, *accumulate(gap)]
+    # best[k]: (atoms left out, gaps run over, pieces, sum of squares), the next atom and the piece of atoms k..
+    best: list[tuple] = [((0, 0, 0, 0), 0, None)] * (len(atoms) + 1)
+    for k in range(len(atoms) - 1, -1, -1):
+        left = best[k + 1][0]
+        choices = [((left[0] + 1, *left[1:]), k + 1, None)]
+        ahead = _candidates(kind, text, atoms, k, end)
+        for n, a, b in [*ahead, (len(atoms), start, whole)] if fits and not k else ahead:
+            if untouched(a, b):
+                c = best[n][0]
+                choices.append(((c[0], c[1] + over[n] - over[k + 1], c[2] + 1, c[3] + (n - k) ** 2), n, (a, b)))
+        best[k] = min(choices, key=lambda x: x[0])
+    out, k = [], 0
+    while k < len(atoms):
+        _, k, piece = best[k]
+        if piece:
+            out.append(piece)
+    return out
+
+
+def _candidates(kind: int, text: str, atoms: list[tuple[int, int]], k: int, end: int) -> list[tuple[int, int, int]]:
+    """Passing pieces that begin with atom k: the number of the atom after it, start and end."""
+    a = atoms[k][0]
+    if kind == 0:
+        if not any(_AT_SIGN.search(text, *x) for x in atoms[k : k + 2]):
+            return []
+        stop = end
+        for n, m in enumerate(_AT_SIGN.finditer(text, a, end)):
+            if n == 1:  # the next address: its local part may be read as a label, but not its sign
+                stop = m.start()
+                break
+        m = _ADDRESS.match(text, a, stop)
+        return [(next((n for n in range(k + 1, len(atoms)) if atoms[n][0] >= m.end()), len(atoms)), a, m.end())] if m else []
+    out, digits = [], 0
+    for n in range(k, len(atoms)):
+        b = atoms[n][1]
+        own = len(_DIGIT.sub("", text[atoms[n][0] : b]))
+        digits += own
+        if digits > _MOST[kind] or not digits:
+            break
+        while b > a and text[b - 1] in ".,;:!?":
+            b -= 1
+        if own and _holds(kind, text[a:b]):
+            out.append((n + 1, a, b))
+    return out
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 

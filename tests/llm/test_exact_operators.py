@@ -179,6 +179,40 @@ def test_addresses_in_one_word_pass_the_gate(spark, monkeypatch):
     assert gated == [added(t, p) for t, p in zip(texts, whole, strict=True)]
 
 
+def test_spans_in_succession_are_split():
+    crf = pii_crf.train(pii_crf.labelled_table())
+
+    def added(text):
+        parts = pii_crf.stretches(text)
+        return [text[a:b] for _, a, b in pii_crf.added_spans(text, crf.decode([crf.scores(w) for w, _ in parts]), parts, pii_crf.base_spans(text))]
+
+    for want, text in (
+        (["309-555-1438", "309-555-1439"], "the {} {} der keit"),
+        (["309-555-1438", "309-555-1439"], "the {}, {}, der keit"),
+        (["(309) 555-1438", "(487) 555-7209"], "call {} {} of the"),
+        (["4111.1111.1111.1111", "5500.0000.0000.0004"], "the {}, {} der keit"),
+        (["1[.]2[.]3[.]4", "5[.]6[.]7[.]8"], "from {}, {} lich"),
+        (["(309) 555-1438"], "of {} +1 (487) 555-7209 keit"),  # the other one is a base span
+        (["bob at corp dot com", "ann at corp dot org"], "of {}, {} der keit"),
+        (["bob (at) corp (dot) org", "ann (at) corp (dot) net"], "of {} {} der keit"),
+        (["bob(at)corp.com", "ann(at)corp.com"], "of {},a@b.com,{} der keit"),
+        (["bob at mail dot corp dot com"], "the {} der keit"),
+        (["bob at corp punkt de"], "der {} und"),
+        (["bob [at] mail punto corp point com"], "the {} der keit"),
+    ):
+        assert added(text.format(*want)) == want
+
+    def pieces(kind, text):
+        return [text[a:b] for a, b in pii_crf._pieces(kind, text, 0, len(text), [], [])]
+
+    assert pieces(0, "bob at corp dot com. ann at corp dot org") == ["bob at corp dot com", "ann at corp dot org"]
+    assert pieces(0, "a(at)b.com,c(at)d.org") == ["a(at)b.com", "c(at)d.org"]
+    assert pieces(3, "309 555 1438 487 555 7209") == ["309 555 1438", "487 555 7209"]
+    assert pieces(3, "(+99) 12 3456789 +98 76 5432109.") == ["(+99) 12 3456789", "+98 76 5432109"]
+    assert pieces(3, "030/1234567") == ["030/1234567"]
+    assert pieces(3, "12 34") == []
+
+
 def brute_secrets(t):
     rules = (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
     out = []
