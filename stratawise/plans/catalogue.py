@@ -73,6 +73,16 @@ def list_items_explode(spark: SparkSession, d: str) -> DataFrame:
     return lookup.list_items(table(spark, d, "part"), "p_partkey", ["p_type", "p_name"], " ", [1, 5, 9, 100, 150]).withColumn("pos", c("pos").cast("long"))
 
 
+@query("""
+SELECT p_partkey, source, pos - 1 AS pos, trim(w) AS item FROM (
+  SELECT p_partkey, CASE WHEN trim(p_type) <> '' THEN 'p_type' ELSE 'p_name' END AS source,
+         list_filter(string_split(CASE WHEN trim(p_type) <> '' THEN p_type ELSE p_name END, ' '), lambda x: trim(x) <> '') AS ws
+  FROM part) t, LATERAL (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS pos)""")
+def list_items_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The list items of every part."""
+    return lookup.list_items(table(spark, d, "part"), "p_partkey", ["p_type", "p_name"], " ").withColumn("pos", c("pos").cast("long"))
+
+
 @query("SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL AND event_type <> '' ORDER BY 1")
 def distinct_selector_ids(spark: SparkSession, d: str) -> DataFrame:
     return lookup.distinct_values(table(spark, d, "events"), "event_type")
@@ -690,9 +700,21 @@ def loca_xml_round_trip(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, CAST(pos - 1 AS BIGINT) AS pos, res AS resource, qty AS quantity, lvl AS level FROM (
   SELECT l_orderkey, l_linenumber, unnest([1, 2]) AS pos, unnest([l_returnflag, l_linestatus]) AS res, unnest([CAST(l_partkey AS VARCHAR), '']) AS qty, unnest(['1:' || l_linenumber, '']) AS lvl FROM lineitem WHERE l_linenumber = 1)""")
 def costs_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Cost texts built from lines and parsed; a level keeps its inner colon."""
+    """Cost texts built from first lines and parsed; a level keeps its inner colon."""
+    return _parsed_costs(table(spark, d, "lineitem").where("l_linenumber = 1"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(pos - 1 AS BIGINT) AS pos, res AS resource, qty AS quantity, lvl AS level FROM (
+  SELECT l_orderkey, l_linenumber, unnest([1, 2]) AS pos, unnest([l_returnflag, l_linestatus]) AS res, unnest([CAST(l_partkey AS VARCHAR), '']) AS qty, unnest(['1:' || l_linenumber, '']) AS lvl FROM lineitem)""")
+def costs_parse_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The same of every line."""
+    return _parsed_costs(table(spark, d, "lineitem"))
+
+
+def _parsed_costs(lines: DataFrame) -> DataFrame:
     built = F.concat(c("l_returnflag"), F.lit(":"), c("l_partkey").cast("string"), F.lit(":1:"), c("l_linenumber").cast("string"), F.lit("; ;"), c("l_linestatus"))
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.posexplode(values.parse_costs(built)).alias("pos", "x"))
+    rows = lines.select("l_orderkey", "l_linenumber", F.posexplode(values.parse_costs(built)).alias("pos", "x"))
     return rows.select("l_orderkey", "l_linenumber", c("pos").cast("long").alias("pos"), "x.resource", "x.quantity", "x.level")
 
 
