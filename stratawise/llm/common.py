@@ -85,12 +85,12 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about ``most`` bytes of text; one row may exceed it."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes of text, which one row may exceed, and at most ``rows`` rows."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, start, total = [], 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if total and total + n > most:
+        if total and total + n > most or rows and i - start == rows:
             ends.append((start, i))
             start, total = i, 0
         total += n

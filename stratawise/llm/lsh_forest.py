@@ -38,6 +38,8 @@ from stratawise.llm.graph import components
 from stratawise.llm.suffix_dedup import GRAM, gram_hashes
 
 SHINGLE = GRAM
+#: _digest numbers the texts of a slice, and the end of the last one, in 14 bits.
+_ROWS = (1 << 14) - 1
 
 
 def forest_depth(trees: int, longest: int, threshold: float, target: float) -> int:
@@ -124,7 +126,7 @@ def _planted(docs: DataFrame, trees: int, depth: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({c: columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(np.ascontiguousarray(columns[c])) if c in columns else pa.nulls(count, pa.int64()) for c in names})
 
         for batch in batches:
-            for piece in slices(batch, most=8_000_000):
+            for piece in slices(batch, most=8_000_000, rows=_ROWS):
                 h, doc = shingles(piece.column("text"))
                 s1, s2, n = _digest(h, doc, piece.num_rows)
                 yield rows(piece.num_rows, doc_id=piece.column("doc_id"), s1=s1, s2=s2, n=n)
@@ -244,7 +246,7 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: in
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, rows=_ROWS):
                 h, doc = shingles(piece.column("text"))
                 s1, s2, _ = _digest(h, doc, piece.num_rows)
                 # Another text of a repeated id isn't the class's set.

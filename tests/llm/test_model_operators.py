@@ -73,6 +73,19 @@ def test_jaccard_join_of_repeated_representatives(spark):
     check_join(lsh_forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
+def test_jaccard_join_of_batches_of_many_short_texts(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(setting)
+    spark.conf.set(setting, "0")  # no limit: a partition is one batch
+    try:
+        n = 20_000
+        docs = spark.range(0, 2 * n, 1, 1).selectExpr("id AS doc_id", f"concat('text w', id % {n}) AS text")
+        got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in lsh_forest.jaccard_join(docs).collect()}
+    finally:
+        spark.conf.set(setting, old)
+    assert got == {i: (i % n, 1, 2) for i in range(2 * n)}
+
+
 def test_forest_depth_and_recall():
     depth = lsh_forest.forest_depth(24, 8, 0.8, 0.9999)
     assert lsh_forest.expected_recall(0.8, 24, depth) >= 0.9999 > lsh_forest.expected_recall(0.8, 24, depth + 1)
