@@ -1,15 +1,15 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with MinHash banding, in place of an LSH forest, and exact verification.
 
 A document's set is its distinct 5-word shingles (all its words as one shingle when it
 has fewer; texts without words have none and join nothing).  Documents with equal sets
 form a class of copies with one representative; only representatives go on.
 
-*Forest.*  Each of ``trees`` prefix tries holds signatures of up to ``longest`` labels.
-Starting from whole signatures, the matched prefix is shortened until a pair at the
-threshold meets in some tree with the target probability; that depth is used.  A task
-sorts its signatures by tree and label, so neighbours that share a prefix form a
-subtree; it links them to the subtree's least member and passes on that member alone,
-which keeps a hot prefix to one row a task.  Candidate components come from those links.
+*Bands.*  No prefix tries are built: the threshold is fixed, so one depth is computed
+beforehand, the longest, up to ``longest``, at which a pair at the threshold meets in some
+of ``trees`` bands with the target probability.  Only that many labels are made; a band's
+labels are hashed to one key.  A task sorts its keys, links the members under an equal key
+to the least one and passes on that member alone, which keeps a hot key to one row a task.
+Candidate components come from those links.
 
 *Verification.*  Within a candidate component every pair is compared exactly, in blocks
 of about ``block`` documents: large components are cut into blocks and pairs of blocks
