@@ -1,4 +1,4 @@
-"""Substring dedup with prefix-partitioned suffix trees.
+"""Substring dedup by a fingerprint join of windows, in place of suffix trees.
 
 A window is ``depth`` consecutive words; a window is a repeat when its word
 sequence also starts earlier, and every word under a repeat goes.
@@ -6,17 +6,16 @@ sequence also starts earlier, and every word under a repeat goes.
 1. *Anchors.*  In each window the 5-word gram with the least hash is its
    anchor, so equal windows have equal anchors at equal offsets.  Only anchors
    (about an eighth of all positions) are shuffled; a window whose anchor
-   occurs once in the corpus can't lie under a deep internal node and is
-   pruned before any tree is built.  Within a task, equal anchors send one row.
-2. *Prefix groups.*  The suffixes that stay are dealt out by a prefix: the
-   5-word anchor, or, where more suffixes than ``group_rows`` share it, the
+   occurs once in the corpus can't be a repeat and is pruned before
+   windows are compared.  Within a task, equal anchors send one row.
+2. *Groups.*  The windows that stay are dealt out by their 5-word anchor,
+   which may stand anywhere in them, or, where more windows than ``group_rows`` share it, the
    whole window (all ``depth`` words), so that no group outgrows memory however
-   common one passage is.  Windows with such a prefix are first combined
+   common one passage is.  Windows of such an anchor are first combined
    within the task, which leaves at most one per task for each window.
-3. *Subtrees.*  A task sorts its suffixes by the 5-word letters of their
-   windows.  Runs of equal windows are the internal nodes of word depth
-   ``depth``; every leaf of a node but the earliest is a repeat.  Adjacent
-   repeats merge into maximal spans.
+3. *Comparison.*  A task sorts its windows by their letters.  Of each run of
+   equal windows all but the earliest are repeats.  Adjacent repeats merge
+   into maximal spans; no trees and no common prefix lengths are made.
 
 Letters are 32 bits of a 64-bit gram hash, so windows count as equal when 128
 bits agree.  The order is doc_id (null first), then text hash, then position;
