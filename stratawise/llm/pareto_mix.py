@@ -8,8 +8,9 @@ Within a source every document first gets its certain whole copies, the integer
 of target over source size.  The words still missing are drawn without replacement by
 order sampling: document i has inclusion probability p (the fractional part) and the
 rank ``odds(u) / odds(p)`` with u from a hash of the document; the smallest ranks are
-taken until the missing words are filled.  The inclusion odds differ between
-sources, the sample size is fixed in words, and a rerun ranks alike.
+taken until the missing words are filled.  All documents of a source have one p, so its
+ranks order like u and the sample is a simple random one; p differs between sources only.
+The sample size is fixed in words, and a rerun ranks alike.
 
 Ranks never meet in one task: a source's ranks are counted by bin (bins grow with the
 source, so each holds about ``bin_rows`` documents), the bin of the cut comes from
