@@ -23,13 +23,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of each class whose id names the class; rows without an id stay."""
-    named = lsh_forest.jaccard_join(docs).where("class_id = doc_id").select("doc_id")
-    kept = docs.join(named, "doc_id", "left_semi")
-    # One row of an id that comes repeatedly: the one with the least text.
-    twice = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    single = kept.join(twice, "doc_id", "left_anti")
-    repeated = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("r")).select("r.*")
+    """Keep the document of each class whose id names the class; rows without an id stay.
+
+    Classes are those of the rows' own texts, so another text of a repeated id doesn't remove
+    a row.  One row of an id stays: of those kept, the one with the least text.
+    """
+    sets, named = lsh_forest.set_classes(docs)
+    own = sets.where("doc_id is not null").groupBy("doc_id", "s1", "s2").agg(F.count("*").alias("rows"))
+    own = common.checkpointed(own.join(named, ["s1", "s2"], "left").select("doc_id", "s1", "s2", "rows", (F.coalesce("class_id", "doc_id") == F.col("doc_id")).alias("kept")))
+    ids = own.groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.max("kept").alias("kept")).where("kept")
+    single = docs.join(ids.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    twice = docs.join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+    twice = lsh_forest.digested(twice.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"), F.struct(*docs.columns).alias("__row")))
+    kept = own.where("kept").select(F.col("doc_id").alias("__id"), F.col("s1").alias("__s1"), F.col("s2").alias("__s2"))
+    repeated = twice.join(kept, ["__id", "__s1", "__s2"], "left_semi").groupBy("__id").agg(F.min_by("__row", "__text").alias("r")).select("r.*")
     return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stratawise.llm.common import checkpointed, default_parallelism, flat_words, slices
 from stratawise.llm.graph import components
@@ -232,6 +233,18 @@ def _compare(left: list, right: list | None, num: int, den: int, emit: list) ->
 
 def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: int = 24, longest: int = 8, target: float = 0.9999, block: int = 384) -> DataFrame:
     """One row a document: doc_id, class_id, n_links, n_copies (documents with its set, itself included)."""
+    sets, named = set_classes(docs, threshold, trees, longest, target, block)
+    out = sets.where("doc_id is not null").select("doc_id", "s1", "s2").distinct().join(named, ["s1", "s2"], "left").groupBy("doc_id").agg(
+        F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id"),
+        F.sum(F.coalesce(F.col("degree") + F.col("copies") - 1, F.lit(0))).alias("n_links"),
+        F.max(F.coalesce("copies", F.lit(1))).alias("n_copies"),
+    )
+    alone = sets.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return out.union(alone)
+
+
+def set_classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: int = 24, longest: int = 8, target: float = 0.9999, block: int = 384) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, s1, s2, n) of each row, the digest of its set; and s1, s2, copies, class_id and degree of each set."""
     spark = docs.sparkSession
     parts, (num, den) = default_parallelism(spark), threshold
     depth = forest_depth(trees, longest, num / den, target)
@@ -294,14 +307,19 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: in
     roots = components(checked.select(F.col("s1").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "s1")
     titles = roots.join(classes, "s1").groupBy("root").agg(F.min("rep").alias("title"))
     named = classes.join(degree, "s1", "left").join(roots.join(titles, "root"), "s1", "left")
-    named = named.select("s1", "s2", "copies", F.coalesce("title", "rep").alias("class_id"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    out = sets.where("doc_id is not null").select("doc_id", "s1", "s2").distinct().join(named, ["s1", "s2"], "left").groupBy("doc_id").agg(
-        F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id"),
-        F.sum(F.coalesce(F.col("degree") + F.col("copies") - 1, F.lit(0))).alias("n_links"),
-        F.max(F.coalesce("copies", F.lit(1))).alias("n_copies"),
-    )
-    alone = sets.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    return out.union(alone)
+    return sets, named.select("s1", "s2", "copies", F.coalesce("title", "rep").alias("class_id"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def digested(rows: DataFrame) -> DataFrame:
+    """``rows`` with __s1 and __s2, the digest of the set of their __text."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "__text", rows=_ROWS):
+                s1, s2, _ = _digest(*shingles(piece.column("__text")), piece.num_rows)
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(s1), pa.array(s2)], [*piece.schema.names, "__s1", "__s2"])
+
+    return rows.mapInArrow(add, StructType([*rows.schema.fields, StructField("__s1", LongType()), StructField("__s2", LongType())]))
 
 
 def _compare_small(members: list, num: int, den: int, emit: list) -> None:

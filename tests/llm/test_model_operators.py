@@ -129,6 +129,15 @@ def test_mix_meets_targets_and_varies_by_seed(spark):
     assert picks[0] != picks[1]
 
 
+def test_near_duplicates_judge_a_repeated_id_by_its_own_texts(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(7, a, "x"), (7, b, "y"), (3, b, "z"), (8, a + " end", "u"), (9, "", "v"), (None, a, "w")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, s1 string"), "")
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([rows[0], rows[2], rows[4], rows[5]])
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     import random
