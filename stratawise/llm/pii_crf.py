@@ -79,7 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((0, start, last := m.end()))
         at = text.find("@", m.end() if m else at + 1)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in (p[-300:] for p in m[0].split("."))):
+        if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
             out.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = _DIGIT.sub("", m[0])
@@ -401,7 +401,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans, n_added."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans, n_added, n_spans."""
     crf = crf or train(labelled_table())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,10 +426,10 @@ def find_pii(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": piece.column("doc_id"), **{f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts, strict=True)},
                     "base_sha256": pa.array([hashlib.sha256(_joined(s).encode()).hexdigest() for s in base], pa.string()), "spans": pa.array([_joined(s) for s in spans], pa.string()),
-                    "n_added": pa.array([len(s) - len(b) for s, b in zip(spans, base, strict=True)], pa.int64()),
+                    "n_added": pa.array([len(s) - len(b) for s, b in zip(spans, base, strict=True)], pa.int64()), "n_spans": pa.array([len(s) for s in spans], pa.int64()),
                 })
 
-    return doc_texts(docs).mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return doc_texts(docs).mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def _decoded(crf: Crf, scores: list[np.ndarray], most: int = 2048) -> list[np.ndarray]:

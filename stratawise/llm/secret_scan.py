@@ -56,7 +56,7 @@ def checksum_62(text: str) -> str:
 def _decoded(part: str) -> dict | None:
     try:
         found = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # deeply nested JSON is no claim set
         return None
     return found if isinstance(found, dict) else None
 

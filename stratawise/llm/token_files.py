@@ -10,7 +10,8 @@ partitions; each task encodes its run and writes three files:
 The number of ids of each partition (one small row per partition) comes back
 to the driver, whose prefix sums are the partition bases in ``manifest.json``;
 no other data leaves the executors.  Readers map the files into memory where
-the store is local and read byte ranges elsewhere.
+the store is local and read byte ranges elsewhere.  A special token's string in a
+text gets that token's id, as in the tokenizers library.
 
 Null texts count as empty (the end id alone), null ids come first, equal ids
 are ordered by text; equal rows are all written.  An empty table gives an
@@ -84,10 +85,7 @@ def tokenizer_table(path: str) -> UnitTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-        _tables[path, 0] = UnitTable(_Encoder(tokenizer))
+        _tables[path, 0] = UnitTable(_Encoder(Tokenizer.from_file(path)))
     return _tables[path, 0]
 
 
@@ -141,11 +139,13 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0
     return manifest
 
 
-def _mapped(store, path: str, dtype: str) -> np.ndarray:
+def _mapped(store, path: str, dtype: str, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Items start..stop of a file: a memory map where the store is local, else the bytes of that range."""
     if store.type_name == "local":
-        return np.memmap(path, dtype=dtype, mode="r")
+        return np.memmap(path, dtype=dtype, mode="r")[start:stop]
+    size = np.dtype(dtype).itemsize
     with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+        return np.frombuffer(f.read_at((f.size() // size if stop is None else stop) * size - start * size, start * size), dtype=dtype)
 
 
 class TokenFiles:
@@ -169,9 +169,9 @@ class TokenFiles:
 
     def __getitem__(self, i: int) -> np.ndarray:
         k = int(np.searchsorted(self._docs, i, side="right")) - 1
-        ids, at, _ = self.part(k)
-        j = i - int(self._docs[k])
-        return ids[at[j] : at[j + 1]]
+        name, j = f"{self.root}/part-{self.manifest['parts'][k]['part']:06d}", i - int(self._docs[k])
+        start, stop = _mapped(self.store, f"{name}.idx", "<i8", j, j + 2).tolist()
+        return _mapped(self.store, f"{name}.bin", self.manifest["dtype"], start, stop)
 
 
 def read_token_files(spark: SparkSession, out: str) -> DataFrame:
