@@ -1,32 +1,36 @@
-"""Substring dedup by a fingerprint join of windows, in place of suffix trees.
+"""Substring dedup by prefix-partitioned suffix trees.
 
 A window is ``depth`` consecutive words; a window is a repeat when its word
-sequence also starts earlier, and every word under a repeat goes.
-
-1. *Anchors.*  In each window the 5-word gram with the least hash is its
-   anchor, so equal windows have equal anchors at equal offsets.  Only anchors
-   (about an eighth of all positions) are shuffled; a window whose anchor
-   occurs once in the corpus can't be a repeat and is pruned before
-   windows are compared.  Within a task, equal anchors send one row.
-2. *Groups.*  The windows that stay are dealt out by their 5-word anchor,
-   which may stand anywhere in them, or, where more windows than ``group_rows`` share it, the
-   whole window (all ``depth`` words), so that no group outgrows memory however
-   common one passage is.  Windows of such an anchor are first combined
-   within the task, which leaves at most one per task for each window.
-3. *Comparison.*  A task sorts its windows by their letters.  Of each run of
-   equal windows all but the earliest are repeats.  Adjacent repeats merge
-   into maximal spans; no trees and no common prefix lengths are made.
-
-Letters are 32 bits of a 64-bit gram hash, so windows count as equal when 128
-bits agree.  The order is doc_id (null first), then text hash, then position;
-rows with the same doc_id and text are one document and get the same result.
-Null and empty texts have no words.
+sequence also starts earlier, and every word under a repeat goes.  A suffix begins
+at a window's first word and is read to that window's end, in letters of GRAM words.
+
+1. *Copies.*  Of equal texts only the one with the least doc_id is indexed; all windows
+   of the others start earlier there, so their words go when they have a window at all.
+2. *Pruning.*  In each window the 5-word gram with the least hash is its anchor, so equal
+   windows have equal anchors at equal offsets.  Only anchors (a seventh of all places) are
+   shuffled; a suffix with an anchor in its window that occurs once can't be a repeat.
+3. *Groups.*  Suffixes are dealt by a prefix of one letter; prefixes share a group (a
+   virtual tree) so that one holds about ``group_rows`` suffixes.  Rows come sorted by group
+   and are read as a stream.  A task first merges equal suffixes of its own slice, and a
+   group that still outgrows ``group_rows`` distinct suffixes is dealt again by prefixes one
+   letter longer, until it fits or a prefix is a whole window.
+4. *Subtrees.*  A group's suffixes are sorted; the common prefix lengths of neighbours
+   give the intervals of its tree's nodes, and an interval of at least ``depth`` words is
+   a deep node: all its leaves but the earliest are repeats.  Adjacent repeats merge into
+   maximal spans.
+
+Letters are 32 bits of a 64-bit gram hash, so windows of 20 words count as equal when 128
+bits agree; texts as equal when two 64-bit hashes do.  The order is doc_id (null first),
+then text hash, then position; rows with the same doc_id and text are one document and get
+the same result.  Null and empty texts, and those of white space, have no words.  A very
+long text is cut into as many letters as it has words, in one slice.  An empty table gives
+an empty result.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,8 @@ from stratawise.llm.common import checkpointed, default_parallelism, flat_words,
 GRAM = 5
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _NO_ID = -(1 << 63)
+#: A row has either runs (of document did, th) or a packed part of a group's suffixes.
+_ROW = "group long, did long, th long, runs binary, docs binary, suffixes binary"
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -68,7 +74,7 @@ class Windows:
 
     def __init__(self, texts: pa.Array, depth: int):
         words, self.counts = flat_words(texts)
-        self.grams = gram_hashes(words)
+        self.grams, self.depth = gram_hashes(words), depth
         n = len(self.grams)
         self.first = np.cumsum(self.counts) - self.counts
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
@@ -83,7 +89,21 @@ class Windows:
             best[head] = np.where(nearer, best[step:], best[head])
             at[head] = np.where(nearer, at[step:], at[head])
             done += step
-        self.anchor = at[self.starts]  # of each window
+        self.anchors = np.unique(at[self.starts])
+
+    def suffixes(self, repeated: np.ndarray) -> np.ndarray:
+        """Starts of the windows all of whose anchors are among ``repeated`` (places)."""
+        known = np.zeros(len(self.grams) + 1, dtype=bool)
+        known[repeated[repeated < len(self.grams)]] = True
+        once = np.zeros(len(self.grams) + 1, dtype=np.int64)
+        once[self.anchors[~known[self.anchors]] + 1] = 1
+        once = np.cumsum(once)
+        return self.starts[once[self.starts + self.depth - GRAM + 1] == once[self.starts]]
+
+    def letters(self, starts: np.ndarray) -> np.ndarray:
+        """A row of letters for each suffix; the last letter ends with the window."""
+        own = (self.grams >> np.uint64(32)).astype("<u4")
+        return np.stack([own[starts + min(j, self.depth - GRAM)] for j in range(0, self.depth, GRAM)], axis=1)
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -95,208 +115,230 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _repeated_anchors(docs: DataFrame, depth: int, parts: int) -> DataFrame:
-    """Rows (did, th, pos, n): anchors that occur twice or more; also (gram, n) of each, with null pos."""
+def _first_copies(keyed: DataFrame) -> DataFrame:
+    """(did, th) of the document with the least id among those of equal text."""
+    return keyed.groupBy("th", F.xxhash64(F.lit(1), "text").alias("th2")).agg(F.min("did").alias("did")).select("did", "th").distinct()
+
+
+# --- pruning by anchors ------------------------------------------------------------------------
+
+
+def _repeated_anchors(keyed: DataFrame, depth: int, parts: int) -> DataFrame:
+    """Places (did, th, pos) of anchors that occur twice or more; equal texts of a slice count once."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, most=8_000_000):
-                w = Windows(piece.column("text"), depth)
-                at = np.unique(w.anchor)
+                did, th = piece.column("did").to_numpy(), piece.column("th").to_numpy()
+                _, copy = np.unique(piece.column("text").dictionary_encode().indices.to_numpy(), return_inverse=True)
+                order = np.lexsort((did, copy))
+                first = order[np.concatenate([[True], copy[order][1:] != copy[order][:-1]])[: len(order)]]
+                did, th, w = did[first], th[first], Windows(piece.column("text").take(pa.array(first)), depth)
+                order = np.argsort(w.grams[w.anchors], kind="stable")
+                at = w.anchors[order]
                 gram = w.grams[at]
-                order = np.argsort(gram, kind="stable")
-                at, gram = at[order], gram[order]
                 new = np.ones(len(gram), dtype=bool)
                 new[1:] = gram[1:] != gram[:-1]
-                n = np.diff(np.append(np.flatnonzero(new), len(gram)))
-                count = np.zeros(len(gram), dtype=np.int64)  # how often here, on the first; 0 on the others
-                count[new] = n
-                doc = w.doc[at]
+                count = np.zeros(len(gram), dtype=np.int32)  # how often here, on the first; 0 on the others
+                count[new] = np.diff(np.append(np.flatnonzero(new), len(gram)))
                 route = gram.view(np.int64).copy()
                 route[~new] ^= at[~new].astype(np.int64) * 0x5851F42D4C957F2D % (1 << 61)  # they need no meeting
-                yield _batch(
-                    route=pa.array(route), did=pa.array(piece.column("did").to_numpy()[doc]), th=pa.array(piece.column("th").to_numpy()[doc]),
-                    pos=pa.array(w.pos[at].astype(np.int32)), n=pa.array(count.astype(np.int32)),
-                )
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if held is None or not held.num_rows:
+                yield _batch(route=pa.array(route), did=pa.array(did[w.doc[at]]), th=pa.array(th[w.doc[at]]), pos=pa.array(w.pos[at].astype(np.int32)), n=pa.array(count))
+
+    dealt = keyed.mapInArrow(anchors, "route long, did long, th long, pos int, n int").repartition(parts, "route").sortWithinPartitions("route")
+    return dealt.mapInArrow(_met, "did long, th long, pos int")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by route those whose route comes twice or that were counted twice before; one row waits for its successor."""
+    held, joined = None, False  # the last row, and whether it equals the one before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        route, n = rows["route"].to_numpy(), rows["n"].to_numpy()
+        same = route[1:] == route[:-1]
+        keep = n != 1
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] |= joined
+        held, joined = rows.slice(len(route) - 1).to_batches()[0], bool(same[-1]) if len(same) else joined
+        yield from rows.slice(0, len(route) - 1).filter(pa.array(keep[:-1])).select(["did", "th", "pos"]).to_batches()
+    if held is not None and (joined or held.column("n")[0].as_py() != 1):
+        yield held.select(["did", "th", "pos"])
+
+
+# --- groups and subtrees -----------------------------------------------------------------------
+
+
+def _suffix_type(letters: int) -> np.dtype:
+    return np.dtype([("letters", "<u4", (letters,)), ("doc", "<u4"), ("pos", "<i4")])
+
+
+class Suffixes:
+    """Suffixes as columns: letters, and the place (did, th, pos) of each."""
+
+    def __init__(self, letters: np.ndarray, did: np.ndarray, th: np.ndarray, pos: np.ndarray):
+        self.letters, self.did, self.th, self.pos = letters, did, th, pos
+
+    def __len__(self) -> int:
+        return len(self.pos)
+
+    def take(self, which: np.ndarray) -> Suffixes:
+        return Suffixes(self.letters[which], self.did[which], self.th[which], self.pos[which])
+
+    @staticmethod
+    def joined(parts: list[Suffixes]) -> Suffixes:
+        return Suffixes(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("letters", "did", "th", "pos")))
+
+    def tree(self) -> tuple[Suffixes, Suffixes]:
+        """The earliest leaf of each deep node, in suffix order, and the other leaves of these nodes.
+
+        Suffixes are sorted; the letters that neighbours share are the depth of the node over
+        both, and an interval whose neighbours share all letters is a deep node."""
+        own = self.take(np.lexsort((self.pos, self.th, self.did, *self.letters.T[::-1])))
+        shared = np.cumprod(own.letters[1:] == own.letters[:-1], axis=1).sum(axis=1)
+        head = np.ones(len(own), dtype=bool)
+        head[1:] = shared < own.letters.shape[1]
+        first = np.maximum.accumulate(np.where(head, np.arange(len(own)), 0))
+        # A repeated row of a document brings the same place again, which is no repeat.
+        later = (own.did != own.did[first]) | (own.th != own.th[first]) | (own.pos != own.pos[first])
+        return own.take(head), own.take(later)
+
+    def packed(self, level: int, groups: int, most: int) -> Iterator[pa.RecordBatch]:
+        """Rows of at most ``most`` suffixes of one group each, by prefixes of ``level`` letters."""
+        if not len(self):
+            return
+        h = np.full(len(self), level, dtype=np.uint64)
+        for j in range(level):
+            h = (h ^ self.letters[:, j]) * np.uint64(_MULTIPLIER)
+            h ^= h >> np.uint64(29)
+        # A prefix that is a whole window has a group of its own.
+        group = (h % np.uint64(groups)).astype(np.int64) if level < self.letters.shape[1] else (h >> np.uint64(1)).view(np.int64)
+        order = np.argsort(group, kind="stable")
+        own, group = self.take(order), group[order]
+        at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        cuts = sorted({c for a, b in zip(at.tolist(), [*at[1:].tolist(), len(own)], strict=True) for c in range(a, b, most)}) + [len(own)]
+        docs, rows = [], []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            listed, doc = np.unique(np.stack([own.did[a:b], own.th[a:b]], axis=1), axis=0, return_inverse=True) if b - a > 1 else (np.array([[own.did[a], own.th[a]]]), np.zeros(1, dtype=int))
+            raw = np.empty(b - a, dtype=_suffix_type(own.letters.shape[1]))
+            raw["letters"], raw["doc"], raw["pos"] = own.letters[a:b], doc.reshape(-1), own.pos[a:b]
+            docs.append(listed.astype("<i8").tobytes())
+            rows.append(raw.tobytes())
+        n, size = len(rows), max(1, 4_000_000 // (1 + max(map(len, rows))))
+        for a in range(0, n, size):
+            k = min(n, a + size) - a
+            yield _batch(
+                group=pa.array(group[np.array(cuts[a : a + k])]), did=pa.nulls(k, pa.int64()), th=pa.nulls(k, pa.int64()), runs=pa.nulls(k, pa.binary()),
+                docs=pa.array(docs[a : a + k], pa.binary()), suffixes=pa.array(rows[a : a + k], pa.binary()),
+            )
+
+    def runs(self) -> Iterator[pa.RecordBatch]:
+        """Window starts as runs, one row a document."""
+        if not len(self):
+            return
+        own = self.take(np.lexsort((self.pos, self.th, self.did)))
+        did, th, pos = own.did, own.th, own.pos.astype(np.int64)
+        document = np.ones(len(pos), dtype=bool)
+        document[1:] = (did[1:] != did[:-1]) | (th[1:] != th[:-1])
+        head = document.copy()
+        head[1:] |= pos[1:] > pos[:-1] + 1
+        at = np.flatnonzero(head)
+        ends = np.append(at[1:], len(pos)) - 1
+        pairs = np.stack([pos[at], pos[ends] - pos[at] + 1], axis=1).astype("<i4")
+        rows = np.flatnonzero(document)
+        offsets = np.searchsorted(at, np.append(rows, len(pos))).astype(np.int32) * 8
+        packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(pairs))])
+        n = len(rows)
+        yield _batch(group=pa.array(did[rows] ^ th[rows]), did=pa.array(did[rows]), th=pa.array(th[rows]), runs=packed, docs=pa.nulls(n, pa.binary()), suffixes=pa.nulls(n, pa.binary()))
+
+
+def _unpacked(docs: bytes, suffixes: bytes, letters: int) -> Suffixes:
+    raw, listed = np.frombuffer(suffixes, dtype=_suffix_type(letters)), np.frombuffer(docs, dtype="<i8").reshape(-1, 2)
+    return Suffixes(raw["letters"], listed[raw["doc"], 0], listed[raw["doc"], 1], raw["pos"].astype(np.int32))
+
+
+class Group:
+    """The suffixes of one group as they come in; at most ``most`` distinct ones, and one row more, are held."""
+
+    def __init__(self, key: int, level: int, letters: int, groups: int, most: int):
+        self.key, self.level, self.letters, self.groups, self.most = key, level, letters, groups, most
+        self.parts, self.held, self.passing = [], 0, False
+
+    def add(self, more: Suffixes) -> Iterator[pa.RecordBatch]:
+        if self.passing:
+            yield from more.packed(self.level + 1, self.groups, self.most)
             return
-        route, n = held["route"].to_numpy(), held["n"].to_numpy()
-        order = np.lexsort((n == 0, route))
-        route, n = route[order], n[order].astype(np.int64)
-        tested = n > 0
-        new = np.ones(len(route), dtype=bool)
-        new[1:] = (route[1:] != route[:-1]) | ~tested[1:]
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, weights=n).astype(np.int64)
-        keep = ~tested | (total[group] >= 2)
-        rows = held.take(pa.array(order[keep]))
-        heads = np.flatnonzero(new & tested & (total[group] >= 2))
-        yield from rows.select(["did", "th", "pos"]).append_column("n", pa.nulls(rows.num_rows, pa.int64())).combine_chunks().to_batches()
-        if len(heads):
-            yield _batch(did=pa.array(route[heads]), th=pa.array(np.zeros(len(heads), dtype=np.int64)), pos=pa.nulls(len(heads), pa.int32()), n=pa.array(total[group[heads]]))
-
-    made = docs.mapInArrow(anchors, "route long, did long, th long, pos int, n int")
-    return made.repartition(parts, "route").mapInArrow(meet, "did long, th long, pos int, n long")
-
-
-def repeated_windows(docs: DataFrame, depth: int = 20, group_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and the repeats of each: rows (did, th, runs), a run being
+        self.parts.append(more)
+        self.held += len(more)
+        if self.held > self.most:
+            heads, later = Suffixes.joined(self.parts).tree()
+            yield from later.runs()
+            self.parts, self.held = [heads], len(heads)
+            if self.held > self.most // 2 and self.level < self.letters:  # a longer prefix for all of them
+                self.parts, self.held, self.passing = [], 0, True
+                yield from heads.packed(self.level + 1, self.groups, self.most)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield from Suffixes.joined(self.parts).tree()[1].runs()
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch], level: int, letters: int, groups: int, most: int, watch: Callable[[Group], None] = lambda group: None) -> Iterator[pa.RecordBatch]:
+    """Runs of repeats, and the suffixes of groups that need longer prefixes; rows come sorted by group."""
+    group = None
+    for batch in batches:
+        ready = batch.column("docs").is_null()
+        if (passed := batch.filter(ready)).num_rows:
+            yield passed
+        rest = batch.filter(pa.compute.invert(ready))
+        for key, docs, suffixes in zip(rest.column("group").to_pylist(), rest.column("docs"), rest.column("suffixes"), strict=True):
+            if group is None or key != group.key:
+                if group:
+                    yield from group.end()
+                group = Group(key, level, letters, groups, most)
+            yield from group.add(_unpacked(docs.as_buffer(), suffixes.as_buffer(), letters))
+            watch(group)
+    if group:
+        yield from group.end()
+
+
+def repeated_windows(docs: DataFrame, depth: int = 20, group_rows: int = 1 << 18) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The keyed documents; (did, th) of first copies; and the repeats of each: rows (did, th, runs), a run being
     (first window start, number of windows) as pairs of little-endian 32-bit integers."""
     if depth < GRAM + 4:
         raise ValueError(f"a window has at least {GRAM + 4} words")
-    parts = default_parallelism(docs.sparkSession)
+    parts, letters = default_parallelism(docs.sparkSession), -(-depth // GRAM)
     keyed = _keyed(docs)
+    firsts = _first_copies(keyed)
     found = checkpointed(_repeated_anchors(keyed, depth, parts))
-    total = found.where("pos is null").agg(F.sum("n")).first()[0] or 0
-    # At most 10,000 prefixes can be above this size, so the list is small at any scale.
-    bound = max(group_rows, total // 10_000)
-    heavy = np.array(sorted(r["did"] for r in found.where((F.col("n") > bound) & F.col("pos").isNull()).select("did").collect()), dtype=np.int64).view(np.uint64)
-    heavy.sort()
-    anchors = found.where("pos is not null").groupBy("did", "th").agg(F.collect_list("pos").alias("anchors"))
+    # A place has at most as many windows as an anchor can stand in; a group begins half full.
+    groups = max(4 * parts, -(-found.count() * (depth - GRAM + 1) * 2 // group_rows))
+    anchors = found.groupBy("did", "th").agg(F.collect_list("pos").alias("anchors"))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, most=8_000_000):
-                yield from _suffixes(piece, depth, heavy)
+                w, listed = Windows(piece.column("text"), depth), piece.column("anchors")
+                starts = w.suffixes(w.first[listed.value_parent_indices().to_numpy()] + listed.flatten().to_numpy())
+                if len(starts):
+                    doc = w.doc[starts]
+                    heads, later = Suffixes(w.letters(starts), piece.column("did").to_numpy()[doc], piece.column("th").to_numpy()[doc], w.pos[starts].astype(np.int32)).tree()
+                    yield from later.runs()
+                    yield from heads.packed(1, groups, group_rows)
 
     # The same columns as in the last join, so that both read one shuffle of the texts.
-    rows = keyed.join(anchors, ["did", "th"]).select("did", "no_id", "th", "text", "anchors").mapInArrow(suffixes, "route long, did long, th long, pos int, letters binary")
-    runs = rows.repartition(parts, "route").mapInArrow(lambda batches: _subtrees(batches, depth), "did long, th long, runs binary")
-    return keyed, runs.groupBy("did", "th").agg(F.collect_list("runs").alias("runs"))
-
-
-def _suffixes(piece: pa.RecordBatch, depth: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    w = Windows(piece.column("text"), depth)
-    listed = piece.column("anchors")
-    where = w.first[listed.value_parent_indices().to_numpy()] + listed.flatten().to_numpy()
-    wanted = np.zeros(len(w.grams) + 1, dtype=bool)
-    wanted[where[where < len(w.grams)]] = True
-    keep = wanted[w.anchor]
-    starts, anchor = w.starts[keep], w.anchor[keep]
-    if not len(starts):
-        return
-    did, th = piece.column("did").to_numpy(), piece.column("th").to_numpy()
-    letters = (w.grams >> np.uint64(32)).astype("<u4")
-    common = np.isin(w.grams[anchor], heavy) if len(heavy) else np.zeros(len(starts), dtype=bool)
-    if common.any():
-        own = starts[common]
-        doc = w.doc[own]
-        window = _joined(letters, own, depth)
-        order = np.lexsort((w.pos[own], th[doc], did[doc], window[:, 1], window[:, 0]))
-        own, doc, window = own[order], doc[order], window[order]
-        new, repeat = _nodes(window, did[doc], th[doc], w.pos[own])
-        first = own[new]
-        yield _batch(
-            route=pa.array((window[new, 0] ^ (window[new, 1] * np.uint64(_MULTIPLIER))).view(np.int64)), did=pa.array(did[w.doc[first]]), th=pa.array(th[w.doc[first]]),
-            pos=pa.array(w.pos[first].astype(np.int32)), letters=_whole(window[new]),
-        )
-        if repeat.any():
-            yield from _run_rows(did[doc[repeat]], th[doc[repeat]], w.pos[own[repeat]])
-        starts, anchor = starts[~common], anchor[~common]
-    if len(starts):
-        head = np.ones(len(starts), dtype=bool)
-        head[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
-        at = np.flatnonzero(head)
-        first, n = starts[at], np.diff(np.append(at, len(starts)))
-        doc = w.doc[first]
-        yield _batch(
-            route=pa.array(w.grams[anchor[at]].view(np.int64)), did=pa.array(did[doc]), th=pa.array(th[doc]), pos=pa.array(w.pos[first].astype(np.int32)),
-            letters=_sliced(letters, first, n, depth),
-        )
-
-
-def _joined(letters: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """The letters of each window as two 64-bit numbers."""
-    offsets = [min(j, depth - GRAM) for j in range(0, depth, GRAM)]
-    picks = [letters[starts + o].astype(np.uint64) for o in offsets]
-    a, b = picks[0].copy(), np.zeros(len(starts), dtype=np.uint64)
-    for k, p in enumerate(picks[1:], 1):  # four letters fit exactly; more are mixed in
-        if k < 2:
-            a = (a << np.uint64(32)) | p
-        elif k < 4:
-            b = (b << np.uint64(32)) | p
-        else:
-            a, b = a * np.uint64(_MULTIPLIER) + p, b * np.uint64(0xD6E8FEB86659FD93) ^ p
-    return np.stack([a, b], axis=1)
-
-
-def _nodes(window: np.ndarray, did: np.ndarray, th: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted windows: which begin a node, and which are repeats (not at the node's earliest place)."""
-    new = np.ones(len(window), dtype=bool)
-    new[1:] = (window[1:] != window[:-1]).any(axis=1)
-    first = np.maximum.accumulate(np.where(new, np.arange(len(window)), 0))
-    return new, (did != did[first]) | (th != th[first]) | (pos != pos[first])
-
-
-def _sliced(letters: np.ndarray, first: np.ndarray, n: np.ndarray, depth: int) -> pa.Array:
-    """Of each row the letters of its n windows, as bytes."""
-    size = n + depth - GRAM
-    ends = np.cumsum(size)
-    where = np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]))
-    offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(letters[where])])
-
-
-def _whole(window: np.ndarray) -> pa.Array:
-    """Single windows as their 16 bytes."""
-    offsets = np.arange(len(window) + 1, dtype=np.int32) * 16
-    return pa.Array.from_buffers(pa.binary(), len(window), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(window.astype("<u8")))])
-
-
-def _run_rows(did: np.ndarray, th: np.ndarray, pos: np.ndarray, *, last: bool = False) -> Iterator[pa.RecordBatch]:
-    """Window starts as runs, one row a document."""
-    order = np.lexsort((pos, th, did))
-    did, th, pos = did[order], th[order], pos[order].astype(np.int64)
-    document = np.ones(len(pos), dtype=bool)
-    document[1:] = (did[1:] != did[:-1]) | (th[1:] != th[:-1])
-    head = document.copy()
-    head[1:] |= pos[1:] > pos[:-1] + 1
-    at = np.flatnonzero(head)
-    ends = np.append(at[1:], len(pos)) - 1
-    pairs = np.stack([pos[at], pos[ends] - pos[at] + 1], axis=1).astype("<i4")
-    rows = np.flatnonzero(document)
-    offsets = np.searchsorted(at, np.append(rows, len(pos))).astype(np.int32) * 8
-    runs = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(pairs))])
-    if last:
-        yield _batch(did=pa.array(did[rows]), th=pa.array(th[rows]), runs=runs)
-    else:
-        yield _batch(route=pa.array(did[rows] ^ th[rows]), did=pa.array(did[rows]), th=pa.array(th[rows]), pos=pa.nulls(len(rows), pa.int32()), letters=runs)
-
-
-def _subtrees(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    held = []
-    for batch in batches:
-        ready = batch.column("pos").is_null()
-        passed = batch.filter(ready)
-        if passed.num_rows:
-            yield _batch(did=passed.column("did"), th=passed.column("th"), runs=passed.column("letters"))
-        rest = batch.filter(pa.compute.invert(ready))
-        if rest.num_rows:
-            held.append(rest)
-    if not held:
-        return
-    table = pa.Table.from_batches(held).combine_chunks()
-    raw = table["letters"].chunk(0)
-    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64) // 4
-    letters = np.frombuffer(raw.buffers()[2], dtype="<u4")
-    single = np.diff(offsets) == 4  # one window as such; rows of letters are longer
-    n = np.where(single, 1, np.diff(offsets) - (depth - GRAM))
-    ends = np.cumsum(n)
-    row = np.repeat(np.arange(len(n)), n)
-    step = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
-    lone = single[row]
-    window = np.empty((len(row), 2), dtype=np.uint64)
-    window[~lone] = _joined(letters, (offsets[row] + step)[~lone], depth)
-    window[lone] = letters[(offsets[:-1][single][:, None] + np.arange(4)).reshape(-1)].view("<u8").reshape(-1, 2)
-    did, th, pos = table["did"].to_numpy()[row], table["th"].to_numpy()[row], table["pos"].to_numpy()[row].astype(np.int64) + step
-    order = np.lexsort((pos, th, did, window[:, 1], window[:, 0]))
-    did, th, pos = did[order], th[order], pos[order]
-    _, repeat = _nodes(window[order], did, th, pos)
-    if repeat.any():
-        yield from _run_rows(did[repeat], th[repeat], pos[repeat], last=True)
+    rows = keyed.join(firsts, ["did", "th"]).join(anchors, ["did", "th"]).select("did", "no_id", "th", "text", "anchors").mapInArrow(suffixes, _ROW)
+    runs = None
+    for level in range(1, letters + 1):
+        dealt = rows.repartition(parts, "group").sortWithinPartitions("group")
+        out = checkpointed(dealt.mapInArrow(lambda batches, level=level: _subtrees(batches, level, letters, groups, group_rows), _ROW))
+        own = out.where("docs is null").select("did", "th", "runs")
+        runs, rows = own if runs is None else runs.unionByName(own), out.where("docs is not null")
+        if rows.isEmpty():
+            break
+    return keyed, firsts, runs.groupBy("did", "th").agg(F.collect_list("runs").alias("runs"))
 
 
 def _covered(runs: list[bytes] | None, n: int, depth: int) -> np.ndarray:
@@ -308,19 +350,19 @@ def _covered(runs: list[bytes] | None, n: int, depth: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, depth: int = 20, group_rows: int = 20_000, *, with_output: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = 20, group_rows: int = 1 << 18, *, with_output: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256; with_output adds the kept
     text and the removed maximal spans as arrays of first word and number of words."""
-    keyed, repeats = repeated_windows(docs, depth, group_rows)
+    keyed, firsts, repeats = repeated_windows(docs, depth, group_rows)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, span_start array<int>, span_words array<int>" * with_output
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 out = []
-                for no_id, did, text, runs in zip(*(piece.column(c).to_pylist() for c in ("no_id", "did", "text", "runs")), strict=True):
+                for no_id, did, text, first, runs in zip(*(piece.column(c).to_pylist() for c in ("no_id", "did", "text", "first", "runs")), strict=True):
                     words = text.encode().split()
-                    gone = _covered(runs, len(words), depth) if runs else None
+                    gone = _covered(runs, len(words), depth) if runs else None if first or len(words) < depth else np.ones(len(words), dtype=bool)
                     kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     joined = b" ".join(kept)
                     row = [None if no_id else did, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest()]
@@ -332,4 +374,5 @@ def remove_repeats(docs: DataFrame, depth: int = 20, group_rows: int = 20_000, *
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], types[i]) for i, c in enumerate(names)})
 
-    return keyed.join(repeats, ["did", "th"], "left").select("no_id", "did", "text", "runs").mapInArrow(rewrite, schema)
+    marked = keyed.join(firsts.withColumn("first", F.lit(True)), ["did", "th"], "left").join(repeats, ["did", "th"], "left")
+    return marked.select("no_id", "did", "text", F.coalesce("first", F.lit(False)).alias("first"), "runs").mapInArrow(rewrite, schema)

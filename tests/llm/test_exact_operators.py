@@ -76,7 +76,7 @@ def test_prefix_tables_append_and_edit():
     assert text.text == "Some wor ds, thence more  words.\n" and text.ids == [t for u in encoder.units([text.text]) for t in u]
 
 
-@pytest.mark.parametrize("group_rows", [20_000, 2])
+@pytest.mark.parametrize("group_rows", [1 << 18, 100, 2])
 def test_suffix_dedup(docs, table, empty, group_rows):
     keyed = sorted({(r[0] is not None, r[0] or 0, r[1] or "") for r in table})
     # Equal ids are ordered by text hash in Spark: take that order from the operator's own key.
@@ -102,6 +102,42 @@ def test_suffix_dedup(docs, table, empty, group_rows):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_groups_stay_within_their_bound():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    # One very common first word run with many goings-on, one very common window, and all else.
+    letters = np.concatenate([np.c_[np.full(3000, 7), rng.integers(0, 9, (3000, 3))], np.full((2000, 4), 5), rng.integers(0, 99, (1000, 4))]).astype("<u4")
+    pos = np.arange(len(letters), dtype=np.int32) * 2
+    own = suffix_dedup.Suffixes(letters, rng.integers(0, 5, len(letters)), np.zeros(len(letters), dtype=np.int64), pos)
+    seen, want = {}, set()
+    for i in np.lexsort((own.pos, own.did)).tolist():
+        if seen.setdefault(tuple(letters[i]), i) != i:
+            want.add((int(own.did[i]), int(pos[i])))
+    rows, got, level, held, most = [], set(), 0, [], 64
+    parts = [own.take(np.arange(a, min(a + 500, len(own)))) for a in range(0, len(own), 500)]
+    for part in parts:
+        heads, later = part.tree()
+        rows += [*later.runs(), *heads.packed(1, 8, most)]
+    while rows and level < 4:
+        level += 1
+        sorted_rows = pa.Table.from_batches(rows).sort_by("group").to_batches(max_chunksize=3)
+        out = list(suffix_dedup._subtrees(sorted_rows, level, 4, 8, most, lambda g: held.append(g.held)))
+        rows = [r for b in out if (r := b.filter(b.column("docs").is_valid())).num_rows]
+        for b in out:
+            for did, runs in zip(b.column("did").to_pylist(), b.column("runs").to_pylist(), strict=True):
+                if runs:
+                    got |= {(did, int(a) + k) for a, n in np.frombuffer(runs, "<i4").reshape(-1, 2) for k in range(n)}
+    assert got == want and not rows and level > 1 and max(held) <= most
+
+
+def test_words_of_later_copies_go(spark):
+    text, short = " ".join(f"w{i}" for i in range(50)), "only a few words"
+    rows = [(i, text) for i in (9, 4, 4, 7)] + [(1, short), (2, short), (3, text + " more"), (None, text)]
+    got = Counter(tuple(r)[:3] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(9, 50, 50), (4, 50, 50), (4, 50, 50), (7, 50, 50), (1, 4, 0), (2, 4, 0), (3, 51, 50), (None, 50, 0)])
+
+
 def luhn_ok(d):
     return sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(d))) % 10 == 0
 
