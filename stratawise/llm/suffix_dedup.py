@@ -12,8 +12,8 @@ at a window's first word and is read to that window's end, in letters of GRAM wo
 3. *Groups.*  Suffixes are dealt by a prefix of one letter; prefixes share a group (a
    virtual tree) so that one holds about ``group_rows`` suffixes.  Rows come sorted by group
    and are read as a stream.  A task first merges equal suffixes of its own slice, and a
-   group that still outgrows ``group_rows`` distinct suffixes is dealt again by prefixes one
-   letter longer, until it fits or a prefix is a whole window.
+   group that still outgrows ``group_rows`` distinct suffixes is dealt again by a prefix of
+   two letters, then of the whole window, under which only equal suffixes meet.
 4. *Subtrees.*  A group's suffixes are sorted; the common prefix lengths of neighbours
    give the intervals of its tree's nodes, and an interval of at least ``depth`` words is
    a deep node: all its leaves but the earliest are repeats.  Adjacent repeats merge into
@@ -21,8 +21,8 @@ at a window's first word and is read to that window's end, in letters of GRAM wo
 
 Letters are 32 bits of a 64-bit gram hash, so windows of 20 words count as equal when 128
 bits agree; texts as equal when two 64-bit hashes do.  The order is doc_id (null first),
-then text hash, then position; rows with the same doc_id and text are one document and get
-the same result.  Null and empty texts, and those of white space, have no words.  A very
+then a hash of id and text, then position; rows with the same doc_id and text are one
+document and get the same result.  Null and empty texts, and those of white space, have no words.  A very
 long text is cut into as many letters as it has words, in one slice.  An empty table gives
 an empty result.  Columns other than doc_id and text are not read.
 """
@@ -42,8 +42,8 @@ from stratawise.llm.common import checkpointed, default_parallelism, flat_words,
 GRAM = 5
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _NO_ID = -(1 << 63)
-#: A row has either runs (of document did, th) or a packed part of a group's suffixes.
-_ROW = "group long, did long, th long, runs binary, docs binary, suffixes binary"
+#: A row has either runs (of document did, dk) or a packed part of a group's suffixes.
+_ROW = "group long, did long, dk long, runs binary, docs binary, suffixes binary"
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -112,41 +112,43 @@ def _batch(**columns) -> pa.RecordBatch:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    return docs.select(did.alias("did"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(did, text).alias("dk"), text.alias("text"))
 
 
 def _first_copies(keyed: DataFrame) -> DataFrame:
-    """(did, th) of the document with the least id among those of equal text."""
-    return keyed.groupBy("th", F.xxhash64(F.lit(1), "text").alias("th2")).agg(F.min("did").alias("did")).select("did", "th").distinct()
+    """The key dk of the document with the least id among those of equal text."""
+    same = keyed.groupBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    return same.agg(F.min(F.struct("did", "dk")).alias("least")).select("least.dk").distinct()
 
 
 # --- pruning by anchors ------------------------------------------------------------------------
 
 
 def _repeated_anchors(keyed: DataFrame, depth: int, parts: int) -> DataFrame:
-    """Places (did, th, pos) of anchors that occur twice or more; equal texts of a slice count once."""
+    """Places (dk, pos) of anchors that occur twice or more; equal texts of a slice count once."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, most=8_000_000):
-                did, th = piece.column("did").to_numpy(), piece.column("th").to_numpy()
+                did, dk = piece.column("did").to_numpy(), piece.column("dk").to_numpy()
                 _, copy = np.unique(piece.column("text").dictionary_encode().indices.to_numpy(), return_inverse=True)
                 order = np.lexsort((did, copy))
                 first = order[np.concatenate([[True], copy[order][1:] != copy[order][:-1]])[: len(order)]]
-                did, th, w = did[first], th[first], Windows(piece.column("text").take(pa.array(first)), depth)
+                dk, w = dk[first], Windows(piece.column("text").take(pa.array(first)), depth)
                 order = np.argsort(w.grams[w.anchors], kind="stable")
                 at = w.anchors[order]
                 gram = w.grams[at]
                 new = np.ones(len(gram), dtype=bool)
                 new[1:] = gram[1:] != gram[:-1]
-                count = np.zeros(len(gram), dtype=np.int32)  # how often here, on the first; 0 on the others
-                count[new] = np.diff(np.append(np.flatnonzero(new), len(gram)))
+                count = np.zeros(len(gram), dtype=np.int64)  # 1 on the first of a gram that occurs once here, 2 if more often; 0 on the others
+                count[new] = np.minimum(2, np.diff(np.append(np.flatnonzero(new), len(gram))))
                 route = gram.view(np.int64).copy()
                 route[~new] ^= at[~new].astype(np.int64) * 0x5851F42D4C957F2D % (1 << 61)  # they need no meeting
-                yield _batch(route=pa.array(route), did=pa.array(did[w.doc[at]]), th=pa.array(th[w.doc[at]]), pos=pa.array(w.pos[at].astype(np.int32)), n=pa.array(count))
+                yield _batch(route=pa.array(route), dk=pa.array(dk[w.doc[at]]), at=pa.array(w.pos[at] * 4 + count))
 
-    dealt = keyed.mapInArrow(anchors, "route long, did long, th long, pos int, n int").repartition(parts, "route").sortWithinPartitions("route")
-    return dealt.mapInArrow(_met, "did long, th long, pos int")
+    dealt = keyed.mapInArrow(anchors, "route long, dk long, at long").repartition(parts, "route").sortWithinPartitions("route")
+    return dealt.mapInArrow(_met, "dk long, pos int")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,16 +158,20 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        route, n = rows["route"].to_numpy(), rows["n"].to_numpy()
+        route, n = rows["route"].to_numpy(), rows["at"].to_numpy() & 3
         same = route[1:] == route[:-1]
         keep = n != 1
         keep[1:] |= same
         keep[:-1] |= same
         keep[0] |= joined
         held, joined = rows.slice(len(route) - 1).to_batches()[0], bool(same[-1]) if len(same) else joined
-        yield from rows.slice(0, len(route) - 1).filter(pa.array(keep[:-1])).select(["did", "th", "pos"]).to_batches()
-    if held is not None and (joined or held.column("n")[0].as_py() != 1):
-        yield held.select(["did", "th", "pos"])
+        yield _places(rows.slice(0, len(route) - 1).filter(pa.array(keep[:-1])))
+    if held is not None and (joined or held.column("at")[0].as_py() & 3 != 1):
+        yield _places(held)
+
+
+def _places(rows: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
+    return _batch(dk=pa.array(rows["dk"].to_numpy()), pos=pa.array((rows["at"].to_numpy() >> 2).astype(np.int32)))
 
 
 # --- groups and subtrees -----------------------------------------------------------------------
@@ -176,33 +182,33 @@ def _suffix_type(letters: int) -> np.dtype:
 
 
 class Suffixes:
-    """Suffixes as columns: letters, and the place (did, th, pos) of each."""
+    """Suffixes as columns: letters, and the place (did, dk, pos) of each."""
 
-    def __init__(self, letters: np.ndarray, did: np.ndarray, th: np.ndarray, pos: np.ndarray):
-        self.letters, self.did, self.th, self.pos = letters, did, th, pos
+    def __init__(self, letters: np.ndarray, did: np.ndarray, dk: np.ndarray, pos: np.ndarray):
+        self.letters, self.did, self.dk, self.pos = letters, did, dk, pos
 
     def __len__(self) -> int:
         return len(self.pos)
 
     def take(self, which: np.ndarray) -> Suffixes:
-        return Suffixes(self.letters[which], self.did[which], self.th[which], self.pos[which])
+        return Suffixes(self.letters[which], self.did[which], self.dk[which], self.pos[which])
 
     @staticmethod
     def joined(parts: list[Suffixes]) -> Suffixes:
-        return Suffixes(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("letters", "did", "th", "pos")))
+        return Suffixes(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("letters", "did", "dk", "pos")))
 
     def tree(self) -> tuple[Suffixes, Suffixes]:
         """The earliest leaf of each deep node, in suffix order, and the other leaves of these nodes.
 
         Suffixes are sorted; the letters that neighbours share are the depth of the node over
         both, and an interval whose neighbours share all letters is a deep node."""
-        own = self.take(np.lexsort((self.pos, self.th, self.did, *self.letters.T[::-1])))
+        own = self.take(np.lexsort((self.pos, self.dk, self.did, *self.letters.T[::-1])))
         shared = np.cumprod(own.letters[1:] == own.letters[:-1], axis=1).sum(axis=1)
         head = np.ones(len(own), dtype=bool)
         head[1:] = shared < own.letters.shape[1]
         first = np.maximum.accumulate(np.where(head, np.arange(len(own)), 0))
         # A repeated row of a document brings the same place again, which is no repeat.
-        later = (own.did != own.did[first]) | (own.th != own.th[first]) | (own.pos != own.pos[first])
+        later = (own.did != own.did[first]) | (own.dk != own.dk[first]) | (own.pos != own.pos[first])
         return own.take(head), own.take(later)
 
     def packed(self, level: int, groups: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -221,7 +227,7 @@ class Suffixes:
         cuts = sorted({c for a, b in zip(at.tolist(), [*at[1:].tolist(), len(own)], strict=True) for c in range(a, b, most)}) + [len(own)]
         docs, rows = [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            listed, doc = np.unique(np.stack([own.did[a:b], own.th[a:b]], axis=1), axis=0, return_inverse=True) if b - a > 1 else (np.array([[own.did[a], own.th[a]]]), np.zeros(1, dtype=int))
+            listed, doc = np.unique(np.stack([own.did[a:b], own.dk[a:b]], axis=1), axis=0, return_inverse=True) if b - a > 1 else (np.array([[own.did[a], own.dk[a]]]), np.zeros(1, dtype=int))
             raw = np.empty(b - a, dtype=_suffix_type(own.letters.shape[1]))
             raw["letters"], raw["doc"], raw["pos"] = own.letters[a:b], doc.reshape(-1), own.pos[a:b]
             docs.append(listed.astype("<i8").tobytes())
@@ -230,7 +236,7 @@ class Suffixes:
         for a in range(0, n, size):
             k = min(n, a + size) - a
             yield _batch(
-                group=pa.array(group[np.array(cuts[a : a + k])]), did=pa.nulls(k, pa.int64()), th=pa.nulls(k, pa.int64()), runs=pa.nulls(k, pa.binary()),
+                group=pa.array(group[np.array(cuts[a : a + k])]), did=pa.nulls(k, pa.int64()), dk=pa.nulls(k, pa.int64()), runs=pa.nulls(k, pa.binary()),
                 docs=pa.array(docs[a : a + k], pa.binary()), suffixes=pa.array(rows[a : a + k], pa.binary()),
             )
 
@@ -238,10 +244,10 @@ class Suffixes:
         """Window starts as runs, one row a document."""
         if not len(self):
             return
-        own = self.take(np.lexsort((self.pos, self.th, self.did)))
-        did, th, pos = own.did, own.th, own.pos.astype(np.int64)
+        own = self.take(np.lexsort((self.pos, self.dk, self.did)))
+        did, dk, pos = own.did, own.dk, own.pos.astype(np.int64)
         document = np.ones(len(pos), dtype=bool)
-        document[1:] = (did[1:] != did[:-1]) | (th[1:] != th[:-1])
+        document[1:] = (did[1:] != did[:-1]) | (dk[1:] != dk[:-1])
         head = document.copy()
         head[1:] |= pos[1:] > pos[:-1] + 1
         at = np.flatnonzero(head)
@@ -251,7 +257,7 @@ class Suffixes:
         offsets = np.searchsorted(at, np.append(rows, len(pos))).astype(np.int32) * 8
         packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(pairs))])
         n = len(rows)
-        yield _batch(group=pa.array(did[rows] ^ th[rows]), did=pa.array(did[rows]), th=pa.array(th[rows]), runs=packed, docs=pa.nulls(n, pa.binary()), suffixes=pa.nulls(n, pa.binary()))
+        yield _batch(group=pa.array(did[rows] ^ dk[rows]), did=pa.array(did[rows]), dk=pa.array(dk[rows]), runs=packed, docs=pa.nulls(n, pa.binary()), suffixes=pa.nulls(n, pa.binary()))
 
 
 def _unpacked(docs: bytes, suffixes: bytes, letters: int) -> Suffixes:
@@ -262,13 +268,13 @@ def _unpacked(docs: bytes, suffixes: bytes, letters: int) -> Suffixes:
 class Group:
     """The suffixes of one group as they come in; at most ``most`` distinct ones, and one row more, are held."""
 
-    def __init__(self, key: int, level: int, letters: int, groups: int, most: int):
-        self.key, self.level, self.letters, self.groups, self.most = key, level, letters, groups, most
+    def __init__(self, key: int, longer: int | None, groups: int, most: int):
+        self.key, self.longer, self.groups, self.most = key, longer, groups, most
         self.parts, self.held, self.passing = [], 0, False
 
     def add(self, more: Suffixes) -> Iterator[pa.RecordBatch]:
         if self.passing:
-            yield from more.packed(self.level + 1, self.groups, self.most)
+            yield from more.packed(self.longer, self.groups, self.most)
             return
         self.parts.append(more)
         self.held += len(more)
@@ -276,17 +282,17 @@ class Group:
             heads, later = Suffixes.joined(self.parts).tree()
             yield from later.runs()
             self.parts, self.held = [heads], len(heads)
-            if self.held > self.most // 2 and self.level < self.letters:  # a longer prefix for all of them
+            if self.held > self.most // 2 and self.longer:  # a longer prefix for all of them
                 self.parts, self.held, self.passing = [], 0, True
-                yield from heads.packed(self.level + 1, self.groups, self.most)
+                yield from heads.packed(self.longer, self.groups, self.most)
 
     def end(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
             yield from Suffixes.joined(self.parts).tree()[1].runs()
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch], level: int, letters: int, groups: int, most: int, watch: Callable[[Group], None] = lambda group: None) -> Iterator[pa.RecordBatch]:
-    """Runs of repeats, and the suffixes of groups that need longer prefixes; rows come sorted by group."""
+def _subtrees(batches: Iterator[pa.RecordBatch], longer: int | None, letters: int, groups: int, most: int, watch: Callable[[Group], None] = lambda group: None) -> Iterator[pa.RecordBatch]:
+    """Runs of repeats, and the suffixes of groups that need prefixes of ``longer`` letters; rows come sorted by group."""
     group = None
     for batch in batches:
         ready = batch.column("docs").is_null()
@@ -297,7 +303,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch], level: int, letters: int, group
             if group is None or key != group.key:
                 if group:
                     yield from group.end()
-                group = Group(key, level, letters, groups, most)
+                group = Group(key, longer, groups, most)
             yield from group.add(_unpacked(docs.as_buffer(), suffixes.as_buffer(), letters))
             watch(group)
     if group:
@@ -305,17 +311,17 @@ def _subtrees(batches: Iterator[pa.RecordBatch], level: int, letters: int, group
 
 
 def repeated_windows(docs: DataFrame, depth: int = 20, group_rows: int = 1 << 18) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The keyed documents; (did, th) of first copies; and the repeats of each: rows (did, th, runs), a run being
-    (first window start, number of windows) as pairs of little-endian 32-bit integers."""
+    """The keyed documents; the keys of first copies; and the repeats of each: rows (dk, runs of (did, runs)), a run
+    being (first window start, number of windows) as pairs of little-endian 32-bit integers."""
     if depth < GRAM + 4:
         raise ValueError(f"a window has at least {GRAM + 4} words")
     parts, letters = default_parallelism(docs.sparkSession), -(-depth // GRAM)
     keyed = _keyed(docs)
     firsts = _first_copies(keyed)
-    found = checkpointed(_repeated_anchors(keyed, depth, parts))
-    # A place has at most as many windows as an anchor can stand in; a group begins half full.
-    groups = max(4 * parts, -(-found.count() * (depth - GRAM + 1) * 2 // group_rows))
-    anchors = found.groupBy("did", "th").agg(F.collect_list("pos").alias("anchors"))
+    # A suffix a word at most; a word has two bytes at least.
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(4 * parts, -(-size // (2 * group_rows)))
+    anchors = _repeated_anchors(keyed, depth, parts).groupBy("dk").agg(F.collect_list("pos").alias("anchors"))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,21 +330,17 @@ def repeated_windows(docs: DataFrame, depth: int = 20, group_rows: int = 1 << 18
                 starts = w.suffixes(w.first[listed.value_parent_indices().to_numpy()] + listed.flatten().to_numpy())
                 if len(starts):
                     doc = w.doc[starts]
-                    heads, later = Suffixes(w.letters(starts), piece.column("did").to_numpy()[doc], piece.column("th").to_numpy()[doc], w.pos[starts].astype(np.int32)).tree()
+                    heads, later = Suffixes(w.letters(starts), piece.column("did").to_numpy()[doc], piece.column("dk").to_numpy()[doc], w.pos[starts].astype(np.int32)).tree()
                     yield from later.runs()
                     yield from heads.packed(1, groups, group_rows)
 
     # The same columns as in the last join, so that both read one shuffle of the texts.
-    rows = keyed.join(firsts, ["did", "th"]).join(anchors, ["did", "th"]).select("did", "no_id", "th", "text", "anchors").mapInArrow(suffixes, _ROW)
-    runs = None
-    for level in range(1, letters + 1):
+    rows = keyed.join(firsts, "dk", "left_semi").join(anchors, "dk").select("dk", "did", "no_id", "text", "anchors").mapInArrow(suffixes, _ROW)
+    levels = sorted({1, 2, letters})
+    for longer in (*levels[1:], None):
         dealt = rows.repartition(parts, "group").sortWithinPartitions("group")
-        out = checkpointed(dealt.mapInArrow(lambda batches, level=level: _subtrees(batches, level, letters, groups, group_rows), _ROW))
-        own = out.where("docs is null").select("did", "th", "runs")
-        runs, rows = own if runs is None else runs.unionByName(own), out.where("docs is not null")
-        if rows.isEmpty():
-            break
-    return keyed, firsts, runs.groupBy("did", "th").agg(F.collect_list("runs").alias("runs"))
+        rows = dealt.mapInArrow(lambda batches, longer=longer: _subtrees(batches, longer, letters, groups, group_rows), _ROW)
+    return keyed, firsts, rows.groupBy("dk").agg(F.collect_list(F.struct("did", "runs")).alias("runs"))
 
 
 def _covered(runs: list[bytes] | None, n: int, depth: int) -> np.ndarray:
@@ -361,7 +363,7 @@ def remove_repeats(docs: DataFrame, depth: int = 20, group_rows: int = 1 << 18,
             for piece in slices(batch):
                 out = []
                 for no_id, did, text, first, runs in zip(*(piece.column(c).to_pylist() for c in ("no_id", "did", "text", "first", "runs")), strict=True):
-                    words = text.encode().split()
+                    words, runs = text.encode().split(), [r["runs"] for r in runs or () if r["did"] == did]
                     gone = _covered(runs, len(words), depth) if runs else None if first or len(words) < depth else np.ones(len(words), dtype=bool)
                     kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     joined = b" ".join(kept)
@@ -374,5 +376,5 @@ def remove_repeats(docs: DataFrame, depth: int = 20, group_rows: int = 1 << 18,
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], types[i]) for i, c in enumerate(names)})
 
-    marked = keyed.join(firsts.withColumn("first", F.lit(True)), ["did", "th"], "left").join(repeats, ["did", "th"], "left")
+    marked = keyed.join(firsts.withColumn("first", F.lit(True)), "dk", "left").join(repeats, "dk", "left")
     return marked.select("no_id", "did", "text", F.coalesce("first", F.lit(False)).alias("first"), "runs").mapInArrow(rewrite, schema)

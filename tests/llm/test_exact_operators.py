@@ -80,7 +80,7 @@ def test_prefix_tables_append_and_edit():
 def test_suffix_dedup(docs, table, empty, group_rows):
     keyed = sorted({(r[0] is not None, r[0] or 0, r[1] or "") for r in table})
     # Equal ids are ordered by text hash in Spark: take that order from the operator's own key.
-    order = {(r["did"], r["text"]): r["th"] for r in suffix_dedup._keyed(docs).collect()}
+    order = {(r["did"], r["text"]): r["dk"] for r in suffix_dedup._keyed(docs).collect()}
     keyed.sort(key=lambda k: (k[0], k[1], order[k[1] if k[0] else suffix_dedup._NO_ID, k[2]]))
     seen, result = set(), {}
     for there, doc, text in keyed:
@@ -114,21 +114,20 @@ def test_suffix_groups_stay_within_their_bound():
     for i in np.lexsort((own.pos, own.did)).tolist():
         if seen.setdefault(tuple(letters[i]), i) != i:
             want.add((int(own.did[i]), int(pos[i])))
-    rows, got, level, held, most = [], set(), 0, [], 64
+    rows, got, held, most = [], set(), [], 64
     parts = [own.take(np.arange(a, min(a + 500, len(own)))) for a in range(0, len(own), 500)]
     for part in parts:
         heads, later = part.tree()
         rows += [*later.runs(), *heads.packed(1, 8, most)]
-    while rows and level < 4:
-        level += 1
+    for longer in (2, 4, None):
         sorted_rows = pa.Table.from_batches(rows).sort_by("group").to_batches(max_chunksize=3)
-        out = list(suffix_dedup._subtrees(sorted_rows, level, 4, 8, most, lambda g: held.append(g.held)))
+        out = list(suffix_dedup._subtrees(sorted_rows, longer, 4, 8, most, lambda g: held.append(g.held)))
         rows = [r for b in out if (r := b.filter(b.column("docs").is_valid())).num_rows]
         for b in out:
             for did, runs in zip(b.column("did").to_pylist(), b.column("runs").to_pylist(), strict=True):
                 if runs:
                     got |= {(did, int(a) + k) for a, n in np.frombuffer(runs, "<i4").reshape(-1, 2) for k in range(n)}
-    assert got == want and not rows and level > 1 and max(held) <= most
+    assert got == want and not rows and max(held) <= most
 
 
 def test_words_of_later_copies_go(spark):
