@@ -1,26 +1,33 @@
-"""N-gram Jaccard join with MinHash banding, in place of an LSH forest, and exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest and exact verification.
 
 A document's set is its distinct 5-word shingles (all its words as one shingle when it
 has fewer; texts without words have none and join nothing).  Documents with equal sets
 form a class of copies with one representative; only representatives go on.
 
-*Bands.*  No prefix tries are built: the threshold is fixed, so one depth is computed
-beforehand, the longest, up to ``longest``, at which a pair at the threshold meets in some
-of ``trees`` bands with the target probability.  Only that many labels are made; a band's
-labels are hashed to one key.  A task sorts its keys, links the members under an equal key
-to the least one and passes on that member alone, which keeps a hot key to one row a task.
-Candidate components come from those links.
+*Forest.*  Each set is a leaf of ``trees`` tries, on the path of its ``longest`` labels in
+that tree.  A trie is its leaves sorted by path; what two neighbours share is the longest
+prefix that either shares with any leaf on the other's side.  Matched prefixes are shortened
+from ``longest`` labels on, until a pair at the threshold has met in some tree with the target
+probability; where the prefix of two neighbours is shorter than that, a node ends.  Rows
+come sorted, so one leaf is held at a time, however crowded a node is.
 
-*Verification.*  Within a candidate component every pair is compared exactly, in blocks
-of about ``block`` documents: large components are cut into blocks and pairs of blocks
-are dealt out, so no task holds a whole component.  A task returns counts of links and
-a spanning forest, never pairs.  Verified forests give the classes.
+*Candidates.*  Leaves that meet are linked to their neighbours, and links make components.
+The pairs of a small component are compared as they are.  In a component of more than
+``crowd`` sets, in which a chain of weak meetings may hold unlike texts, the pairs of its
+nodes are compared instead if those are fewer, each in the first tree where it meets.
+
+*Verification.*  Pairs are compared exactly, in blocks of about ``block`` sets, or fewer
+long ones: large groups are cut into blocks and pairs of blocks are dealt out, so no task holds
+a whole group.  A task returns counts of links and a spanning forest, never pairs.  Only
+verified links make classes.
 
 Shingles are 64-bit hashes.  A link is a pair at or above the threshold, copies
 included: ``n_links`` counts a document's linked documents.  Classes are connected
 components, named by their least doc_id.  Rows with a null doc_id stand alone with null
 class and no links; equal rows are one document; a repeated doc_id with different texts
-is one document with several sets, and its links are summed.
+is one document with several sets, and its links are summed.  An empty table gives an
+empty result; columns other than doc_id and text are not read; a very long text is one set
+in a block of its own.
 """
 
 from __future__ import annotations
@@ -30,9 +37,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from stratawise.llm.common import checkpointed, default_parallelism, flat_words, slices
 from stratawise.llm.graph import components
@@ -116,12 +122,25 @@ def _digest(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return out[0], out[1], count
 
 
-def _planted(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """One pass over the texts.  Rows with null a: (doc_id, s1, s2, n), the digest of a document's set.
-    Rows with a and key: the least member of a task's subtree; with a and b: a member under that one."""
+def forest_paths(sig: np.ndarray, trees: int, longest: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each tree every leaf's node at ``depth`` labels, as one hash, and the labels below it (upper bits, in order)."""
+    for t in range(trees):
+        node = np.full(len(sig), t + 1, dtype=np.uint64)
+        for j in range(t * longest, t * longest + depth):
+            node = _mixed(node ^ sig[:, j], 0x452821E638D01377)
+            node ^= node >> np.uint64(29)
+        below, bits = np.zeros(len(sig), dtype=np.uint64), 63 // max(1, longest - depth)
+        for j in range(t * longest + depth, (t + 1) * longest):
+            below = (below << np.uint64(bits)) | (sig[:, j].astype(np.uint64) >> np.uint64(max(0, 32 - bits)))
+        yield node, below
+
+
+def _planted(texts: DataFrame, trees: int, longest: int, depth: int) -> DataFrame:
+    """One pass over the texts.  Rows with null leaf: (doc_id, dk, s1, s2, n), the digest of a document's set.
+    Rows with leaf: its place in one tree, (node, below, tree)."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("doc_id", "s1", "s2", "n", "key", "a", "b")
+        names = ("doc_id", "dk", "s1", "s2", "n", "leaf", "node", "below", "tree")
 
         def rows(count: int, **columns: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({c: columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(np.ascontiguousarray(columns[c])) if c in columns else pa.nulls(count, pa.int64()) for c in names})
@@ -130,64 +149,68 @@ def _planted(docs: DataFrame, trees: int, depth: int) -> DataFrame:
             for piece in slices(batch, most=8_000_000, rows=_ROWS):
                 h, doc = shingles(piece.column("text"))
                 s1, s2, n = _digest(h, doc, piece.num_rows)
-                yield rows(piece.num_rows, doc_id=piece.column("doc_id"), s1=s1, s2=s2, n=n)
+                yield rows(piece.num_rows, doc_id=piece.column("doc_id"), dk=piece.column("dk"), s1=s1, s2=s2, n=n)
                 s, leaf = np.unique(s1[n > 0], return_index=True)  # copies are one leaf
-                sig = signatures(h, doc, trees * depth)[leaf]
-                keys = []
-                for t in range(trees):
-                    key = np.full(len(s), t + 1, dtype=np.uint64)
-                    for j in range(depth):
-                        key = _mixed(key ^ sig[:, t * depth + j], 0x452821E638D01377)
-                        key ^= key >> np.uint64(29)
-                    keys.append(key)
-                key, member, head, new = _subtrees(np.concatenate(keys), np.tile(s, trees))
-                yield rows(int(new.sum()), key=key[new].view(np.int64), a=member[new])
-                pairs = np.unique(np.stack([member[~new], head[~new]], axis=1), axis=0)
-                yield rows(len(pairs), a=pairs[:, 0], b=pairs[:, 1])
-
-    return docs.mapInArrow(plant, "doc_id long, s1 long, s2 long, n long, key long, a long, b long")
-
+                for t, (node, below) in enumerate(forest_paths(signatures(h, doc, trees * longest)[leaf], trees, longest, depth)):
+                    yield rows(len(s), leaf=s, node=node.view(np.int64), below=below.view(np.int64), tree=np.full(len(s), t))
 
-def _subtrees(key: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Members sorted by prefix: key, member, the least member under the key, and whether it is that one."""
-    order = np.lexsort((member, key))
-    key, member = key[order], member[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-    return key, member, member[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))], new
+    return texts.mapInArrow(plant, "doc_id long, dk long, s1 long, s2 long, n long, leaf long, node long, below long, tree long")
 
 
-def _met(links: DataFrame, parts: int) -> DataFrame:
-    """Edges between the heads that meet under one key, and the edges already found."""
+def _neighbours(places: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) between leaves next to each other under one node, in the order of the tries."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, members = [], []
+        last_node, last_leaf = None, None
         for batch in batches:
-            key = batch.column("key")
-            done = batch.filter(key.is_null())
-            if done.num_rows:
-                yield done.select(["a", "b"])
-            rest = batch.filter(key.is_valid())
-            keys.append(rest.column("key").to_numpy())
-            members.append(rest.column("a").to_numpy())
-        if keys:
-            key, member = np.concatenate(keys), np.concatenate(members)
-            key, member, head, new = _subtrees(key, member)
-            edge = (member != head) & ~new
-            pairs = np.unique(np.stack([member[edge], head[edge]], axis=1), axis=0)
+            node, leaf = batch.column("node").to_numpy(), batch.column("leaf").to_numpy()
+            if not len(node):
+                continue
+            if last_node is not None:
+                node, leaf = np.concatenate([[last_node], node]), np.concatenate([[last_leaf], leaf])
+            met = (node[1:] == node[:-1]) & (leaf[1:] != leaf[:-1])  # copies from several tasks are one leaf
+            pairs = np.unique(np.sort(np.stack([leaf[1:][met], leaf[:-1][met]], axis=1), axis=1), axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+            last_node, last_leaf = node[-1], leaf[-1]
 
-    dealt = links.repartition(parts, F.coalesce("key", F.xxhash64("a", "b")))
+    dealt = places.select("node", "below", "leaf").repartition(parts, "node").sortWithinPartitions("node", "below", "leaf")
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def _compare(left: list, right: list | None, num: int, den: int, emit: list) -> None:
+def _groups(planted: DataFrame, candidates: DataFrame, sizes: DataFrame, crowd: int, block: int) -> DataFrame:
+    """For each leaf with candidates the groups in which it is compared: (s1, groups of (id, tree, blocks), nodes).
+
+    ``nodes`` lists the leaf's node in every tree where its component is compared by nodes, else it is null."""
+    blocks = lambda members, total: F.greatest(F.ceil(F.col(members) / block), F.ceil(F.col(total) / (block * 20_000))).cast("int")
+    sized = candidates.join(sizes, "s1")
+    whole = sized.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+    if whole.where(F.col("members") > crowd).isEmpty():
+        return sized.join(whole, "root").select("s1", F.array(F.struct(F.col("root").alias("id"), F.lit(-1).cast("long").alias("tree"), blocks("members", "total").alias("blocks"))).alias("groups"), F.lit(None).cast("array<long>").alias("nodes"))
+    large = sized.join(whole.where(F.col("members") > crowd), "root")
+    places = checkpointed(planted.where("leaf is not null").select(F.col("leaf").alias("s1"), "tree", "node").join(large, "s1").distinct())
+    nodes = places.groupBy("root", "tree", "node").agg(F.count("*").alias("met"), F.sum("n").alias("met_total"), F.max("members").alias("members")).where("met > 1")
+    by_node = nodes.groupBy("root", "members").agg(F.sum(F.col("met").cast("double") * F.col("met")).alias("cost")).where("cost < double(members) * members").select("root")
+    own = places.join(by_node, "root", "left_semi").join(nodes.drop("members"), ["root", "tree", "node"], "left")
+    parts = own.groupBy("s1").agg(
+        F.expr("collect_list(CASE WHEN met > 1 THEN struct(node AS id, tree, CAST(greatest(ceil(met / {0}), ceil(met_total / {1})) AS int) AS blocks) END)".format(block, block * 20_000)).alias("groups"),
+        F.transform(F.array_sort(F.collect_list(F.struct("tree", "node"))), lambda x: x["node"]).alias("nodes"),
+    )
+    rest = sized.join(by_node, "root", "left_anti").join(whole, "root").select("s1", F.array(F.struct(F.col("root").alias("id"), F.lit(-1).cast("long").alias("tree"), blocks("members", "total").alias("blocks"))).alias("groups"), F.lit(None).cast("array<long>").alias("nodes"))
+    return rest.unionByName(parts)
+
+
+def _compare(left: list, right: list | None, tree: int, num: int, den: int, emit: list) -> None:
     """Exact links within one block (right None) or between two; appends to ``emit``.
 
+    In a node of a tree, pairs that meet in an earlier tree are left to that one.
+
     Set sizes bound the candidates; the rest share shingles, counted through sorted lists.
     """
     both = left + (right or [])
     split = len(left)
+    if len(both) < 2:
+        return
     ids = np.array([x[0] for x in both], dtype=np.int64)
     copies = np.array([x[1] for x in both], dtype=np.int64)
     sets = [np.frombuffer(x[2], dtype="<u8") for x in both]
@@ -214,6 +237,10 @@ def _compare(left: list, right: list | None, num: int, den: int, emit: list) ->
     if right is not None:
         linked[:split, :split] = False
         linked[split:, split:] = False
+    if tree > 0:
+        nodes = np.array([x[3][:tree] for x in both], dtype=np.int64)
+        for t in range(tree):
+            linked &= nodes[:, None, t] != nodes[None, :, t]
     degree = linked @ copies
     parent = list(range(len(sets)))
 
@@ -231,47 +258,50 @@ def _compare(left: list, right: list | None, num: int, den: int, emit: list) ->
         emit.append((int(ids[i]), int(degree[i]), int(ids[find(i)])))
 
 
-def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: int = 24, longest: int = 8, target: float = 0.9999, block: int = 384) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: int = 24, longest: int = 8, target: float = 0.9999, block: int = 128, crowd: int = 512) -> DataFrame:
     """One row a document: doc_id, class_id, n_links, n_copies (documents with its set, itself included)."""
-    sets, named = set_classes(docs, threshold, trees, longest, target, block)
-    out = sets.where("doc_id is not null").select("doc_id", "s1", "s2").distinct().join(named, ["s1", "s2"], "left").groupBy("doc_id").agg(
+    sets, named = set_classes(docs.where("doc_id is not null"), threshold, trees, longest, target, block, crowd)
+    out = sets.select("doc_id", "s1", "s2").distinct().join(named, ["s1", "s2"], "left").groupBy("doc_id").agg(
         F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id"),
         F.sum(F.coalesce(F.col("degree") + F.col("copies") - 1, F.lit(0))).alias("n_links"),
         F.max(F.coalesce("copies", F.lit(1))).alias("n_copies"),
     )
-    alone = sets.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    alone = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return out.union(alone)
 
 
-def set_classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: int = 24, longest: int = 8, target: float = 0.9999, block: int = 384) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, s1, s2, n) of each row, the digest of its set; and s1, s2, copies, class_id and degree of each set."""
+def row_key(doc_id: Column, text: Column) -> Column:
+    """One hash of a row's id and text; a null text counts as empty."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
+
+
+def set_classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: int = 24, longest: int = 8, target: float = 0.9999, block: int = 128, crowd: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, dk, s1, s2, n) of each row, its row_key and the digest of its set; and s1, s2, copies, class_id,
+    root (the same for all sets of a class) and degree of each set.  Rows with null ids have sets like any other."""
     spark = docs.sparkSession
     parts, (num, den) = default_parallelism(spark), threshold
     depth = forest_depth(trees, longest, num / den, target)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    planted = checkpointed(_planted(texts, trees, depth))
-    sets = planted.where("a is null").select("doc_id", "s1", "s2", "n")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
-    candidates = components(_met(planted.where("a is not null").select("key", "a", "b"), parts))
-    sized = candidates.join(candidates.groupBy("root").agg(F.count("*").alias("members")), "root").withColumnRenamed("node", "s1")
-    reps = checkpointed(classes.join(sized, "s1").select("rep", "s1", "s2", "copies", "root", F.ceil(F.col("members") / block).cast("int").alias("blocks")))
-    wanted = texts.join(reps.select(F.col("rep").alias("doc_id"), "s1", "s2", "copies", "root", "blocks"), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("dk"), F.coalesce("text", F.lit("")).alias("text"))
+    planted = checkpointed(_planted(texts, trees, longest, depth))
+    sets = planted.where("leaf is null").select("doc_id", "dk", "s1", "s2", "n")
+    classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("title"), F.min("dk").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.max("n").alias("n"))
+    candidates = components(_neighbours(planted.where("leaf is not null"), parts)).withColumnRenamed("node", "s1")
+    groups = _groups(planted, candidates, classes.groupBy("s1").agg(F.max("n").alias("n")), crowd, block)
+    reps = checkpointed(classes.join(groups, "s1").select(F.col("rep").alias("dk"), "s1", "s2", "copies", "groups", "nodes"))
+    wanted = texts.select("dk", "text").join(reps, "dk")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, rows=_ROWS):
                 h, doc = shingles(piece.column("text"))
-                s1, s2, _ = _digest(h, doc, piece.num_rows)
-                # Another text of a repeated id isn't the class's set.
-                own = (s1 == piece.column("s1").to_numpy()) & (s2 == piece.column("s2").to_numpy())
                 h, at = distinct(h, doc, piece.num_rows)
-                made = pa.RecordBatch.from_arrays([piece.column("s1"), piece.column("copies"), piece.column("root"), piece.column("blocks"), _binary(h, at)], ["s1", "copies", "root", "blocks", "shingles"])
-                yield made if own.all() else made.filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("s1", "copies", "groups", "nodes")), _binary(h, at)], ["s1", "copies", "groups", "nodes", "shingles"])
 
-    members = wanted.mapInArrow(dealt, "s1 long, copies long, root long, blocks int, shingles binary").withColumn("mine", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
+    members = wanted.mapInArrow(dealt, "s1 long, copies long, groups array<struct<id: long, tree: long, blocks: int>>, nodes array<long>, shingles binary")
+    members = members.select("s1", "copies", "nodes", "shingles", F.inline("groups")).withColumn("mine", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
     pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "s1", "copies", "root", "mine", "shingles")
-    pairs = pairs.withColumn("route", F.xxhash64("root", "i", "j"))
+    pairs = pairs.select("id", "tree", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "s1", "copies", "nodes", "shingles")
+    pairs = pairs.withColumn("route", F.xxhash64("id", "tree", "i", "j"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by block pair, so one block pair is in memory at a time."""
@@ -281,50 +311,33 @@ def set_classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: int
         def done() -> None:
             if key is None:
                 return
-            i, j = key[1:]
+            _, tree, i, j = key
             if i == j:
-                _compare_small(held.get(i, []), num, den, emit)
+                _compare(held.get(i, []), None, tree, num, den, emit)
             else:
-                _compare(held.get(i, []), held.get(j, []), num, den, emit)
+                _compare(held.get(i, []), held.get(j, []), tree, num, den, emit)
 
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "mine", "s1", "copies", "shingles")), strict=True)
-            for root, i, j, mine, s1, copies, held_set in rows:
-                if key != (root, i, j):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "tree", "i", "j", "mine", "s1", "copies", "nodes", "shingles")), strict=True)
+            for *new, mine, s1, copies, nodes, held_set in rows:
+                if key != new:
                     done()
-                    held, key = {}, (root, i, j)
+                    held, key = {}, new
                 members = held.setdefault(mine, [])
                 if not members or members[-1][0] != s1:  # an equal row of the representative comes next to it
-                    members.append((s1, copies, held_set))
+                    members.append((s1, copies, held_set, nodes))
             if len(emit) > 20_000:
                 yield _emitted(emit)
                 emit = []
         done()
         yield _emitted(emit)
 
-    checked = checkpointed(pairs.repartition(parts, "route").sortWithinPartitions("root", "i", "j", "mine", "s1").select("root", "i", "j", "mine", "s1", "copies", "shingles").mapInArrow(verify, "s1 long, degree long, near long"))
+    checked = checkpointed(pairs.repartition(parts, "route").sortWithinPartitions("id", "tree", "i", "j", "mine", "s1").drop("route").mapInArrow(verify, "s1 long, degree long, near long"))
     degree = checked.groupBy("s1").agg(F.sum("degree").alias("degree"))
     roots = components(checked.select(F.col("s1").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "s1")
-    titles = roots.join(classes, "s1").groupBy("root").agg(F.min("rep").alias("title"))
+    titles = roots.join(classes, "s1").groupBy("root").agg(F.min("title").alias("least"))
     named = classes.join(degree, "s1", "left").join(roots.join(titles, "root"), "s1", "left")
-    return sets, named.select("s1", "s2", "copies", F.coalesce("title", "rep").alias("class_id"), F.coalesce("degree", F.lit(0)).alias("degree"))
-
-
-def digested(rows: DataFrame) -> DataFrame:
-    """``rows`` with __s1 and __s2, the digest of the set of their __text."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "__text", rows=_ROWS):
-                s1, s2, _ = _digest(*shingles(piece.column("__text")), piece.num_rows)
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(s1), pa.array(s2)], [*piece.schema.names, "__s1", "__s2"])
-
-    return rows.mapInArrow(add, StructType([*rows.schema.fields, StructField("__s1", LongType()), StructField("__s2", LongType())]))
-
-
-def _compare_small(members: list, num: int, den: int, emit: list) -> None:
-    if len(members) > 1:
-        _compare(members, None, num, den, emit)
+    return sets, named.select("s1", "s2", "copies", F.coalesce("least", "title").alias("class_id"), F.coalesce("root", "s1").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 def _emitted(rows: list) -> pa.RecordBatch:

@@ -51,8 +51,8 @@ def test_jaccard_join_on_edge_cases(docs, table, empty):
     assert lsh_forest.jaccard_join(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [384, 16])
-def test_jaccard_join_of_a_large_group_in_blocks(spark, block):
+@pytest.mark.parametrize(("block", "crowd"), [(128, 512), (16, 512), (16, 20)])
+def test_jaccard_join_of_a_large_group_in_blocks(spark, block, crowd):
     import random
 
     rng = random.Random(4)
@@ -64,7 +64,7 @@ def test_jaccard_join_of_a_large_group_in_blocks(spark, block):
             w[rng.randrange(len(w))] = f"n{rng.randrange(1000)}"
         rows.append((i, " ".join(w)))
     rows += [(200 + i, " ".join(f"q{rng.randrange(500)}" for _ in range(80))) for i in range(40)]
-    check_join(lsh_forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block=block), rows)
+    check_join(lsh_forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block=block, crowd=crowd), rows)
 
 
 def test_jaccard_join_of_repeated_representatives(spark):
@@ -86,6 +86,52 @@ def test_jaccard_join_of_batches_of_many_short_texts(spark):
     assert got == {i: (i % n, 1, 2) for i in range(2 * n)}
 
 
+def test_a_chained_component_is_compared_by_nodes(spark, monkeypatch):
+    # Each text shares most of its words with the next: a chain of weak meetings, with a near copy here and there.
+    rows = []
+    for i in range(150):
+        w = [f"w{k}" for k in range(i * 15, i * 15 + 90)]
+        rows += [(2 * i, " ".join(w))] + [(2 * i + 1, " ".join([*w[:-3], "end"]))] * (i % 5 == 0)
+    modes, compare = [], lsh_forest._groups
+
+    def watched(*args):
+        out = compare(*args)
+        modes.append(out.where("nodes is not null").count())
+        return out
+
+    monkeypatch.setattr(lsh_forest, "_groups", watched)
+    check_join(lsh_forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), threshold=(4, 5), block=16, crowd=20), rows)
+    assert modes[0] > 20
+
+
+def test_recall_against_brute_force_on_texts_at_every_similarity(spark):
+    import random
+
+    rng, rows = random.Random(6), []
+    for i in range(60):
+        base = [f"b{i}x{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 200))]
+        rows.append((10 * i, " ".join(base)))
+        for j in range(1, 5):
+            w = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append((10 * i + j, " ".join(w)))
+    check_join(lsh_forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), rows)
+
+
+def test_neighbours_in_a_trie_share_the_longest_prefix():
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 3, (200, 2 * 6)).astype(np.uint32) << np.uint32(28)
+    for t, (node, below) in enumerate(lsh_forest.forest_paths(sig, 2, 6, 3)):
+        own = sig[:, 6 * t : 6 * t + 6]
+        order = np.lexsort((below, node))
+        shared = lambda a, b: int(np.cumprod(own[a] == own[b]).sum())
+        for k, a in enumerate(order.tolist()):
+            best = max(shared(a, b) for b in range(200) if b != a)
+            near = max(shared(a, int(order[x])) for x in (k - 1, k + 1) if 0 <= x < 200)
+            assert near == best or best < 3
+
+
 def test_forest_depth_and_recall():
     depth = lsh_forest.forest_depth(24, 8, 0.8, 0.9999)
     assert lsh_forest.expected_recall(0.8, 24, depth) >= 0.9999 > lsh_forest.expected_recall(0.8, 24, depth + 1)
@@ -133,9 +179,16 @@ def test_near_duplicates_judge_a_repeated_id_by_its_own_texts(spark):
     import corpus_pipeline
 
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
-    rows = [(7, a, "x"), (7, b, "y"), (3, b, "z"), (8, a + " end", "u"), (9, "", "v"), (None, a, "w")]
+    c = " ".join(f"c{i}" for i in range(60))
+    rows = [(7, a, "x"), (7, b, "y"), (3, b, "z"), (8, a + " end", "u"), (9, "", "v"), (None, a, "w"), (1, a + " x", "p"), (1, b + " y", "q"), (1, c, "r"), (None, "", "s")]
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, s1 string"), "")
-    assert Counter(tuple(r) for r in kept.collect()) == Counter([rows[0], rows[2], rows[4], rows[5]])
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([rows[6], rows[7], rows[8], rows[4], rows[9]])
+    alone = [(None, a, "x"), (None, a, "w"), (None, c, "v")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(alone, "doc_id long, text string, s1 string"), "")
+    assert Counter(tuple(r)[:2] for r in kept.collect()) == Counter([(None, a), (None, c)])
+    twice = [(5, a, "x"), (5, a, "w"), (5, a, "w")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(twice, "doc_id long, text string, s1 string"), "")
+    assert kept.count() == 1 and kept.columns == ["doc_id", "text", "s1"]
 
 
 @pytest.fixture(scope="module")
@@ -197,6 +250,12 @@ def test_pipeline_stages(spark, docs, table, empty, judged, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     ids = Counter(r["doc_id"] for r in kept.collect())
-    classes = {r["class_id"] for r in lsh_forest.jaccard_join(docs).where("doc_id is not null").collect()}
-    assert set(ids) - {None} == classes and all(n == 1 for d, n in ids.items() if d is not None)
+    # One row of each class of texts stays, by brute force over texts; texts without words all stay.
+    texts = sorted({r[1] or "" for r in table})
+    linked, group = brute_links(texts), {}
+    for i, t in enumerate(texts):
+        group[t] = next((group[u] for j, u in enumerate(texts[:i]) if linked[i][j]), t)
+    wordy = [t for t in texts if WORD.search(t)]
+    assert Counter(group[r["text"]] for r in kept.where("text is not null").collect() if WORD.search(r["text"])) == Counter({group[t]: 1 for t in wordy})
+    assert sum(n for d, n in ids.items()) == len({group[t] for t in wordy}) + sum(not WORD.search(r[1] or "") for r in table)
     shutil.rmtree(tmp_path)
