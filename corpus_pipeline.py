@@ -7,10 +7,11 @@ columns of documents, with whatever further columns the table has.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratawise.llm import common, lsh_forest, pareto_mix, prefix_bpe, rule_quality, secret_scan
@@ -23,21 +24,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of each class whose id names the class; rows without an id stay.
+    """Keep one row of each class: the one of least id (null last), then of least row key.
 
-    Classes are those of the rows' own texts, so another text of a repeated id doesn't remove
-    a row.  One row of an id stays: of those kept, the one with the least text.
+    Classes are those of texts, so rows without an id have classes too and another text of a
+    repeated id is judged by itself.  Of rows equal in id and text the one of least hash over
+    all columns stays.  Rows without words all stay.
     """
     sets, named = lsh_forest.set_classes(docs)
-    own = sets.where("doc_id is not null").groupBy("doc_id", "s1", "s2").agg(F.count("*").alias("rows"))
-    own = common.checkpointed(own.join(named, ["s1", "s2"], "left").select("doc_id", "s1", "s2", "rows", (F.coalesce("class_id", "doc_id") == F.col("doc_id")).alias("kept")))
-    ids = own.groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.max("kept").alias("kept")).where("kept")
-    single = docs.join(ids.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    twice = docs.join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
-    twice = lsh_forest.digested(twice.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"), F.struct(*docs.columns).alias("__row")))
-    kept = own.where("kept").select(F.col("doc_id").alias("__id"), F.col("s1").alias("__s1"), F.col("s2").alias("__s2"))
-    repeated = twice.join(kept, ["__id", "__s1", "__s2"], "left_semi").groupBy("__id").agg(F.min_by("__row", "__text").alias("r")).select("r.*")
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "dk")).alias("least")
+    kept = sets.where("n > 0").join(named.select("s1", "s2", "root"), ["s1", "s2"]).groupBy("root").agg(least).select("least.dk")
+    rows = sets.where("n > 0").groupBy("dk").agg(F.count("*").alias("rows"))
+    kept = common.checkpointed(sets.where("n = 0").select("dk").distinct().withColumn("rows", F.lit(1)).unionByName(kept.join(rows, "dk")))
+    key, nth = f"key_{uuid.uuid4().hex}", f"nth_{uuid.uuid4().hex}"
+    keyed = docs.withColumn(key, lsh_forest.row_key(F.col("doc_id"), F.col("text")))
+    single = keyed.join(kept.where("rows = 1").select(F.col("dk").alias(key)), key, "left_semi")
+    repeated = keyed.join(kept.where("rows > 1").select(F.col("dk").alias(key)), key, "left_semi")
+    hashed = F.xxhash64(*[F.col(f"`{c}`").cast("string") if t.startswith("map") else F.col(f"`{c}`") for c, t in docs.dtypes])
+    repeated = repeated.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(hashed))).where(F.col(nth) == 1)
+    return single.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
