@@ -4,18 +4,21 @@ A payload (bytes, here padded text) is cut where a rolling gear hash of its last
 has eleven zero bits, between ``SMALLEST`` and ``LARGEST`` bytes apart, so equal stretches
 give equal chunks wherever they stand.
 
-1. A task cuts its payloads and writes each chunk that is new to it into one *pack*:
-   blocks of 8-bit samples, compressed without loss, then an index.  It returns a row a
-   chunk (digest and place) and a row a document (its ordered digests).
+1. A task cuts its payloads and writes each chunk that is new to it into one *pack*: a
+   record a chunk (header and 8-bit samples, compressed without loss), then an index.  It
+   returns a row a chunk (digest and place) and a row a document (its ordered digests).
 2. A Spark aggregation by digest names one place of each chunk as its owner.  Packs with
-   chunks owned elsewhere are rewritten without them, one task a pack; the old pack goes
-   once the new one is in place, and a retried task finds the new one.
+   chunks owned elsewhere are rewritten without them, record by record as they are, a range
+   of packs a task; the old pack goes once the new one is in place, and a retried task finds
+   the new one.
 3. A Spark join by digest turns each document's digests into places.  Reading fetches the
-   chunks in order from the packs, checks every digest and returns the payload.
+   records in order from the packs, checks every digest and returns the payload.
 
 Only digests and places are shuffled, never payloads.  The stored form of a document is its
-container: a header, the chunk lengths and digests, and the samples.  Null texts count as
-empty (padding alone); equal texts give equal values; an empty table gives no packs.
+records in order, as they lie in the packs; its length and digest are those of the bytes read
+there.  Null texts count as empty (padding alone), and so do empty ones; equal texts and
+repeated rows share their records and give equal values; a very long text has more chunks; an
+empty table gives no packs.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,10 +39,12 @@ from pyspark.sql import functions as F
 from stratawise.llm.common import checkpointed, default_parallelism, doc_texts, open_fs, publish, slices
 
 UNIT = 192
-SMALLEST, LARGEST, BLOCK = 512, 8192, 1 << 18
+SMALLEST, LARGEST = 512, 8192
+#: Bytes read at once, and what a record may have beyond them.
+STRETCH, ROOM = 1 << 20, 2 * LARGEST
 _MASK = np.uint32(0x7FF << 20)  # bit 30 depends on the last 31 bytes, fewer than SMALLEST
 _GEAR = np.random.default_rng(192).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
-_PLACE = np.dtype([("digest", "V16"), ("block", "<i8"), ("length", "<i4"), ("at", "<i4"), ("size", "<i4")])
+_PLACE = np.dtype([("digest", "V16"), ("at", "<i8"), ("length", "<i4")])
 _MAGIC = b"SWM1"
 
 
@@ -76,40 +81,44 @@ def chunk_ends(points: list[int], start: int, end: int) -> list[int]:
 
 
 class PackWriter:
-    """Chunks in compressed blocks, and their places."""
+    """Records of one chunk each, then an index of their places.
+
+    A record is the magic, the chunk's length and its 8-bit samples, compressed without loss."""
 
     def __init__(self, out):
-        self.out, self.places, self.block, self.fill, self.at = out, [], [], 0, 0
-        self.press = zstandard.ZstdCompressor(level=5)
+        self.out, self.places, self.at = out, [], 0
+        self.press = zstandard.ZstdCompressor(level=3, write_content_size=False)
 
     def add(self, key: bytes, chunk: bytes) -> None:
-        if self.fill + len(chunk) > BLOCK and self.fill:
-            self.flush()
-        self.block.append((key, self.fill, chunk))
-        self.fill += len(chunk)
-
-    def flush(self) -> None:
-        raw = self.press.compress(b"".join(c for _, _, c in self.block))
-        self.out.write(raw)
-        self.places += [(k, self.at, len(raw), at, len(c)) for k, at, c in self.block]
-        self.at += len(raw)
-        self.block, self.fill = [], 0
+        self.copy(key, _MAGIC + struct.pack("<I", len(chunk)) + self.press.compress(chunk))
+
+    def copy(self, key: bytes, record: bytes) -> None:
+        """A record as it was stored before."""
+        self.out.write(record)
+        self.places.append((key, self.at, len(record)))
+        self.at += len(record)
 
     def close(self) -> np.ndarray:
-        if self.block:
-            self.flush()
         places = np.array(self.places, dtype=_PLACE)
         index = self.press.compress(places.tobytes())
-        self.out.write(index + struct.pack("<Q", len(index)))
+        self.out.write(index + struct.pack("<QQ", len(index), places.nbytes))
         return places
 
 
+def samples(record: bytes, expand: zstandard.ZstdDecompressor | None = None) -> bytes:
+    """The chunk of a record."""
+    size = struct.unpack("<I", record[4:8])[0]
+    if record[:4] != _MAGIC or size > LARGEST:
+        raise OSError("not a chunk record")
+    return (expand or zstandard.ZstdDecompressor()).decompress(record[8:], max_output_size=size)
+
+
 class PackReader:
-    """Random access to the packs of a folder; a few blocks and files stay at hand."""
+    """Random access to the packs of a folder; a few stretches and files stay at hand."""
 
-    def __init__(self, out: str, blocks: int = 96, files: int = 16):
+    def __init__(self, out: str, stretches: int = 64, files: int = 16):
         self.store, self.root = open_fs(out)
-        self.blocks, self.files, self.most = OrderedDict(), OrderedDict(), (blocks, files)
+        self.stretches, self.files, self.most = OrderedDict(), OrderedDict(), (stretches, files)
         self.expand = zstandard.ZstdDecompressor()
 
     def _file(self, pack: str):
@@ -120,31 +129,32 @@ class PackReader:
         self.files.move_to_end(pack)
         return self.files[pack]
 
-    def block(self, pack: str, at: int, length: int) -> bytes:
-        key = (pack, at)
-        if key not in self.blocks:
+    def _stretch(self, pack: str, k: int) -> bytes:
+        """Bytes k * STRETCH on, with room for a record that begins there."""
+        if (pack, k) not in self.stretches:
             f = self._file(pack)
-            f.seek(at)
-            self.blocks[key] = self.expand.decompress(f.read(length), max_output_size=1 << 26)
-            if len(self.blocks) > self.most[0]:
-                self.blocks.popitem(last=False)
-        self.blocks.move_to_end(key)
-        return self.blocks[key]
+            self.stretches[pack, k] = f.read_at(min(STRETCH + ROOM, f.size() - k * STRETCH), k * STRETCH)
+            if len(self.stretches) > self.most[0]:
+                self.stretches.popitem(last=False)
+        self.stretches.move_to_end((pack, k))
+        return self.stretches[pack, k]
 
-    def chunk(self, pack: str, block: int, length: int, at: int, size: int) -> bytes:
-        return self.block(pack, block, length)[at : at + size]
+    def record(self, pack: str, at: int, length: int) -> bytes:
+        k, start = divmod(at, STRETCH)
+        return self._stretch(pack, k)[start : start + length]
+
+    def chunk(self, pack: str, at: int, length: int) -> bytes:
+        return samples(self.record(pack, at, length), self.expand)
 
     def places(self, pack: str) -> np.ndarray:
         f = self._file(pack)
         end = f.size()
-        f.seek(end - 8)
-        n = struct.unpack("<Q", f.read(8))[0]
-        f.seek(end - 8 - n)
-        return np.frombuffer(self.expand.decompress(f.read(n), max_output_size=1 << 31), dtype=_PLACE)
+        n, size = struct.unpack("<QQ", f.read_at(16, end - 16))
+        return np.frombuffer(self.expand.decompress(f.read_at(n, end - 16 - n), max_output_size=size), dtype=_PLACE) if size else np.zeros(0, dtype=_PLACE)
 
 
-_SCHEMA = "kind int, row long, doc_id long, n_bytes long, digests binary, pack string, block long, length int, at int, size int"
-_TYPES = {"kind": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "digests": pa.binary(), "pack": pa.string(), "block": pa.int64(), "length": pa.int32(), "at": pa.int32(), "size": pa.int32()}
+_SCHEMA = "kind int, row long, doc_id long, n_bytes long, digests binary, pack string, at long, length int"
+_TYPES = {"kind": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "digests": pa.binary(), "pack": pa.string(), "at": pa.int64(), "length": pa.int32()}
 
 
 def _rows(**columns: list) -> pa.RecordBatch:
@@ -153,7 +163,7 @@ def _rows(**columns: list) -> pa.RecordBatch:
 
 
 def _place_rows(pack: str, places: np.ndarray) -> pa.RecordBatch:
-    return _rows(kind=[1] * len(places), digests=[x.tobytes() for x in places["digest"]], pack=[pack] * len(places), block=places["block"], length=places["length"], at=places["at"], size=places["size"])
+    return _rows(kind=[1] * len(places), digests=[x.tobytes() for x in places["digest"]], pack=[pack] * len(places), at=places["at"], length=places["length"])
 
 
 def _cut(docs: DataFrame, out: str) -> DataFrame:
@@ -203,9 +213,9 @@ def _cut(docs: DataFrame, out: str) -> DataFrame:
 
 
 def _compacted(cut: DataFrame, out: str, parts: int) -> DataFrame:
-    """(digest, pack, block, length, at, size) of every chunk's one place, after rewriting packs."""
-    places = cut.where("kind = 1").select(F.col("digests").alias("digest"), "pack", "block", "length", "at", "size")
-    owners = places.groupBy("digest").agg(F.min(F.struct("pack", "block", "at")).alias("o"))
+    """(digest, pack, at, length) of every chunk's one place, after rewriting packs."""
+    places = cut.where("kind = 1").select(F.col("digests").alias("digest"), "pack", "at", "length")
+    owners = places.groupBy("digest").agg(F.min(F.struct("pack", "at")).alias("o"))
     kept = places.join(owners.select("digest", F.col("o.pack").alias("owner")), "digest")
     packs = kept.groupBy("pack").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("pack") != F.col("owner"), F.col("digest"))).alias("gone"))
 
@@ -213,7 +223,7 @@ def _compacted(cut: DataFrame, out: str, parts: int) -> DataFrame:
         store, root = open_fs(out)
         for batch in batches:
             for pack, n, gone in zip(*(batch.column(c).to_pylist() for c in ("pack", "n", "gone")), strict=True):
-                reader, new, places = PackReader(out, blocks=2), pack[:-1] + "1", None
+                reader, new, places = PackReader(out, stretches=2), pack[:-1] + "1", None
                 if not gone:
                     yield _place_rows(pack, reader.places(pack))
                     continue
@@ -224,7 +234,7 @@ def _compacted(cut: DataFrame, out: str, parts: int) -> DataFrame:
                         writer = PackWriter(f)
                         for p in reader.places(pack):
                             if (key := p["digest"].tobytes()) not in drop:
-                                writer.add(key, reader.chunk(pack, int(p["block"]), int(p["length"]), int(p["at"]), int(p["size"])))
+                                writer.copy(key, reader.record(pack, int(p["at"]), int(p["length"])))
                         writer.close()
 
                     publish(store, f"{root}/{new}", write)
@@ -238,24 +248,20 @@ def _compacted(cut: DataFrame, out: str, parts: int) -> DataFrame:
                 if places is not None:
                     yield _place_rows(new, places)
 
-    index = packs.repartition(parts, "pack").mapInArrow(rewrite, _SCHEMA)
-    return checkpointed(index.select(F.col("digests").alias("digest"), "pack", "block", "length", "at", "size"))
+    # Dealt by range: by hash the plan would reuse the aggregation's shuffle, whose few bytes become one task.
+    index = packs.repartitionByRange(parts, "pack").mapInArrow(rewrite, _SCHEMA)
+    return checkpointed(index.select(F.col("digests").alias("digest"), "pack", "at", "length"))
 
 
 def store_media(docs: DataFrame, out: str) -> DataFrame:
     """Store every payload under ``out``; returns the manifest: row, doc_id, n_bytes and the
-    ordered list ``chunks`` of (digest, pack, block, length, at, size)."""
+    ordered list ``chunks`` of (digest, pack, at, length)."""
     parts = default_parallelism(docs.sparkSession)
     cut = _cut(doc_texts(docs), out)
     index = _compacted(cut, out, parts)
     listed = cut.where("kind = 0").select("row", "doc_id", "n_bytes", F.posexplode(F.expr("transform(sequence(0, CAST(octet_length(digests) / 16 AS int) - 1), i -> substring(digests, 16 * i + 1, 16))")).alias("ord", "digest"))
     placed = listed.join(index, "digest")
-    return placed.groupBy("row", "doc_id", "n_bytes").agg(F.array_sort(F.collect_list(F.struct("ord", "digest", "pack", "block", "length", "at", "size"))).alias("chunks"))
-
-
-def container(chunks: list[bytes]) -> bytes:
-    """The stored form of one document."""
-    return _MAGIC + struct.pack("<I", len(chunks)) + b"".join(struct.pack("<I", len(c)) + digest(c) for c in chunks) + b"".join(chunks)
+    return placed.groupBy("row", "doc_id", "n_bytes").agg(F.array_sort(F.collect_list(F.struct("ord", "digest", "pack", "at", "length"))).alias("chunks"))
 
 
 def feature(samples: np.ndarray, n_chunks: int) -> str:
@@ -269,20 +275,20 @@ def read_media(manifest: DataFrame, out: str, *, with_payload: bool = False) ->
     parts = default_parallelism(manifest.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", payload binary" * with_payload
     # Documents that begin in one stretch of a pack are read together.
-    near = manifest.withColumn("first", F.col("chunks")[0]).repartition(parts, F.col("first.pack"), F.shiftright(F.col("first.block"), 21)).sortWithinPartitions("first.pack", "first.block", "first.at", "row").drop("first")
+    near = manifest.withColumn("first", F.col("chunks")[0]).repartition(parts, F.col("first.pack"), F.shiftright(F.col("first.at"), 21)).sortWithinPartitions("first.pack", "first.at", "row").drop("first")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = PackReader(out)
         for batch in batches:
             made = []
             for doc_id, n_bytes, chunks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "chunks")), strict=True):
-                parts = []
+                parts, records = [], []
                 for c in chunks:
-                    part = reader.chunk(c["pack"], c["block"], c["length"], c["at"], c["size"])
-                    if digest(part) != c["digest"]:
+                    records.append(reader.record(c["pack"], c["at"], c["length"]))
+                    parts.append(samples(records[-1], reader.expand))
+                    if digest(parts[-1]) != c["digest"]:
                         raise OSError(f"a chunk of {c['pack']} is damaged")
-                    parts.append(part)
-                payload, stored = b"".join(parts), container(parts)
+                payload, stored = b"".join(parts), b"".join(records)
                 row = (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(np.frombuffer(payload, dtype=np.uint8), len(parts)))
                 made.append((*row, payload) if with_payload else row)
                 if len(made) == 1000:
