@@ -7,13 +7,17 @@ logistic regression over the rules keeps few of them, and the score, one Column,
 runs over all documents in the same scan as the statistics.
 
 Only text statistics are inputs.  An empty or null text has all statistics zero
-and is scored like any other; repeated rows get repeated scores; with no labelled
-row of one of the classes the score is the share of label 1 (0.5 without labels).
+and is scored like any other, a very long one by the same counts; repeated rows get
+repeated scores, and an id with labels of both kinds counts as label 1; with no labelled
+row of one of the classes the score is the share of label 1 (0.5 without labels).  An
+empty table has no scores.  Columns of the table keep their values and names.  Of repeated
+ids at most ``sample_rows`` further rows of other statistics are learnt from.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,24 +28,26 @@ from pyspark.sql import functions as F
 STATISTICS = ("words", "word_length", "distinct", "variety", "upper", "symbols", "marks", "bars", "digits", "stops", "line_words")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """The rows with one column ``s_<name>`` for each statistic, from the whole text."""
+def statistics(docs: DataFrame, prefix: str) -> DataFrame:
+    """The rows with one column for each statistic, ``prefix`` and its name, from the whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    out = docs.withColumn("__text", text).withColumn("__words", words).withColumn("__n", F.size("__words"))
 
     def count(others: str) -> Column:
-        return F.length(F.regexp_replace("__text", others, ""))
-
-    n, letters = F.greatest(F.col("__n"), F.lit(1)), count(r"[^\p{L}]+")
-    out = out.withColumn("__letters", letters)
+        return F.length(F.regexp_replace(text, others, ""))
+
+    words = f"{prefix}list"
+    out = docs.withColumn(words, F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
+    size, distinct = F.size(words), F.size(F.array_distinct(words))
+    out = out.withColumns({f"{prefix}size": size, f"{prefix}letters": count(r"[^\p{L}]+"), f"{prefix}different": distinct})
+    size, letters, distinct = F.col(f"{prefix}size"), F.col(f"{prefix}letters"), F.col(f"{prefix}different")
+    n = F.greatest(size, F.lit(1))
     columns = {
-        "words": F.col("__n").cast("double"),
-        "word_length": F.col("__letters") / n,
-        "distinct": F.size(F.array_distinct("__words")) / n,
+        "words": size.cast("double"),
+        "word_length": letters / n,
+        "distinct": distinct / n,
         # log distinct over log words: of like height in short and long texts
-        "variety": F.when(F.col("__n") > 1, F.log(F.size(F.array_distinct("__words")).cast("double")) / F.log(F.col("__n").cast("double"))).otherwise(F.lit(1.0)),
-        "upper": count(r"[^\p{Lu}]+") / F.greatest(F.col("__letters"), F.lit(1)),
+        "variety": F.when(size > 1, F.log(distinct.cast("double")) / F.log(size.cast("double"))).otherwise(F.lit(1.0)),
+        "upper": count(r"[^\p{Lu}]+") / F.greatest(letters, F.lit(1)),
         "symbols": count(r"[^#*$%&<>]+") / n,
         "marks": count(r"[^!?]+") / n,
         "bars": count(r"[^|]+") / n,
@@ -51,8 +57,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     }
     # Made by a generator of one row: a later filter on the score can't be pushed below it,
     # where it would repeat the statistics in every rule.
-    row = F.inline(F.array(F.struct(*[F.round(v, 6).alias(f"s_{k}") for k, v in columns.items()])))
-    return out.select(*docs.columns, row)
+    row = F.inline(F.array(F.struct(*[F.round(v, 6).alias(f"{prefix}{k}") for k, v in columns.items()])))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], row)
 
 
 @dataclass(frozen=True)
@@ -62,12 +68,12 @@ class RuleModel:
     bias: float
     rules: tuple[tuple[tuple[tuple[int, bool, float], ...], float], ...]
 
-    def score(self) -> Column:
+    def score(self, prefix: str) -> Column:
         total = F.lit(self.bias)
         for parts, weight in self.rules:
             holds = F.lit(True)
             for k, above, bound in parts:
-                c = F.col(f"s_{STATISTICS[k]}")
+                c = F.col(f"{prefix}{STATISTICS[k]}")
                 holds = holds & (c > bound if above else c <= bound)
             total = total + F.when(holds, weight).otherwise(0.0)
         return F.round(1 / (1 + F.exp(-total)), 9)
@@ -151,7 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> RuleMo
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     picked = usable.groupBy("doc_id").agg(F.max("quality").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # At most sample_rows ids: a list of fixed bound, so the scan stays free of shuffles.
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(picked.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"))).select("__id", "__label", *[f"s_{k}" for k in STATISTICS]).collect()
+    prefix = _prefix()
+    own = docs.select("doc_id", "text").join(F.broadcast(picked.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"))
+    # Rows of a repeated id with equal statistics count once, before any of them come to the driver.
+    rows = statistics(own, prefix).select("__id", "__label", *[f"{prefix}{k}" for k in STATISTICS]).distinct().orderBy(F.xxhash64("__id"), "__id", *[f"{prefix}{k}" for k in STATISTICS]).limit(2 * sample_rows).collect()
     rows = sorted({tuple(r) for r in rows}, key=lambda r: r)
     x = np.array([r[2:] for r in rows], dtype=float).reshape(len(rows), len(STATISTICS))
     return fit(x, np.array([float(r[1] > 0) for r in rows]))
@@ -161,7 +170,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _prefix() -> str:
+    """A prefix of column names that no table has."""
+    return f"s_{uuid.uuid4().hex}_"
+
+
 def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """All rows and columns with __score (0 to 1) and __predicted."""
-    scored = statistics(docs).withColumn("__score", model.score()).withColumn("__predicted", (F.col("__score") >= 0.5).cast("int"))
-    return scored.drop(*[f"s_{k}" for k in STATISTICS])
+    """All rows and columns with __score (0 to 1) and __predicted, which replace columns of these names."""
+    prefix = _prefix()
+    scored = statistics(docs.drop("__score", "__predicted"), prefix).withColumn("__score", model.score(prefix)).withColumn("__predicted", (F.col("__score") >= 0.5).cast("int"))
+    return scored.drop(*[f"{prefix}{k}" for k in STATISTICS])

@@ -335,8 +335,18 @@ def test_media(spark, docs, table, empty):
     assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
     for r in got:
         assert forms.setdefault(bytes(r["payload"]), (r["media_bytes"], r["media_sha256"], r["feature"])) == (r["media_bytes"], r["media_sha256"], r["feature"])
+    # The stored form is what lies in the packs, and the feature that of the payload.
+    listed = {(r["row"], r["doc_id"]): [(c["pack"], c["at"], c["length"]) for c in r["chunks"]] for r in manifest.collect()}
+    raw = {p: open(f"{out.removeprefix('file://')}/{p}", "rb").read() for p in {p for chunks in listed.values() for p, _, _ in chunks}}
+    stored = Counter((d, len(b"".join(x)), sha(b"".join(x))) for (_, d), chunks in listed.items() for x in [[raw[p][a : a + n] for p, a, n in chunks]])
+    assert stored == Counter((r["doc_id"], r["media_bytes"], r["media_sha256"]) for r in got)
+    counts = Counter((d, len(chunks)) for (_, d), chunks in listed.items())
+    assert counts == Counter((r["doc_id"], int(r["feature"].split(";")[0].removeprefix("chunks="))) for r in got)
+    for r in got:
+        p = bytes(r["payload"])
+        assert r["feature"].split(";")[1:] == [f"sum={sum(p)}", f"variation={sum(abs(a - b) for a, b in zip(p, p[1:]))}", f"peak={max(p)}", f"levels={len(set(p))}"]
     # Each chunk is stored once, in one pack.
-    places = {(c["digest"], c["pack"], c["block"], c["at"]) for r in manifest.collect() for c in r["chunks"]}
+    places = {(c["digest"], c["pack"], c["at"]) for r in manifest.collect() for c in r["chunks"]}
     assert len(places) == len({p[0] for p in places})
     store, root = common.open_fs(out)
     stored = sum(len(media_chunks.PackReader(out).places(f.base_name)) for f in store.get_file_info(__import__("pyarrow.fs").fs.FileSelector(root)))
@@ -345,6 +355,16 @@ def test_media(spark, docs, table, empty):
     assert media_chunks.read_media(media_chunks.store_media(empty, out), out).count() == 0
 
 
+def test_packs_are_rewritten_by_many_tasks(spark):
+    text = " ".join(f"word{i}" for i in range(4000))
+    docs = spark.createDataFrame([(i, text + f" {i}") for i in range(12)], "doc_id long, text string").repartitionByRange(12, "doc_id")
+    out = common.scratch(spark, "test-media-tasks")
+    cut = media_chunks._cut(docs, out)
+    index = media_chunks._compacted(cut, out, 12)
+    assert index.select("pack").distinct().count() == 12
+    assert index.rdd.getNumPartitions() > 4
+
+
 def test_chunks_follow_content():
     import numpy as np
 

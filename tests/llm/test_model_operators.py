@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import shutil
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -162,19 +163,83 @@ def test_mix(spark, docs, table, empty):
     assert pareto_mix.mix(empty).count() == 0
 
 
-def test_mix_meets_targets_and_varies_by_seed(spark):
-    rows = [(i, "w " * (1 + i * 7919 % 60), f"s{i % 7}") for i in range(3000)] + [(9000 + i, "w " * 3, None) for i in range(20)]
+def brute_mix(rows, source, missing):
+    """Take documents (key, size) by Pareto rank, sorted as a whole, up to the missing words; numbers of each key."""
+    import math
+
+    words = Counter()
+    for _, n in rows:
+        words[n and 1 + math.floor(math.log2(n) * 8 + 1e-9)] += n
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        if sum(w * min(1, mid * 2 ** (k / 16)) for k, w in words.items() if k) < missing:
+            low = mid
+        else:
+            high = mid
+    ranked = []
+    for key, n in rows:
+        if n:
+            p, u = min(1, high * 2 ** ((1 + math.floor(math.log2(n) * 8 + 1e-9)) / 16)), (((key & (1 << 64) - 1) >> 12) + 0.5) / (1 << 52)
+            ranked.append((u / (1 - u) * (1 - p) / p, key, n))
+    taken, left = [], missing
+    for rank, key, n in sorted(ranked):
+        if n > left:
+            break
+        taken.append(key)
+        left -= n
+    return set(taken), left, {key for rank, key, n in ranked}
+
+
+def test_mix_takes_the_smallest_ranks(spark):
+    rows = [(i, "w " * (1 + i * 7919 % 300), f"s{i % 7}") for i in range(3000)] + [(9000 + i, "w " * 3, None) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for bins in (2000, 50):
-        taken, target = Counter(), {}
-        for r in pareto_mix.mix_sizes(df, bin_rows=bins).collect():
-            taken[r["source"]] += r["__size"] * r["__copies"]
-            target[r["source"]] = r["__target"]
-        assert all(abs(taken[s] - t) <= 3 for s, t in target.items()), (taken, target)
+    keys = {r[0]: r[1] for r in df.selectExpr("doc_id", "xxhash64(cast(doc_id as string), text, 20)").collect()}
+    for bins, bin_rows in ((1024, 2000), (1024, 50), (4, 20)):
+        got = pareto_mix.mix_sizes(df, bins=bins, bin_rows=bin_rows).collect()
+        for s in {r[2] for r in rows}:
+            own = [r for r in got if r["source"] == s]
+            size, target = own[0]["__source_size"], own[0]["__target"]
+            whole = min(3, int(target // size))
+            taken, left, able = brute_mix([(keys[r["doc_id"]], r["__size"]) for r in own], s, target - whole * size)
+            mine = {keys[r["doc_id"]] for r in own if r["__copies"] > whole}
+            # The same documents but for the one at the cut and the exchanges in its bin.
+            assert len(mine ^ taken) <= 17, (s, bins, bin_rows, len(mine ^ taken), len(taken))
+            assert abs(sum(r["__copies"] * r["__size"] for r in own) - target) <= 2
+
+
+def test_mix_meets_targets_of_small_sources_and_varies_by_seed(spark):
+    rows = [(i, "w " * (20 if i % 10 else 900 + i), f"s{i % 5}") for i in range(250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target, size = Counter(), {}, {}
+    for r in pareto_mix.mix_sizes(df).collect():
+        taken[r["source"]] += r["__size"] * r["__copies"]
+        target[r["source"]], size[r["source"]] = r["__target"], r["__source_size"]
+    assert all(abs(taken[s] - t) <= 12 for s, t in target.items()), (taken, target)
     picks = [{r["doc_id"] for r in pareto_mix.mix_sizes(df, seed=s).where("__copies > 0").collect()} for s in (1, 2)]
     assert picks[0] != picks[1]
 
 
+def test_inclusion_probabilities_are_unequal_and_calibrated():
+    words = {1: 100, 17: 200, 33: 5000}
+    factor = pareto_mix.calibrated(words, 1000)
+    assert abs(sum(w * min(1, factor * 2 ** (k / 16)) for k, w in words.items()) - 1000) < 1e-6
+    factor = pareto_mix.calibrated(words, 5200)  # the largest are certain
+    assert factor * 2 ** (33 / 16) > 1 and abs(sum(w * min(1, factor * 2 ** (k / 16)) for k, w in words.items()) - 5200) < 1e-6
+
+
+def test_mix_of_equal_documents_and_clashing_columns(spark):
+    rows = [(1, "a b c", "s", 5, "x")] * 40 + [(2, "d e", "t", 6, "y")] * 3 + [(3, None, "t", 7, "z"), (4, "f " * 60, "u", 8, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __size long, __p string")
+    out = pareto_mix.mix(df.repartition(3))
+    got = out.collect()
+    assert Counter((r["doc_id"], r["__p"]) for r in got) == Counter((r[0], r[4]) for r in rows) and out.columns[:3] == ["doc_id", "text", "source"]
+    assert {r["__size"] for r in got} == {3, 2, 0, 60}
+    for s in "stu":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["__size"] * r["__copies"] for r in own) - own[0]["__target"]) <= max(r["__size"] for r in own)
+
+
 def test_near_duplicates_judge_a_repeated_id_by_its_own_texts(spark):
     import corpus_pipeline
 
@@ -220,6 +285,22 @@ def test_rule_quality_on_held_out_rows(judged):
     assert rule_quality.train(docs, flipped) == model
 
 
+def test_rule_statistics_by_hand(docs, table):
+    out = rule_quality.statistics(docs.select("doc_id", "text"), "st_").collect()
+    want = []
+    for row in table:
+        t, w = row[1] or "", WORD.findall(row[1] or "")
+        n, letters = max(1, len(w)), sum(unicodedata.category(c).startswith("L") for c in t)
+        count = lambda chars: sum(t.count(c) for c in chars)
+        stats = (
+            len(w), letters / n, len(set(w)) / n, np.log(len(set(w))) / np.log(len(w)) if len(w) > 1 else 1.0, sum(unicodedata.category(c) == "Lu" for c in t) / max(1, letters),
+            count("#*$%&<>") / n, count("!?") / n, count("|") / n, count("0123456789") / n, count(".,") / n, n / (1 + t.count("\n")),
+        )
+        want.append((-1 if row[0] is None else row[0], *map(float, stats)))
+    got = [(-1 if r[0] is None else r[0], *r[2:]) for r in out]
+    assert np.allclose(sorted(got), sorted(want), rtol=0, atol=1e-6)
+
+
 def test_rule_quality_edges(spark, docs, table, empty, judged):
     some, labels, _ = judged
     model = rule_quality.train(some, labels)
@@ -227,6 +308,9 @@ def test_rule_quality_edges(spark, docs, table, empty, judged):
     assert set(docs.columns) < set(out.columns) and out.count() == len(table)
     assert all(0 <= r["__score"] <= 1 for r in out.collect())
     assert rule_quality.score_quality(empty, model).count() == 0
+    clash = docs.selectExpr("*", "1 AS s_words", "2 AS __text", "3 AS __n", "4 AS __words", "5 AS __letters")
+    back = rule_quality.score_quality(clash, model)
+    assert back.columns == [*clash.columns, "__score", "__predicted"] and {tuple(r[-7:-2]) for r in back.collect()} == {(1, 2, 3, 4, 5)}
     none = rule_quality.train(docs, labels.where("quality > 5"))
     assert none.rules == () and {r["__score"] for r in rule_quality.score_quality(docs, none).collect()} == {0.5}
     nulls = spark.createDataFrame([(None, 1, 0), (3, None, 0), (4, 1, 1)], labels.schema)
