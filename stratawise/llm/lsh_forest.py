@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratawise.llm.common import checkpointed, default_parallelism, flat_words, slices
+from stratawise.llm.common import checkpointed, default_parallelism, flat_words, released, slices
 from stratawise.llm.graph import components
 from stratawise.llm.suffix_dedup import GRAM, gram_hashes
 
@@ -154,7 +154,7 @@ def _planted(texts: DataFrame, trees: int, longest: int, depth: int) -> DataFram
                 for t, (node, below) in enumerate(forest_paths(signatures(h, doc, trees * longest)[leaf], trees, longest, depth)):
                     yield rows(len(s), leaf=s, node=node.view(np.int64), below=below.view(np.int64), tree=np.full(len(s), t))
 
-    return texts.mapInArrow(plant, "doc_id long, dk long, s1 long, s2 long, n long, leaf long, node long, below long, tree long")
+    return texts.mapInArrow(released(plant), "doc_id long, dk long, s1 long, s2 long, n long, leaf long, node long, below long, tree long")
 
 
 def _neighbours(places: DataFrame, parts: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _neighbours(places: DataFrame, parts: int) -> DataFrame:
             last_node, last_leaf = node[-1], leaf[-1]
 
     dealt = places.select("node", "below", "leaf").repartition(parts, "node").sortWithinPartitions("node", "below", "leaf")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    return dealt.mapInArrow(released(meet), "a long, b long").distinct()
 
 
 def _groups(planted: DataFrame, candidates: DataFrame, sizes: DataFrame, crowd: int, block: int) -> DataFrame:
@@ -297,7 +297,7 @@ def set_classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: int
                 h, at = distinct(h, doc, piece.num_rows)
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("s1", "copies", "groups", "nodes")), _binary(h, at)], ["s1", "copies", "groups", "nodes", "shingles"])
 
-    members = wanted.mapInArrow(dealt, "s1 long, copies long, groups array<struct<id: long, tree: long, blocks: int>>, nodes array<long>, shingles binary")
+    members = wanted.mapInArrow(released(dealt), "s1 long, copies long, groups array<struct<id: long, tree: long, blocks: int>>, nodes array<long>, shingles binary")
     members = members.select("s1", "copies", "nodes", "shingles", F.inline("groups")).withColumn("mine", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
     pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("id", "tree", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "s1", "copies", "nodes", "shingles")
@@ -332,7 +332,7 @@ def set_classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: int
         done()
         yield _emitted(emit)
 
-    checked = checkpointed(pairs.repartition(parts, "route").sortWithinPartitions("id", "tree", "i", "j", "mine", "s1").drop("route").mapInArrow(verify, "s1 long, degree long, near long"))
+    checked = checkpointed(pairs.repartition(parts, "route").sortWithinPartitions("id", "tree", "i", "j", "mine", "s1").drop("route").mapInArrow(released(verify), "s1 long, degree long, near long"))
     degree = checked.groupBy("s1").agg(F.sum("degree").alias("degree"))
     roots = components(checked.select(F.col("s1").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "s1")
     titles = roots.join(classes, "s1").groupBy("root").agg(F.min("title").alias("least"))

@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratawise.llm.common import checkpointed, default_parallelism, doc_texts, open_fs, publish, slices
+from stratawise.llm.common import checkpointed, default_parallelism, doc_texts, open_fs, publish, released, slices
 
 UNIT = 192
 SMALLEST, LARGEST = 512, 8192
@@ -209,7 +209,7 @@ def _cut(docs: DataFrame, out: str) -> DataFrame:
         else:
             store.delete_file(f"{root}/{pack}")
 
-    return checkpointed(docs.mapInArrow(cut, _SCHEMA))
+    return checkpointed(docs.mapInArrow(released(cut), _SCHEMA))
 
 
 def _compacted(cut: DataFrame, out: str, parts: int) -> DataFrame:
@@ -249,7 +249,7 @@ def _compacted(cut: DataFrame, out: str, parts: int) -> DataFrame:
                     yield _place_rows(new, places)
 
     # Dealt by range: by hash the plan would reuse the aggregation's shuffle, whose few bytes become one task.
-    index = packs.repartitionByRange(parts, "pack").mapInArrow(rewrite, _SCHEMA)
+    index = packs.repartitionByRange(parts, "pack").mapInArrow(released(rewrite), _SCHEMA)
     return checkpointed(index.select(F.col("digests").alias("digest"), "pack", "at", "length"))
 
 
@@ -297,7 +297,7 @@ def read_media(manifest: DataFrame, out: str, *, with_payload: bool = False) ->
             if made:
                 yield _read_rows(made)
 
-    return near.mapInArrow(read, schema)
+    return near.mapInArrow(released(read), schema)
 
 
 def _read_rows(rows: list[tuple]) -> pa.RecordBatch:

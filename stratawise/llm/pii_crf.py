@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from stratawise.llm.common import WORD, doc_texts, slices
+from stratawise.llm.common import WORD, doc_texts, released, slices
 
 #: Kinds in their order and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -429,7 +429,7 @@ def find_pii(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
                     "n_added": pa.array([len(s) - len(b) for s, b in zip(spans, base, strict=True)], pa.int64()), "n_spans": pa.array([len(s) for s in spans], pa.int64()),
                 })
 
-    return doc_texts(docs).mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
+    return doc_texts(docs).mapInArrow(released(find), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def _decoded(crf: Crf, scores: list[np.ndarray], most: int = 2048) -> list[np.ndarray]:

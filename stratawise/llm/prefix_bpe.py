@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratawise.llm.common import _CUT, UnitTable, doc_texts, ids_by_text, slices
+from stratawise.llm.common import _CUT, UnitTable, doc_texts, ids_by_text, released, slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -245,4 +245,4 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
 
-    return doc_texts(docs).mapInArrow(encode, schema)
+    return doc_texts(docs).mapInArrow(released(encode), schema)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratawise.llm.common import doc_texts, slices
+from stratawise.llm.common import doc_texts, released, slices
 
 #: The kinds in their order, keywords, patterns and the checksum alphabet.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt")
@@ -136,7 +136,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                     "spans": pa.array([_joined(s) for s in rows], pa.string()), "n_validated": pa.array([sum(k > 2 for _, k, _ in s) for s in rows], pa.int64()),
                 })
 
-    return doc_texts(docs).mapInArrow(find, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_validated long")
+    return doc_texts(docs).mapInArrow(released(find), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_validated long")
 
 
 def redact_secrets(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
@@ -152,5 +152,5 @@ def redact_secrets(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
                 clean = [None if null else redact(t, s, mark) for null, (t, s) in zip(texts.is_null().to_pylist(), _scanned(texts.fill_null(""), keywords), strict=True)]
                 yield piece.set_column(at, piece.schema.field(at), pa.array(clean, texts.type))
 
-    out = docs.mapInArrow(rewrite, schema)
+    out = docs.mapInArrow(released(rewrite), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out

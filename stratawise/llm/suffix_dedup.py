@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratawise.llm.common import checkpointed, default_parallelism, flat_words, slices
+from stratawise.llm.common import checkpointed, default_parallelism, flat_words, released, slices
 
 GRAM = 5
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -147,8 +147,8 @@ def _repeated_anchors(keyed: DataFrame, depth: int, parts: int) -> DataFrame:
                 route[~new] ^= at[~new].astype(np.int64) * 0x5851F42D4C957F2D % (1 << 61)  # they need no meeting
                 yield _batch(route=pa.array(route), dk=pa.array(dk[w.doc[at]]), at=pa.array(w.pos[at] * 4 + count))
 
-    dealt = keyed.mapInArrow(anchors, "route long, dk long, at long").repartition(parts, "route").sortWithinPartitions("route")
-    return dealt.mapInArrow(_met, "dk long, pos int")
+    dealt = keyed.mapInArrow(released(anchors), "route long, dk long, at long").repartition(parts, "route").sortWithinPartitions("route")
+    return dealt.mapInArrow(released(_met), "dk long, pos int")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +335,7 @@ def repeated_windows(docs: DataFrame, depth: int = 20, group_rows: int = 1 << 18
                     yield from heads.packed(1, groups, group_rows)
 
     # The same columns as in the last join, so that both read one shuffle of the texts.
-    rows = keyed.join(firsts, "dk", "left_semi").join(anchors, "dk").select("dk", "did", "no_id", "text", "anchors").mapInArrow(suffixes, _ROW)
+    rows = keyed.join(firsts, "dk", "left_semi").join(anchors, "dk").select("dk", "did", "no_id", "text", "anchors").mapInArrow(released(suffixes), _ROW)
     levels = sorted({1, 2, letters})
     for longer in (*levels[1:], None):
         dealt = rows.repartition(parts, "group").sortWithinPartitions("group")
@@ -377,4 +377,4 @@ def remove_repeats(docs: DataFrame, depth: int = 20, group_rows: int = 1 << 18,
                 yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], types[i]) for i, c in enumerate(names)})
 
     marked = keyed.join(firsts.withColumn("first", F.lit(True)), "dk", "left").join(repeats, "dk", "left")
-    return marked.select("no_id", "did", "text", F.coalesce("first", F.lit(False)).alias("first"), "runs").mapInArrow(rewrite, schema)
+    return marked.select("no_id", "did", "text", F.coalesce("first", F.lit(False)).alias("first"), "runs").mapInArrow(released(rewrite), schema)

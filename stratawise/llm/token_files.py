@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratawise.llm.common import UnitTable, default_parallelism, doc_texts, ids_by_text, open_fs, publish, slices
+from stratawise.llm.common import UnitTable, default_parallelism, doc_texts, ids_by_text, open_fs, publish, released, slices
 
 #: Marks that the byte-level pattern always parts from the letters before them.
 _MARKS = ".,;:!?*$%&#|"
@@ -131,7 +131,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "docs": pa.array([sum(map(len, ids_of))], pa.int64()), "ids": pa.array([total], pa.int64())})
 
     ordered = doc_texts(docs).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    rows = sorted((r for r in ordered.mapInArrow(encode, "part long, docs long, ids long").collect() if r["docs"]), key=lambda r: r["part"])
+    rows = sorted((r for r in ordered.mapInArrow(released(encode), "part long, docs long, ids long").collect() if r["docs"]), key=lambda r: r["part"])
     bases = np.concatenate([[0], np.cumsum([r["ids"] for r in rows], dtype=np.int64)]).tolist()
     manifest = {"dtype": dtype, "end_id": end_id, "total": bases[-1], "parts": [{"part": r["part"], "docs": r["docs"], "ids": r["ids"], "base": b} for r, b in zip(rows, bases, strict=False)]}
     store, root = open_fs(out)
@@ -193,4 +193,4 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
                     "n_tokens": pa.array(np.diff(at), pa.int64()), "ids_crc32": pa.array(crcs, pa.int64()),
                 })
 
-    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(read, schema)
+    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(released(read), schema)
