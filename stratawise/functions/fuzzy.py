@@ -7,24 +7,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-#: Points for a hit at the start of a word, in a run, and elsewhere; cost of a gap.
-WORD_START, RUN, HIT, GAP = 10, 5, 1, 1
+#: Points of each hit; further ones right after the hit before, at a word's start, and for a whole prefix.
+HIT, RUN, WORD_START, PREFIX = 1, 5, 10, 20
+
+
+def begins_word(target: str, at: int) -> bool:
+    """At the beginning, after white space, - or _, or where capitals (or digits) follow what isn't one."""
+    if at == 0 or at >= len(target):
+        return True
+    before, here = target[at - 1], target[at]
+    return before.isspace() or before in "-_" or (before == before.lower() and here == here.upper())
 
 
 def score(query: str, target: str | None) -> int | None:
-    """Points of matching the query's characters in order, each at its first place; null without a match."""
-    if target is None:
-        return None
-    low, at, last, total = target.lower(), 0, -2, 0
-    for c in query.lower():
-        found = low.find(c, at)
-        if found < 0:
+    """Points of matching the query's characters in order, each at its first place; null without a match, 0 without a query."""
+    if target is None or not query:
+        return None if target is None else 0
+    low, wanted, places, at = target.lower(), query.lower(), [], -1
+    for c in wanted:
+        at = low.find(c, at + 1)
+        if at < 0:
             return None
-        start = found == 0 or not target[found - 1].isalnum() or (target[found].isupper() and target[found - 1].islower())
-        total += WORD_START if start else RUN if found == last + 1 else HIT
-        total -= GAP * min(found - at, 3)
-        last, at = found, found + 1
-    return total
+        places.append(at)
+    total = sum(HIT + WORD_START * begins_word(target, p) for p in places)
+    total += sum(RUN for a, b in zip(places, places[1:], strict=False) if b == a + 1)
+    return total + PREFIX * low.startswith(wanted)
 
 
 def fuzzy_score(target: Column, query: str) -> Column:

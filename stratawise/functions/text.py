@@ -141,13 +141,29 @@ def markdown_plain(value: Column) -> Column:
     return F.trim(value)
 
 
+#: Sizes of headings by their marks, and marks of emphasis with their tags, longest first.
+_HEADINGS = (("#{1,2}", 5), ("#{3}", 4), ("#{4,6}", 3))
+_EMPHASIS = ((r"\*\*\*", ("b", "i")), (r"\*\*", ("b",)), (r"\*", ("i",)), ("~~", ("s",)))
+
+
 def markdown_bbcode(value: Column) -> Column:
-    """Markdown as BBCode."""
-    for pattern, by in ((r"(?m)^#\s+(.*)$", "[size=6][b]$1[/b][/size]"), (r"(?m)^##\s+(.*)$", "[size=5][b]$1[/b][/size]"), (r"(?m)^#{3,6}\s+(.*)$", "[size=4][b]$1[/b][/size]"), (r"\*\*([^*]+)\*\*", "[b]$1[/b]"), (r"\*([^*\n]+)\*", "[i]$1[/i]"), (r"`([^`]*)`", "[font=Courier]$1[/font]"), (r"!\[[^\]]*\]\(([^)]*)\)", "[img]$1[/img]"), (r"\[([^\]]*)\]\(([^)]*)\)", "[url=$2]$1[/url]"), (r"(?m)^\s*[-*+]\s+(.*)$", "[*]$1")):
+    """Markdown as BBCode; items in succession make one list."""
+    rules = [(r"```\w*\n([\s\S]*?)```", "[code]$1[/code]"), (r"`([^`]+)`", "[font=Courier New]$1[/font]"), (r"!\[[^\]]*\]\(([^)]+)\)", "[img]$1[/img]"), (r"\[([^\]]+)\]\(([^)]+)\)", "[url=$2]$1[/url]")]
+    rules += [(rf"(?m)^{marks}\s+(.+)$", f"[size={size}][b]$1[/b][/size]") for marks, size in _HEADINGS]
+    rules += [(f"{mark}(.+?){mark}", "".join(f"[{t}]" for t in tags) + "$1" + "".join(f"[/{t}]" for t in reversed(tags))) for mark, tags in _EMPHASIS]
+    rules.append((r"(?m)^>\s+(.+)$", "[quote]$1[/quote]"))
+    for item, tag in (("[-*+]", "[list]"), (r"\d+\.", "[list=1]")):
+        rules += [(rf"(?m)^{item}\s+(.+)$", f"{tag}\n[*]$1\n[/list]"), (re.escape("[/list]\n" + tag + "\n"), "")]
+    for pattern, by in [*rules, (r"(?m)^[-*_]{3,}$", "[line]")]:
         value = F.regexp_replace(value, pattern, by)
     return value
 
 
+def declared_functions(source: Column) -> Column:
+    """Names of the functions that a script declares, each once, in order."""
+    return F.array_distinct(F.regexp_extract_all(source, F.lit(r"\bfunction\s+([A-Za-z_][\w.:]*)\s*\("), 1))
+
+
 def normalized_ids(value: Column) -> Column:
     """Pipe-joined ids: (ids without blanks, whether there are several)."""
     ids = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")

@@ -79,3 +79,31 @@ def concatenated(df: DataFrame, group: Sequence[str], order: str, content: str,
     """Contents of each group as one text in order, with the number of parts."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(content).alias("c"))))
     return df.groupBy(*group).agg(F.array_join(F.transform(parts, lambda x: x["c"]), separator).alias(content), F.count("*").alias("parts"))
+
+
+def largest(df: DataFrame, column: str) -> DataFrame:
+    """One row (most): the largest value, 0 without rows."""
+    return df.agg(F.coalesce(F.max(column), F.lit(0)).alias("most"))
+
+
+def list_type_bucket(node: Column) -> Column:
+    """The node id, blank as Other."""
+    return F.coalesce(F.nullif(node, F.lit("")), F.lit("Other"))
+
+
+def pattern_bucket(name: Column, buckets: Sequence[tuple[str, str]], other: str = "Other") -> Column:
+    """The first bucket whose pattern fits."""
+    out = F.lit(other)
+    for pattern, bucket in reversed(buckets):
+        out = F.when(name.rlike(pattern), F.lit(bucket)).otherwise(out)
+    return out
+
+
+def grouped(df: DataFrame, bucket: Column, key: str) -> DataFrame:
+    """(key, n, entries): the keys of each bucket in order."""
+    return df.groupBy(bucket.alias("key")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("entries"))
+
+
+def total_length(listing: DataFrame, folder: str) -> DataFrame:
+    """(folder, bytes): sizes of the files of a listing."""
+    return listing.groupBy(folder).agg(F.sum("length").alias("bytes"))

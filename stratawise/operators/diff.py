@@ -62,20 +62,42 @@ def diff_children(package: DataFrame, baseline: DataFrame, key: str, child: str)
 SECTION_RULES: dict[str, dict] = {
     "progression": {"delimited": {"Boosts": ";", "PassivesAdded": ";", "PassivesRemoved": ";"}, "scalars": (), "flags": ("AllowImprovement", "IsMulticlass"), "selectors": True, "children": ("SubClasses",)},
     "list": {"delimited": {"Abilities": ";", "Equipment": ";", "Passives": ",", "Skills": ",", "Spells": ";"}, "scalars": (), "flags": (), "selectors": False, "children": ()},
+    "race": {
+        "delimited": {}, "scalars": (), "flags": (), "selectors": False,
+        "children": ("EyeColors", "SkinColors", "HairColors", "TattooColors", "MakeupColors", "LipsMakeupColors", "HairGrayingColors", "HairHighlightColors", "HornColors", "HornTipColors", "Gods", "ExcludedGods", "Visuals", "Tags"),
+    },
+    "feat": {"delimited": {"PassivesAdded": ";"}, "scalars": (), "flags": ("AllowImprovement", "CanBeTakenMultipleTimes"), "selectors": True, "children": ()},
+    "origin": {"delimited": {"Passives": ";"}, "scalars": ("BodyShape", "BodyType", "VoiceTableUUID", "AppearanceLocked"), "flags": (), "selectors": False, "children": ("AppearanceTags", "ReallyTags")},
+    "background": {"delimited": {"Passives": ";"}, "scalars": (), "flags": ("Hidden",), "selectors": False, "children": ("Tags",)},
+    "action_resource": {
+        "delimited": {}, "scalars": ("Name", "MaxLevel", "ReplenishType", "DiceType", "MaxValue"), "selectors": False, "children": (),
+        "flags": ("IsHidden", "IsSpellResource", "PartyActionResource", "ShowOnActionResourcePanel", "UpdatesSpellPowerLevel"),
+    },
+    "action_resource_group": {"delimited": {"ActionResourceDefinitions": ";"}, "scalars": (), "flags": (), "selectors": False, "children": ()},
+    "class_description": {
+        "delimited": {}, "selectors": False, "children": ("Tags",), "flags": ("CanLearnSpells", "MustPrepareSpells", "HasGod", "IsDefaultForUseSpellAction"),
+        "scalars": (
+            "BaseHp", "HpPerLevel", "SpellCastingAbility", "PrimaryAbility", "ClassHotbarColumns", "CommonHotbarColumns", "ItemsHotbarColumns", "LearningStrategy", "MulticlassSpellcasterModifier", "AnimationSetPriority",
+            "CharacterCreationPose", "ClassEquipment", "SoundClassType", "ProgressionTableUUID", "SpellList", "ParentGuid", "Name",
+        ),
+    },
     "generic": {"delimited": {}, "scalars": None, "flags": (), "selectors": False, "children": ()},
-}
+}
 
 
 def diff_section(package: DataFrame, baseline: DataFrame, rules: dict, key: str = "uuid") -> DataFrame:
     """(key, change, field, added, removed, before, after) of attribute maps under one section's rules.
 
-    ``rules["scalars"]`` None compares every field not otherwise named."""
-    base = baseline.select(key, F.col("attributes").alias("__base"))
+    ``rules["scalars"]`` None compares every field not otherwise named.  Child groups are compared
+    as sets where both sides have ``children``, a map from group to ids."""
+    groups = rules["children"] if "children" in package.columns and "children" in baseline.columns else ()
+    base = baseline.select(key, F.col("attributes").alias("__base"), *([F.col("children").alias("__children")] if groups else []))
     joined = package.join(base, key, "left")
     new = joined.where("__base is null").select(key, F.lit("New").alias("change"), *[F.lit(None).cast(t).alias(c) for c, t in (("field", "string"), ("added", "array<string>"), ("removed", "array<string>"), ("before", "string"), ("after", "string"))])
     both = joined.where("__base is not null")
-    named = {**rules["delimited"]}
+    named = {**rules["delimited"], **({"Selectors": ";"} if rules["selectors"] else {})}
     sets = [F.struct(F.lit(f).alias("field"), *[c.alias(n) for c, n in zip(diff_delimited(F.col("attributes")[f], F.col("__base")[f], d), ("added", "removed"), strict=True)]) for f, d in named.items()]
+    sets += [F.struct(F.lit(g).alias("field"), *[x.alias(n) for x, n in zip(set_changes(F.element_at("children", g), F.element_at("__children", g)), ("added", "removed"), strict=True)]) for g in groups]
     out = new
     if sets:
         rows = both.select(key, F.explode(F.array(*sets)).alias("c")).where("size(c.added) + size(c.removed) > 0")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,3 +167,23 @@ def search_tree(paths: DataFrame, query: str, path: str = "path") -> DataFrame:
     below = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("node", "/"))), lambda i: F.array_join(F.slice(F.split("node", "/"), 1, i), "/"))).alias("top")).join(whole, "top").select("node")
     kept = chain.union(below).distinct()
     return kept.join(hit.withColumn("matched", F.lit(True)), "node", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+
+
+def existence(tables: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """(table_name, has_data): whether a table has a row; one row of each is read at most."""
+    parts = [df.limit(1).agg(F.lit(name).alias("table_name"), (F.count("*") > 0).alias("has_data")) for name, df in tables]
+    return reduce(DataFrame.union, parts)
+
+
+def keys_like(df: DataFrame, key: str, pattern: str, deleted: bool = False, changed: bool = False) -> DataFrame:
+    """Rows whose key fits a LIKE pattern, live or deleted, and of these only changed ones if asked for."""
+    out = df.where(F.col(key).like(pattern) & (F.col("_is_deleted") == int(deleted)))
+    return out.where("_is_new = 1 OR _is_modified = 1") if changed else out
+
+
+def unresolved_requires(scripts: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """(key, target): paths that scripts (key, text) require and that no row of ``known`` (key) names."""
+    wanted = F.regexp_extract_all("text", F.lit(r"""\brequire\s*\(\s*["']([^"']+)["']\s*\)"""), 1)
+    either = F.regexp_extract_all("text", F.lit(r"""\bRequire\s*\(\s*["']([^"']+)["']\s*\)"""), 1)
+    rows = scripts.select(key, F.explode(F.array_distinct(F.concat(wanted, either))).alias("target"))
+    return rows.join(known.select(F.col("key").alias("target")).distinct(), "target", "left_anti").select(key, "target")

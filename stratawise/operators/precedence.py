@@ -73,3 +73,8 @@ def main_table(tables: DataFrame) -> DataFrame:
     """Per region the table to query: no parents first, then ``…__root`` parents, then more rows, then name."""
     group = F.when(F.coalesce("parent_tables", F.lit("")) == "", 0).when(F.col("parent_tables").endswith("__root"), 1).otherwise(2)
     return first_wins(tables, ["region_id"], [group, F.col("row_count").desc_nulls_last(), F.col("table_name")])
+
+
+def present_in(df: DataFrame, key: str, sources: Sequence[DataFrame]) -> DataFrame:
+    """Rows whose key some source has; sources are united before the one semi join."""
+    return df.join(reduce(lambda a, b: a.unionByName(b), [s.select(key) for s in sources]), key, "left_semi")

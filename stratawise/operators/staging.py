@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from stratawise.sources import files
 
 FLAGS = ("_is_new", "_is_modified", "_is_deleted")
+#: Ids of a journal that one window counts.
+_STRETCH = 100_000
 JOURNAL = "id long, label string, table_name string, pk_value string, old_row string, new_row string"
 
 
@@ -97,10 +99,16 @@ def invalid_operation(ops: DataFrame) -> int | None:
 def undo_groups(journal: DataFrame) -> DataFrame:
     """Journal entries with the number of boundaries before them; boundary rows are dropped.
 
-    A boundary is a row without a table.  Journals are pruned to a few hundred rows, so one
-    window orders them."""
-    group = F.sum(F.when(F.col("table_name").isNull(), 1).otherwise(0)).over(Window.orderBy("id"))
-    return journal.withColumn("undo_group", group).where("table_name is not null")
+    A boundary is a row without a table.  Ids are cut into stretches: boundaries are counted within
+    one by a window, and the counts of the stretches before it come from a window over stretches."""
+    own = journal.withColumn("__stretch", F.floor(F.col("id") / _STRETCH))
+    bound = F.when(F.col("table_name").isNull(), 1).otherwise(0)
+    counts = own.groupBy("__stretch").agg(F.sum(bound).alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("__stretch", F.coalesce(upto, F.lit(0)).alias("__before"))
+    inside = F.sum(bound).over(Window.partitionBy("__stretch").orderBy("id"))
+    counted = own.withColumn("undo_group", inside).join(before, "__stretch")
+    return counted.withColumn("undo_group", F.col("undo_group") + F.col("__before")).where("table_name is not null").drop("__stretch", "__before")
 
 
 def compacted(journal: DataFrame, most: int = 500) -> DataFrame:
@@ -114,6 +122,11 @@ def images(entries: DataFrame, redo: bool) -> DataFrame:
     return entries.groupBy("table_name", "pk_value").agg(pick.alias("image"))
 
 
+def purged(df: DataFrame, column: str, value) -> DataFrame:
+    """The rows of all other sources; a null source is none."""
+    return df.where(F.col(column).isNull() | (F.col(column) != value))
+
+
 def row_image(df: DataFrame) -> Column:
     return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
 
@@ -253,7 +266,7 @@ class Workspace:
             t = self.table(name)
             if column in t.columns:
                 gone += t.where(F.col(column) == value).count()
-                new[name] = t.where(F.col(column).isNull() | (F.col(column) != value))
+                new[name] = purged(t, column, value)
         m["version"] += 1
         self._publish(m, new)
         return gone

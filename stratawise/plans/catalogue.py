@@ -567,7 +567,12 @@ def handle_resolve(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", F.when(c("resolved") == c("raw"), c("plain")).otherwise(c("resolved")).alias("resolved"))
 
 
-@query()
+_STARTS = "CASE WHEN {0} = 1 OR regexp_matches(substr(p_name, {0} - 1, 1), '[ _-]') OR (substr(p_name, {0} - 1, 1) = lower(substr(p_name, {0} - 1, 1)) AND substr(p_name, {0}, 1) = upper(substr(p_name, {0}, 1))) THEN 10 ELSE 0 END"
+
+
+@query(f"""
+WITH a AS (SELECT p_partkey, p_name, lower(p_name) AS low, instr(lower(p_name), 'a') AS i FROM part), b AS (SELECT *, CASE WHEN i > 0 AND instr(substr(low, i + 1), 'r') > 0 THEN i + instr(substr(low, i + 1), 'r') END AS j FROM a)
+SELECT p_partkey, p_name, CAST(2 + CASE WHEN j = i + 1 THEN 5 ELSE 0 END + {_STARTS.format('i')} + {_STARTS.format('j')} + CASE WHEN starts_with(low, 'ar') THEN 20 ELSE 0 END AS INT) AS score FROM b WHERE j IS NOT NULL""")
 def fuzzy_rank(spark: SparkSession, d: str) -> DataFrame:
     """Parts whose name holds the query's letters in order, best first."""
     scored = table(spark, d, "part").select("p_partkey", "p_name", fuzzy.fuzzy_score(c("p_name"), "ar").alias("score"))

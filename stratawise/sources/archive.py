@@ -52,8 +52,10 @@ def lz4_decode(data: bytes, size: int | None, before: bytes = b"") -> bytes:
         if not 0 < back <= len(out):
             raise ValueError("bad LZ4 offset")
         start = len(out) - back
-        for k in range(n):
-            out.append(out[start + k])
+        if back >= n:
+            out += out[start : start + n]
+        else:  # the copy runs into itself: its first bytes repeat
+            out += (bytes(out[start:]) * (n // back + 1))[:n]
     if size is not None and len(out) - len(before) != size:
         raise ValueError(f"{len(out) - len(before)} bytes where {size} were said")
     return bytes(out[len(before) :])
@@ -110,7 +112,7 @@ def entries(uri: str) -> list[Entry]:
         name, low, high, part, flags, stored, size = struct.unpack_from(f"<{NAME}sIHBBII", table, i * ENTRY)
         offset = low | high << 32
         if offset != DELETED & ((1 << 48) - 1):
-            out.append(Entry(name.split(b"\0")[0].decode(), offset, part, METHODS[flags & 15], stored, size))
+            out.append(Entry(name.split(b"\0")[0].decode(), offset, part, METHODS.get(flags & 15, f"unknown {flags & 15}"), stored, size))
     return out
 
 
@@ -118,7 +120,18 @@ def payload(uri: str, e: Entry) -> bytes:
     raw = _Reader(uri).range(e.offset, e.stored, e.part)
     if e.method == "none":
         return raw
-    return lz4_decode(raw, e.size) if e.method == "lz4" else zlib.decompress(raw)
+    return lz4_decode(raw, e.size) if e.method == "lz4" else inflate(raw, e.size, e.method)
+
+
+def inflate(raw: bytes, size: int, method: str = "zlib") -> bytes:
+    """At most ``size`` bytes of a zlib stream, which must then have ended."""
+    if method != "zlib":
+        raise ValueError(f"compression: {method}")
+    stream = zlib.decompressobj()
+    out = stream.decompress(raw, size + 1)
+    if len(out) != size or not stream.eof:
+        raise ValueError(f"a zlib stream of other than the {size} bytes said")
+    return out
 
 
 def write(uri: str, files: dict[str, bytes], method: str = "zlib") -> dict:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from stratawise.sources.archive import lz4_decode
+from stratawise.sources.archive import inflate, lz4_decode
 from stratawise.sources.trees import NODES
 
 #: Fixed values of the format: signature, versions, and the attribute types by number.
@@ -119,7 +119,7 @@ class _Input:
         if not stored or not method:
             return raw
         if method == 1:
-            return zlib.decompress(raw)
+            return inflate(raw, size)
         if method == 2:
             return lz4_frame(raw) if framed else lz4_decode(raw, size)
         raise ValueError(f"compression {method}")

@@ -84,3 +84,10 @@ def script_rows(files: DataFrame, existing: DataFrame | None = None, most: int =
     if existing is not None:
         rows = rows.join(existing.where("_is_modified = 1 or _is_new = 1").select("key"), "key", "left_anti")
     return rows
+
+
+def package_folders(listing: DataFrame) -> DataFrame:
+    """(root, package): folders below Mods that hold a manifest."""
+    found = r"^(.*?)(?:^|/)?Mods/([^/]+)/meta\.lsx$"
+    rows = listing.select(F.regexp_extract("path", found, 1).alias("root"), F.regexp_extract("path", found, 2).alias("package"))
+    return rows.where("package <> ''").distinct()
