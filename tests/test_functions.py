@@ -90,3 +90,27 @@ def test_versions_round_trip(spark, parts):
     if rows:
         df = spark.createDataFrame(rows, "v string")
         assert all(r["v"] == r["w"] for r in df.withColumn("w", values.version_text(values.version_number(F.col("v")))).collect())
+
+
+@pytest.mark.parametrize(("query", "target", "want"), [
+    ("", "x", 0), ("ab", "ab", 1 + 10 + 1 + 5 + 20), ("fb", "FooBar", 2 * 11), ("oa", "FooBar", 2), ("b", "foo-bar", 11), ("b", "a_b", 11), ("z", "abc", None), ("AB", "xab", 1 + 1 + 5),
+])
+def test_fuzzy_points(query, target, want):
+    assert fuzzy.score(query, target) == want
+
+
+def test_bbcode_constructs(spark):
+    got = one(spark, text.markdown_bbcode(F.lit("# A\n### B\n***x*** ~~y~~ ![i](u)\n> q\n1. one\n2. two\n```py\ncode\n```\n---")))
+    assert got == "[size=5][b]A[/b][/size]\n[size=4][b]B[/b][/size]\n[b][i]x[/i][/b] [s]y[/s] [img]u[/img]\n[quote]q[/quote]\n[list=1]\n[*]one\n[*]two\n[/list]\n[code]code\n[/code]\n[line]"
+
+
+def test_reference_rules_agree_with_their_column(spark):
+    from stratawise.plans import references
+
+    cases = [("T", "N", n, d) for n in [*references._NAMES, "XUUID", "Xuuid", "SomeTemplate", "UUID", "other"] for d in ("guid", "FixedString", "int32")]
+    cases += [("T", n, "Object", "guid") for n in references._NODES] + [(t, "N", col, "guid") for t, col in references._TABLES]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(cases)], "i int, t string, n string, c string, d string")
+    got = {r["i"]: r["x"] for r in df.select("i", references.target_column(F.col("t"), F.col("n"), F.col("c"), F.col("d")).alias("x")).collect()}
+    for i, x in enumerate(cases):
+        want = references.target(*x)
+        assert got[i] == (None if want is None else f"{want[0]}.{want[1]}" if want[1] else want[0]), x

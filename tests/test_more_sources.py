@@ -110,3 +110,33 @@ def test_validation(spark):
     e = spark.createDataFrame([(g, "s1", "n"), (g, "s2", ""), ("x", "s1", "n"), ("x", "s1", "n")], "k string, s string, name string")
     assert rows(validate.entries(e, "k", "s", ["name"]), "key", "problem") == [(g, "also in another section"), (g, "no name"), ("x", "not a guid"), ("x", "not a guid"), ("x", "repeated in its section")]
     assert e.where(F.lit(True)).count() == 4
+
+
+def test_deep_comments_unknown_methods_and_long_streams(spark, tmp_path):
+    import struct
+    import zlib
+
+    from stratawise.sources import archive, trees
+
+    deep = '<node id="a">' * 3000 + "</node>" * 3000
+    rows = trees.read(spark.createDataFrame([("d", f'<save><region id="R"><!-- {deep} --><node id="N"/></region></save>')], "path string, text string")).collect()
+    assert [(r["node_id"], r["error"]) for r in rows][-1] == ("N", None)
+    uri = f"{tmp_path}/p.pak"
+    archive.write(uri, {"a.txt": b"aaaa" * 50, "b.txt": b"b"}, "zlib")
+    first = archive.entries(uri)[0]
+    assert archive.payload(uri, first) == b"aaaa" * 50
+    raw = bytearray(open(uri, "rb").read())
+    at = struct.unpack_from("<Q", raw, 8)[0] + 8
+    place = raw.index(b"a.txt\0", at)
+    raw[place + 256 + 7] = 9
+    open(uri, "wb").write(raw)
+    odd = archive.entries(uri)
+    assert [e.path for e in odd] == ["a.txt", "b.txt"] and odd[0].method == "unknown 9" and archive.payload(uri, odd[1]) == b"b"
+    for bad in (lambda: archive.payload(uri, odd[0]), lambda: archive.inflate(zlib.compress(b"x" * 100), 10)):
+        try:
+            bad()
+        except ValueError:
+            continue
+        raise AssertionError
+    assert archive.lz4_decode(bytes([0x10]) + b"a" + struct.pack("<H", 1) + bytes([0x10]) + b"z", None) == b"aaaaaz"
+    assert archive.lz4_decode(bytes([0x31]) + b"abc" + struct.pack("<H", 3) + bytes([0x10]) + b"z", None) == b"abcabcabz"
