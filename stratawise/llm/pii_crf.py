@@ -16,7 +16,8 @@ one tag in succession may be several spans: they are cut between words and at co
 semicolons, slashes and bars so that most of them is covered by pieces that pass.
 
 Spans are code points, end exclusive.  Null texts count as empty; repeated rows give
-repeated results.
+repeated results; a very long text is read whole, its stretches decoded in batches of like
+length; an empty table gives no rows.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

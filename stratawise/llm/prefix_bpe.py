@@ -10,6 +10,10 @@ many bytes as the longest token has.
 
 Texts are cut by the tokenizer's pattern and each match is encoded on its own.
 Null texts count as empty (no ids); repeated rows give repeated results.
+
+Null texts count as empty and have no ids; repeated rows give repeated results; a very long
+text is encoded whole; an empty table gives no rows.  Columns other than doc_id and text are
+not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ last six characters are the base-62 CRC-32 of the thirty before, and ``jwt``, wh
 first two parts decode to JSON objects, the first naming an algorithm.
 
 Spans are code points, end exclusive.  Null texts count as empty; repeated rows
-give repeated results.
+give repeated results; a very long text is scanned whole; a claim set nested too
+deeply to be read is none; an empty table gives no rows.  The scan reads doc_id and
+text alone; redaction keeps every other column as it is, but for n_chars.
 """
 
 from __future__ import annotations
