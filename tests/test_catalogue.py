@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from stratawise.plans import catalogue, catalogue_more  # noqa: F401
+from stratawise.plans import catalogue, catalogue_documents, catalogue_more  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
