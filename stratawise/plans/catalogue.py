@@ -64,21 +64,12 @@ def entries_by_folder_distinct(spark: SparkSession, d: str) -> DataFrame:
     return precedence.first_wins(table(spark, d, "customer"), ["c_nationkey", "c_mktsegment"], [c("c_custkey")]).select("c_nationkey", "c_mktsegment", "c_custkey", "c_name")
 
 
-@query("""
-SELECT p_partkey, source, pos - 1 AS pos, trim(w) AS item FROM (
-  SELECT p_partkey, CASE WHEN trim(p_type) <> '' THEN 'p_type' ELSE 'p_name' END AS source,
-         list_filter(string_split(CASE WHEN trim(p_type) <> '' THEN p_type ELSE p_name END, ' '), lambda x: trim(x) <> '') AS ws
-  FROM part WHERE p_partkey IN (1, 5, 9, 100, 150)) t, LATERAL (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS pos)""")
-def list_items_explode(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.list_items(table(spark, d, "part"), "p_partkey", ["p_type", "p_name"], " ", [1, 5, 9, 100, 150]).withColumn("pos", c("pos").cast("long"))
-
-
 @query("""
 SELECT p_partkey, source, pos - 1 AS pos, trim(w) AS item FROM (
   SELECT p_partkey, CASE WHEN trim(p_type) <> '' THEN 'p_type' ELSE 'p_name' END AS source,
          list_filter(string_split(CASE WHEN trim(p_type) <> '' THEN p_type ELSE p_name END, ' '), lambda x: trim(x) <> '') AS ws
   FROM part) t, LATERAL (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS pos)""")
-def list_items_parts(spark: SparkSession, d: str) -> DataFrame:
+def list_items_explode(spark: SparkSession, d: str) -> DataFrame:
     """The list items of every part."""
     return lookup.list_items(table(spark, d, "part"), "p_partkey", ["p_type", "p_name"], " ").withColumn("pos", c("pos").cast("long"))
 
@@ -701,19 +692,11 @@ def loca_xml_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return loca.read_xml(files.select(c("source").alias("path"), c("line").alias("text"))).select("contentuid", "version", "text")
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, CAST(pos - 1 AS BIGINT) AS pos, res AS resource, qty AS quantity, lvl AS level FROM (
-  SELECT l_orderkey, l_linenumber, unnest([1, 2]) AS pos, unnest([l_returnflag, l_linestatus]) AS res, unnest([CAST(l_partkey AS VARCHAR), '']) AS qty, unnest(['1:' || l_linenumber, '']) AS lvl FROM lineitem WHERE l_linenumber = 1)""")
-def costs_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Cost texts built from first lines and parsed; a level keeps its inner colon."""
-    return _parsed_costs(table(spark, d, "lineitem").where("l_linenumber = 1"))
-
-
 @query("""
 SELECT l_orderkey, l_linenumber, CAST(pos - 1 AS BIGINT) AS pos, res AS resource, qty AS quantity, lvl AS level FROM (
   SELECT l_orderkey, l_linenumber, unnest([1, 2]) AS pos, unnest([l_returnflag, l_linestatus]) AS res, unnest([CAST(l_partkey AS VARCHAR), '']) AS qty, unnest(['1:' || l_linenumber, '']) AS lvl FROM lineitem)""")
-def costs_parse_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The same of every line."""
+def costs_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Cost texts built from every line and parsed; a level keeps its inner colon."""
     return _parsed_costs(table(spark, d, "lineitem"))
 
 
