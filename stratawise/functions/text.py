@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,6 +81,13 @@ def glob_match(path: Column, pattern: str) -> Column:
     return path.rlike(glob_regex(pattern))
 
 
+def data_pattern(roots: Sequence[str], extensions: Sequence[str]) -> str:
+    """Pattern of the paths that a reference build reads: files of these types below a root or a dice set, and manifests."""
+    escape = lambda s: re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", s)
+    file = rf".+\.({'|'.join(extensions)})$"
+    return rf"(({'|'.join(escape(r) for r in roots)})/{file}|Public/DiceSet_[^/]+/{file}|Mods/[^/]+/meta\.(lsx|lsf))"
+
+
 def split_outside_parens(value: Column, delimiter: str = ";") -> Column:
     """Split at delimiters outside one level of parentheses; trimmed, blanks dropped."""
     d = re.escape(delimiter)

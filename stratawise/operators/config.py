@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratawise.functions.labels import section_rank
+from stratawise.functions.labels import goal_guid, section_rank
 from stratawise.functions.text import split_delimited
 from stratawise.functions.values import insert_and_remove
+from stratawise.operators.aggregate import concatenated
 
 
 def list_rows(df: DataFrame, key: str, changes: str, kind: str | None = None, field: str = "Items") -> DataFrame:
@@ -78,3 +79,15 @@ def config_entries(files: DataFrame) -> DataFrame:
     rows = rows.select("path", "section", F.posexplode(F.from_json("raw", "array<map<string,string>>")).alias("pos", "fields"))
     keyed = F.coalesce(F.try_element_at("fields", F.lit("UUID")), F.try_element_at("fields", F.lit("UUIDs")), F.try_element_at("fields", F.lit("ID")), F.lit(""))
     return rows.withColumn("problem", F.when(keyed == "", "no key")).unionByName(bad)
+
+
+#: The lines of a goal before and after its facts.
+GOAL_HEAD = ("Version 1", "SubGoalCombiner SGC_AND", "", "INITSECTION")
+GOAL_TAIL = ("", "KBSECTION", "", "EXITSECTION", "", "ENDEXITSECTION", "", 'ParentTargetEdge "__Shared_Campaign"', "")
+
+
+def tag_goals(pairs: DataFrame, group: str, order: str) -> DataFrame:
+    """(group, text): a goal that pairs race tags (name, uuid) with their real ones (real_name, real_uuid); no pairs, no goal."""
+    fact = F.concat(F.lit("DB_RaceTags("), goal_guid(F.col("name"), F.col("uuid")), F.lit(", "), goal_guid(F.col("real_name"), F.col("real_uuid")), F.lit(");"))
+    facts = concatenated(pairs.withColumn("text", fact), [group], order, "text")
+    return facts.select(group, F.concat(F.lit("\n".join(GOAL_HEAD) + "\n"), "text", F.lit("\n" + "\n".join(GOAL_TAIL))).alias("text"))

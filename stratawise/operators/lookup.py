@@ -149,6 +149,12 @@ def raw_rows(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])).alias("attributes"))
 
 
+def preview(df: DataFrame, key: str, node: str) -> DataFrame:
+    """(uuid, node_id, attributes): a row's filled columns as texts, but for internal ones."""
+    fields = F.create_map(*[x for n in df.columns if not n.startswith("_") for x in (F.lit(n), F.col(f"`{n}`").cast("string"))])
+    return df.select(F.col(key).alias("uuid"), F.lit(node).alias("node_id"), F.map_filter(fields, lambda _, v: v.isNotNull()).alias("attributes"))
+
+
 def matches(text: Column, query: str) -> Column:
     """Case-insensitive substring test."""
     return F.contains(F.lower(text), F.lit(query.lower()))

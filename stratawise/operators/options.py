@@ -34,6 +34,17 @@ def tag_options(vanilla: DataFrame, entries: DataFrame, groups: Sequence[str]) -
     return sort_options(first_wins(ranked_union([("vanilla", vanilla.select("id", "label")), ("seen", seen)]), ["id"], [F.col("_rank")]).select("id", "label"))
 
 
+def child_options(vanilla: DataFrame, packages: Sequence[DataFrame], group: str, node: str | None = None, section: str = "Races") -> DataFrame:
+    """(id, label) for one child group: baseline rows (id, display, node_id), of one node if asked for, as
+    ``[display] id``, then ids that entries (section, children: group → ids) of the packages have, first wins."""
+    base = vanilla.where(F.col("node_id") == node) if node else vanilla
+    sources = [("vanilla", base.select("id", F.concat(F.lit("["), F.coalesce("display", F.lit("")), F.lit("] "), "id").alias("label")))]
+    for i, entries in enumerate(packages):
+        ids = entries.where(F.col("section") == section).select(F.explode(F.try_element_at("children", F.lit(group))).alias("id")).distinct()
+        sources.append((str(i), ids.withColumn("label", F.col("id"))))
+    return first_wins(ranked_union(sources), ["id"], [F.col("_rank"), F.col("label")]).select("id", "label")
+
+
 def names_union(sources: Sequence[DataFrame], column: str) -> DataFrame:
     """Sorted distinct names of all sources."""
     return ranked_union([(str(i), d.select(column)) for i, d in enumerate(sources)]).select(column).where(F.col(column) != "").distinct().orderBy(column)

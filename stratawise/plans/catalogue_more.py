@@ -747,3 +747,59 @@ SELECT CAST(p_partkey AS VARCHAR) AS path, CASE p_partkey % 3 WHEN 0 THEN 'not a
 def json_configs(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "part").select(c("p_partkey").cast("string").alias("path"), F.element_at(F.array(F.lit("[1"), F.lit('{"A": 1, "B": 2}'), F.lit('{"A": 1}')), (c("p_partkey") % 3 + 1).cast("int")).alias("text"))
     return validate.json_configs(docs, ["A", "B"]).select("path", "message")
+
+
+# --- choices, previews and texts of the toolkit -----------------------------------------------------------------
+
+
+@query("""
+WITH v AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, '[' || s_name || '] ' || s_suppkey AS label FROM supplier WHERE s_nationkey % 2 = 0),
+     s AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size % 2 = 0)
+SELECT id, label FROM v UNION ALL SELECT id, id FROM s WHERE id NOT IN (SELECT id FROM v)""")
+def child_options(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of a node, then parts that entries of one section hold in the group."""
+    node = F.when(c("s_nationkey") % 2 == 0, "God").otherwise("Other")
+    vanilla = table(spark, d, "supplier").select(c("s_suppkey").cast("string").alias("id"), c("s_name").alias("display"), node.alias("node_id"))
+    groups = F.create_map(F.lit("Gods"), F.array(c("p_partkey").cast("string")), F.lit("Visuals"), F.array(F.lit("x")))
+    entries = table(spark, d, "part").select(F.when(c("p_size") % 2 == 0, "Races").otherwise("Feats").alias("section"), groups.alias("children"))
+    return options.child_options(vanilla, [entries, entries], "Gods", "God")
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS uuid, 'N' AS node_id, 'Name=' || c_name || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ',Segment=' || c_mktsegment END AS attributes FROM customer""")
+def entry_previews(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as preview entries without empty and internal columns."""
+    own = table(spark, d, "customer").select(c("c_custkey").cast("string").alias("_pk"), F.lit(1).alias("_is_new"), c("c_name").alias("Name"), F.when(c("c_custkey") % 3 != 0, c("c_mktsegment")).alias("Segment"))
+    pairs = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return lookup.preview(own, "_pk", "N").select("uuid", "node_id", F.array_join(pairs, ",").alias("attributes"))
+
+
+@query("""
+SELECT n_regionkey, 'Version 1\nSubGoalCombiner SGC_AND\n\nINITSECTION\n' ||
+  string_agg('DB_RaceTags(' || replace(n_name, ' ', '_') || '_' || n_nationkey || ', REALLY_' || replace(n_name, ' ', '_') || '_' || n_nationkey || ');', chr(10) ORDER BY n_nationkey) ||
+  '\n\nKBSECTION\n\nEXITSECTION\n\nENDEXITSECTION\n\nParentTargetEdge "__Shared_Campaign"\n' AS text FROM nation GROUP BY 1""")
+def tag_goals(spark: SparkSession, d: str) -> DataFrame:
+    """A goal text a region, a fact a nation."""
+    uuid = c("n_nationkey").cast("string")
+    pairs = table(spark, d, "nation").select("n_regionkey", "n_nationkey", c("n_name").alias("name"), uuid.alias("uuid"), F.concat(F.lit("REALLY "), c("n_name")).alias("real_name"), uuid.alias("real_uuid"))
+    return config.tag_goals(pairs, "n_regionkey", "n_nationkey")
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, n_name AS folder FROM nation WHERE n_regionkey = (SELECT max(n_regionkey) FROM nation)""")
+def active_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Folders of the newest of the settings files, one a region."""
+    line = lambda name: F.concat(F.lit('  <attribute id="Folder" type="LSString" value="'), name, F.lit('"/>'))
+    body = aggregate.concatenated(table(spark, d, "nation").withColumn("line", line(c("n_name"))), ["n_regionkey"], "n_nationkey", "line")
+    head = F.concat(line(F.lit("before")), F.lit('\n<node id="Mods">\n<children>\n'), line(F.lit("Gustav")), F.lit("\n</children>\n"))
+    tail = F.concat(F.lit("\n\t</children>\r\n"), line(F.lit("after")))
+    return files.active_folders(body.select(c("n_regionkey").cast("string").alias("path"), c("n_regionkey").alias("modified"), F.concat(head, c("line"), tail).alias("text"))).select(c("pos").cast("long").alias("pos"), "folder")
+
+
+@query("""
+SELECT p_partkey FROM part WHERE p_partkey % 6 IN (0, 2, 3)""")
+def data_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Parts whose made-up path a reference build would read."""
+    paths = F.array(*[F.lit(x) for x in ("Public/A.B/x/a.lsx", "Public/A.B/a.txt", "Public/DiceSet_9/x/b.lsf", "Mods/M/meta.lsx", "Mods/M/N/meta.lsx", "Public/AxB/a.lsx")])
+    path = F.element_at(paths, (c("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, d, "part").where(path.rlike(text.data_pattern(["Public/A.B", "Public/C"], ["lsx", "lsf"]))).select("p_partkey")

@@ -11,15 +11,9 @@ from pyspark.sql import functions as F
 from stratawise.functions.text import sanitize_id
 from stratawise.functions.values import coerce, null_key
 from stratawise.operators.precedence import first_wins, synthetic_key
+from stratawise.plans.references import SELF, target
 from stratawise.plans.registry import KEY_COLUMNS, Reference, Registry, TableSchema, checked_name
 
-#: Name patterns of reference columns in order: (pattern, only these domain types, target region).
-PATTERNS: list[tuple[str, tuple[str, ...], str]] = [
-    (r"^Parent(Guid|Id|UUID)?$", ("guid", "FixedString"), ""),
-    (r"^(?P<t>\w+?)(UUID|Guid|Id)$", ("guid",), "<t>"),
-]
-
-
 def key_strategy(source_type: str, columns: set[str], nested: bool) -> str:
     """How rows of a table are told apart."""
     if source_type == "loca":
@@ -33,7 +27,7 @@ def key_strategy(source_type: str, columns: set[str], nested: bool) -> str:
     return "id" if "ID" in columns else "row_id"
 
 
-def discover(nodes: DataFrame, patterns: list[tuple[str, tuple[str, ...], str]] = PATTERNS) -> Registry:
+def discover(nodes: DataFrame) -> Registry:
     """One table a region and node, with the union of its columns.
 
     Two aggregations come to the driver: a row for each column of each table and one for
@@ -66,22 +60,24 @@ def discover(nodes: DataFrame, patterns: list[tuple[str, tuple[str, ...], str]]
         for p in sorted(ps):
             registry.links[p, name[k]] = f"{p}__to__{name[k].rsplit('__', 1)[-1]}"
     for t in registry.tables.values():
-        t.references = references(t, registry, patterns)
+        t.references = references(t, registry)
     return registry
 
 
-def references(table: TableSchema, registry: Registry, patterns: list[tuple[str, tuple[str, ...], str]]) -> list[Reference]:
-    """By column name, the first pattern that fits; a template's target is a region of that name."""
+def references(table: TableSchema, registry: Registry) -> list[Reference]:
+    """What the reference rules say of each column, where the target is a known table that has the key."""
     out = []
-    regions = {t.region.lower().rstrip("s"): t for t in registry.tables.values() if t.region and t.strategy != "row_id"}
     for column, domain in sorted(table.columns.items()):
-        for pattern, domains, target in patterns:
-            m = re.match(pattern, column)
-            if m and domain in domains:
-                found = table if not target else regions.get((m["t"] if target == "<t>" else target).lower().rstrip("s"))
-                if found and column != found.key:
-                    out.append(Reference(column, found.name, found.key))
-                break
+        rule = target(table.name.removeprefix("tree__"), table.node, column, domain)
+        if rule is None:
+            continue
+        name, key = rule
+        if name == SELF:
+            found = table
+        else:
+            found = registry.resolve(name.replace(":", "__") if ":" in name else f"tree__{name}")
+        if found and (key == found.key or key in found.columns) and (found is not table or column != key):
+            out.append(Reference(column, found.name, key))
     return out
 
 

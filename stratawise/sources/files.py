@@ -6,7 +6,7 @@ import json
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratawise.functions.text import file_kind, module_of
@@ -91,3 +91,27 @@ def package_folders(listing: DataFrame) -> DataFrame:
     found = r"^(.*?)(?:^|/)?Mods/([^/]+)/meta\.lsx$"
     rows = listing.select(F.regexp_extract("path", found, 1).alias("root"), F.regexp_extract("path", found, 2).alias("package"))
     return rows.where("package <> ''").distinct()
+
+
+#: Modules of the base data, which no load order counts.
+BASE_MODULES = ("Gustav", "GustavDev")
+
+
+def active_folders(files: DataFrame, base: tuple[str, ...] = BASE_MODULES) -> DataFrame:
+    """(pos, folder) of the active packages in the newest settings file (text, modified; ties by path).
+
+    Folders count from the line that opens the Mods node to the first end of children after one; the
+    base modules are left out.  One file's lines are folded, so its size is the bound of a row."""
+    newest = files.orderBy(F.col("modified").desc(), "path").limit(1)
+    start = F.struct(F.lit(False).alias("open"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("found"))
+
+    def step(s: Column, line: Column) -> Column:
+        opened = s["open"] | line.contains('id="Mods"')
+        folder = F.regexp_extract(line, '<attribute\\s+id="Folder"\\s+[^>]*value="([^"]+)"', 1)
+        takes = opened & ~s["done"] & ~folder.isin("", *base)
+        found = F.when(takes, F.concat(s["found"], F.array(folder))).otherwise(s["found"])
+        done = s["done"] | (opened & (F.trim(F.regexp_replace(line, "[\\t\\r]", " ")) == "</children>") & (F.size(found) > 0))
+        return F.struct(opened.alias("open"), done.alias("done"), found.alias("found"))
+
+    folded = newest.select(F.aggregate(F.split("text", "\n"), start, step, lambda s: s["found"]).alias("found"))
+    return folded.select(F.posexplode("found").alias("pos", "folder"))

@@ -152,3 +152,16 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "events"))
     q = ingest.first_seen(stream, ["g"], "t").writeStream.format("memory").queryName("first_seen").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     assert q.awaitTermination(120) and spark.table("first_seen").count() == 1
+
+
+def test_reference_rules_of_a_registry():
+    tables = {
+        "tree__Races__Race": registry.TableSchema("tree__Races__Race", "tree", "Races", "Race", "uuid", {"UUID": "guid", "ParentGuid": "guid", "RaceUUID": "guid", "FooUUID": "guid", "GodUUID": "int32", "SpellList": "guid"}, [], []),
+        "tree__Gods": registry.TableSchema("tree__Gods", "tree", "Gods", "God", "uuid", {"UUID": "guid"}, [], []),
+        "tree__Races__Gods": registry.TableSchema("tree__Races__Gods", "tree", "Races", "Gods", "row_id", {"Object": "guid"}, [], []),
+    }
+    reg = registry.Registry(tables, {}, {"tree__Gods__God": "tree__Gods"})
+    found = lambda name: [(r.column, r.table, r.target) for r in discover.references(tables[name], reg)]
+    # A name that resolves nowhere, a type that holds no key and a target that isn't there give no reference.
+    assert found("tree__Races__Race") == [("ParentGuid", "tree__Races__Race", "UUID"), ("RaceUUID", "tree__Races__Race", "UUID")]
+    assert found("tree__Races__Gods") == [("Object", "tree__Gods", "UUID")] and found("tree__Gods") == []
