@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -135,13 +136,36 @@ _CAREFUL = (
 )
 _CUT = re.compile(r"(?<=[!-~])(?=[ \n])|(?<=[^\W_])(?=[ \n])")
 
+#: Marks that the byte-level patterns always part from a letter before them.
+_MARKS = ".,;:!?*$%&#|"
+_MARKED = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}][" + _MARKS + "]+$"
+
+
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def _stems_and_marks(words: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct parts of words, and each word's stem and the marks behind its last letter
+    (-1: none) as numbers of parts."""
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32, count=words.offset + len(words) + 1)[words.offset :]
+    marked = pc.match_substring_regex(words, _MARKED).to_numpy(zero_copy_only=False)
+    stems = pc.binary_length(pc.ascii_rtrim(words, characters=_MARKS)).to_numpy(zero_copy_only=False)
+    bounds = np.empty(2 * len(words) + 1, dtype=np.int32)  # stem and marks by turns, over the same bytes
+    bounds[::2] = offsets
+    bounds[1::2] = np.where(marked, offsets[:-1] + stems, offsets[1:])
+    parts = pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(bounds), words.buffers()[2]).dictionary_encode()
+    codes = parts.indices.to_numpy().astype(np.int64)
+    return _strings(parts.dictionary), codes[::2], np.where(marked, codes[1::2], -1)
+
 
 def text_units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Cut texts where no pre-token of a byte-level BPE pattern can cross.
 
     Returns the distinct units, the unit number of each piece in order, and the
     number of pieces of each text.  A pre-token never runs from a non-space
-    into a following space, so a cut there leaves every pre-token whole.
+    into a following space, nor from a letter into a mark, so a cut there leaves
+    every pre-token whole; words with and without marks then share one unit.
     """
     careful = pc.match_substring_regex(texts, _CAREFUL).to_numpy(zero_copy_only=False)
     n = len(texts)
@@ -150,15 +174,21 @@ def text_units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     coded = split.flatten().dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64)
     counts = np.diff(split.offsets.to_numpy()).astype(np.int64)
-    words = coded.dictionary.to_pylist()
+    words, stems, marks = _stems_and_marks(coded.dictionary)
     starts = np.cumsum(counts) - counts
-    codes *= 2  # odd: a piece without a space before it
-    codes[starts[counts > 0]] |= 1
+    bare = np.zeros(len(codes), dtype=np.int64)  # 1: a piece without a space before it
+    bare[starts[counts > 0]] = 1
     newline = pc.index(coded.dictionary, "\n").as_py()
     if newline >= 0:
-        at = np.flatnonzero(codes >> 1 == newline)
-        codes[at] |= 1
-        codes[at + 1] |= 1  # a plain text never ends with a newline
+        at = np.flatnonzero(codes == newline)
+        bare[at] = 1
+        bare[at + 1] = 1  # a plain text never ends with a newline
+    first, second = 2 * stems[codes] + bare, marks[codes]
+    split_at = np.flatnonzero(second >= 0)
+    codes = np.insert(first, split_at + 1, 2 * second[split_at] + 1)
+    if n:
+        counts += np.bincount(np.searchsorted(starts, split_at, side="right") - 1, minlength=n)
+    starts = np.cumsum(counts) - counts
     used = np.zeros(2 * len(words), dtype=bool)
     used[codes] = True
     units = [words[k >> 1] if k & 1 else " " + words[k >> 1] for k in np.flatnonzero(used).tolist()]
@@ -212,7 +242,7 @@ class UnitTable:
             self._grow("flat", self.used + total)
             self.lens[base : base + len(new)] = lens
             self.starts[base : base + len(new)] = self.used + np.cumsum(lens) - lens
-            self.flat[self.used : self.used + total] = np.fromiter((t for x in made for t in x), dtype=np.uint32, count=total)
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), dtype=np.uint32, count=total)
             self.used += total
             self.at.update(zip(new, range(base, base + len(new)), strict=True))
         own = np.fromiter(map(self.at.__getitem__, units), dtype=np.int64, count=len(units))[codes]

@@ -25,6 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,7 @@ from pyspark.sql import functions as F
 
 from stratawise.llm.common import UnitTable, default_parallelism, doc_texts, ids_by_text, open_fs, publish, released, slices
 
-#: Marks that the byte-level pattern always parts from the letters before them.
-_MARKS = ".,;:!?*$%&#|"
+#: Units of letters alone, which the byte-level pattern leaves whole.
 _LETTERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
 _tables: dict[tuple[str, int], UnitTable] = {}
@@ -51,32 +51,22 @@ class _Encoder:
     """Unit ids from a byte-level tokenizer: plain words straight from its merge model,
     which skips the text pipeline, and all else through the whole tokenizer."""
 
-    def __init__(self, tokenizer, most: int = 400_000):
-        self.tokenizer, self.most, self.known = tokenizer, most, {}
-        self.letters = dict(enumerate(_byte_letters()))
+    def __init__(self, tokenizer):
+        self.tokenizer, self.letters = tokenizer, dict(enumerate(_byte_letters()))
+        del self.letters[10]  # a newline parts the words below
 
-    def word(self, text: str) -> list[int]:
-        ids = self.known.get(text)
-        if ids is None:
-            ids = self.known[text] = [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
-        return ids
+    def words(self, words: list[str]) -> list[list[int]]:
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(w)] for w in "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n")]
 
     def __call__(self, units: list[str]) -> list[list[int]]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        out, rest, word = [], [], self.word
-        for i, unit in enumerate(units):
-            core = unit.rstrip(_MARKS)
-            if _LETTERS(core):
-                out.append(word(core) + word(unit[len(core) :]) if len(core) < len(unit) else word(core))
-            else:
-                out.append([])
-                rest.append(i)
-        for a in range(0, len(rest), 20_000):
-            made = self.tokenizer.encode_batch_fast([units[i] for i in rest[a : a + 20_000]], add_special_tokens=False)
-            for i, e in zip(rest[a : a + 20_000], made, strict=True):
-                out[i] = e.ids
-        return out
+        plain = [_LETTERS(u) is not None for u in units]
+        out = self.words(list(compress(units, plain))) if any(plain) else []
+        if len(out) == len(units):
+            return out
+        found, rest = iter(out), [u for u, p in zip(units, plain, strict=True) if not p]
+        made = (e.ids for a in range(0, len(rest), 20_000) for e in self.tokenizer.encode_batch_fast(rest[a : a + 20_000], add_special_tokens=False))
+        return [next(found if p else made) for p in plain]
 
 
 def tokenizer_table(path: str) -> UnitTable:
@@ -187,7 +177,8 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
         for batch in batches:
             for k in batch.column("id").to_pylist():
                 ids, at, docs = own.part(k)
-                crcs = [zlib.crc32(np.asarray(ids[a:b]).astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                ids = np.asarray(ids)  # slices of a plain array are cheaper than of a memory map
+                crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(docs, pa.int64()), "start": pa.array(np.asarray(at[:-1]) + parts[k]["base"], pa.int64()),
                     "n_tokens": pa.array(np.diff(at), pa.int64()), "ids_crc32": pa.array(crcs, pa.int64()),

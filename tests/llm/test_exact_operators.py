@@ -47,6 +47,23 @@ def test_token_files_match_the_library(spark, docs, table, empty):
     assert token_files.read_token_files(spark, out).count() == 0
 
 
+def test_units_are_cut_before_marks():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    units, codes, counts = common.text_units(pa.array(["", "word, word. word word,.!\nword", "", "Größe! word; a.b. 12. *** don't. x|y #"]))
+    assert len(set(units)) == len(units) and {"word", " word", ",", ".", ",.!", ";"} < set(units)  # one unit, whatever marks follow
+    assert not {" word,", " word.", " word,.!", " word;", " Größe!"} & set(units)
+    assert "".join(units[k] for k in codes) == "word, word. word word,.!\nwordGröße! word; a.b. 12. *** don't. x|y #" and counts.sum() == len(codes)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, table = Tokenizer.from_file(path), token_files.tokenizer_table(path)
+    parts = ["word", "a", "é", "...", "!", ",", "12", "|", "<|endoftext|>", " ", "\n", "  ", "日本", "x.y", "don't", "***", "a,b.", "ß:", "\u00a0", "_", "#", "ñ%%", "ə", "Ω."]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(3000)]
+    ids, at = common.ids_by_text(table, pa.array(texts).slice(0))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_prefix_bpe_matches_the_library(docs, table, empty):
     import tiktoken
 
