@@ -8,7 +8,9 @@ the encodings of all prefixes: appending extends it exactly, and an edit
 recomputes only from the edit until the table agrees with the old one for as
 many bytes as the longest token has.
 
-Texts are cut by the tokenizer's pattern and each match is encoded on its own.
+Texts are cut by the tokenizer's pattern and each match is encoded on its own.  The tables of
+many matches grow together, a prefix length at a time: a trie gives the tokens that start at
+a byte, and a flat table the pairs that were tested before.
 Null texts count as empty (no ids); repeated rows give repeated results.
 
 Null texts count as empty and have no ids; repeated rows give repeated results; a very long
@@ -21,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,49 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+#: Longer strings than this get a table of their own; strings whose tables grow together; pairs kept.
+_LONG, _TOGETHER, _PAIRS = 64, 20_000, 1_000_000
+
+
+class IntMap:
+    """Numbers from 0 on by such numbers, in a flat table where numpy looks up many at once."""
+
+    def __init__(self, bits: int):
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values, self.used = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        hit = there == keys
+        out = np.where(hit, self.values[slots], -1)
+        left = np.flatnonzero(~hit & (there >= 0))
+        while len(left):
+            slots[left] = at = (slots[left] + 1) & self.last
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that are not there; at least one slot has to stay free."""
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            at = slots[left]
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # one of those that meet here
+            own = self.keys[at] == keys[left]
+            self.values[at[own]] = values[left[own]]
+            left = left[~own]
+            slots[left] = (slots[left] + 1) & self.last
+        self.used += len(keys)
+
+
 class PrefixBpe:
     """A rank vocabulary with the pair test that the prefix tables need."""
 
@@ -44,6 +90,20 @@ class PrefixBpe:
         self.step = max(ranks.values()) + 1
         self._valid: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
+        self._pairs = IntMap(_PAIRS.bit_length() + 1)
+        self._lens = np.array([len(self.token.get(i, b"")) for i in range(self.step)], dtype=np.int64)
+        nodes, ends = {}, [-1]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                key = node << 8 | byte
+                node = nodes.get(key, 0)
+                if not node:
+                    node = nodes[key] = len(ends)
+                    ends.append(-1)
+            ends[node] = rank
+        self._edges, self._ends = IntMap(len(nodes).bit_length() + 1), np.array(ends, dtype=np.int32)
+        self._edges.put(np.fromiter(nodes.keys(), dtype=np.int64), np.fromiter(nodes.values(), dtype=np.int32))
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merging by lowest rank; only for the short strings of the pair test."""
@@ -70,11 +130,95 @@ class PrefixBpe:
         key = a * self.step + b
         known = self._valid.get(key)
         if known is None:
-            if len(self._valid) > 1_000_000:
+            if len(self._valid) > _PAIRS:
                 self._valid.clear()
             known = self._valid[key] = self.merge(self.token[a] + self.token[b]) == [a, b]
         return known
 
+    def _fits(self, before: np.ndarray | None, tokens: np.ndarray) -> np.ndarray:
+        """Where the token may follow the one before it (None: begin the string)."""
+        if before is None:
+            firsts, where = np.unique(tokens, return_inverse=True)
+            return np.fromiter(map(self.whole, firsts.tolist()), dtype=bool, count=len(firsts))[where]
+        keys = before.astype(np.int64) * self.step + tokens
+        known = self._pairs.get(keys)
+        unknown = np.flatnonzero(known < 0)
+        if len(unknown):
+            new, where = np.unique(keys[unknown], return_inverse=True)
+            token, merge = self.token, self.merge
+            made = np.array([merge(token[a] + token[b]) == [a, b] for a, b in (divmod(k, self.step) for k in new.tolist())], dtype=np.int32)
+            if self._pairs.used + len(new) > _PAIRS:
+                self._pairs = IntMap(max(_PAIRS, len(new)).bit_length() + 1)
+            self._pairs.put(new, made)
+            known[unknown] = made[where]
+        return known == 1
+
+    def _tables(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
+        """Last tokens of the prefixes of strings sorted from long to short: an array a prefix length,
+        with an item for each string that is so long."""
+        longest = int(lens[0])
+        over = np.searchsorted(-lens, -np.arange(longest + 1), side="left").tolist()  # strings longer than j
+        tables: list[np.ndarray] = [np.full(len(lens), -1, dtype=np.int32)]
+        found: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(longest + 1)]
+        for j in range(longest):
+            if j:
+                tables.append(self._last(found[j], tables, over[j - 1]))
+                found[j] = []
+            own, node, end = np.arange(over[j]), np.zeros(over[j], dtype=np.int64), j
+            while len(own):  # all tokens that start at byte j; longer ones come earlier at each end
+                node = self._edges.get(node << 8 | data[starts[own] + end])
+                there = node >= 0
+                own, node, end = own[there], node[there].astype(np.int64), end + 1
+                token = self._ends[node]
+                real = token >= 0
+                found[end].append((j, own[real], token[real]))
+                some = np.searchsorted(own, over[end])
+                own, node = own[:some], node[:some]
+        tables.append(self._last(found[longest], tables, over[longest - 1]))
+        return tables
+
+    def _last(self, found: list[tuple[int, np.ndarray, np.ndarray]], tables: list[np.ndarray], n: int) -> np.ndarray:
+        """Last tokens at one prefix length, from the tokens found to end there."""
+        last = np.full(n, -1, dtype=np.int32)
+        for j, own, token in found:
+            still = last[own] < 0
+            own, token = own[still], token[still]
+            if len(own):
+                fits = self._fits(tables[j][own] if j else None, token)
+                last[own[fits]] = token[fits]
+        if (last < 0).any():
+            raise ValueError("the vocabulary lacks a byte of this text")
+        return last
+
+    def _together(self, strings: list[bytes]) -> list[list[int]]:
+        """The encodings of strings sorted from long to short, none empty."""
+        lens = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+        tables = self._tables(np.frombuffer(b"".join(strings), dtype=np.uint8), np.cumsum(lens) - lens, lens)
+        flat = np.concatenate(tables)
+        bases = np.cumsum([0] + [len(t) for t in tables])
+        own, at, steps = np.arange(len(strings)), lens.copy(), []
+        while len(own):  # from the last token of each string to its first
+            token = flat[bases[at[own]] + own]
+            steps.append((own, token))
+            at[own] -= self._lens[token]
+            own = own[at[own] > 0]
+        ends = np.cumsum(np.bincount(np.concatenate([o for o, _ in steps]), minlength=len(strings)))
+        ids = np.empty(ends[-1], dtype=np.int32)
+        for k, (own, token) in enumerate(steps, 1):
+            ids[ends[own] - k] = token
+        listed, bounds = ids.tolist(), [0, *ends.tolist()]
+        return [listed[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def encode_all(self, strings: list[bytes]) -> list[list[int]]:
+        """The ids of many pattern matches."""
+        out = [[t] if (t := self.ranks.get(s)) is not None else self.encode(s) if not 0 < len(s) <= _LONG else None for s in strings]
+        rest = sorted((i for i, ids in enumerate(out) if ids is None), key=lambda i: -len(strings[i]))
+        for a in range(0, len(rest), _TOGETHER):
+            some = rest[a : a + _TOGETHER]
+            for i, ids in zip(some, self._together([strings[i] for i in some]), strict=True):
+                out[i] = ids
+        return out
+
     def extend(self, data: bytes, table: list[int], end: int) -> None:
         """Add the last tokens of the prefixes of data up to length ``end``."""
         get, known, step, longest = self.ranks.get, self._valid, self.step, self.longest
@@ -177,31 +321,22 @@ class EncodedText:
 
 
 class TextEncoder:
-    """Encodes units by cutting them with the pattern; repeated matches are remembered."""
+    """Encodes units by cutting them with the pattern; equal matches are encoded once."""
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 400_000):
+    def __init__(self, ranks_path: str, pattern: str):
         import regex
 
-        self.bpe, self.find, self.most = PrefixBpe(load_ranks(ranks_path)), regex.compile(pattern).findall, most
-        self.known: dict[str, list[int]] = {}
+        self.bpe, self.find = PrefixBpe(load_ranks(ranks_path)), regex.compile(pattern).findall
         size = self.bpe.step
-        self.lens = np.array([len(self.bpe.token.get(i, b"")) for i in range(size)], dtype=np.int64)
+        self.lens = self.bpe._lens
         self.starts = np.cumsum(self.lens) - self.lens
         self.flat = np.frombuffer(b"".join(self.bpe.token.get(i, b"") for i in range(size)), dtype=np.uint8)
 
     def units(self, units: list[str]) -> list[list[int]]:
-        known, encode, out = self.known, self.bpe.encode, []
-        if len(known) > self.most:
-            known.clear()
-        for unit in units:
-            ids: list[int] = []
-            for piece in self.find(unit):
-                own = known.get(piece)
-                if own is None:
-                    own = known[piece] = encode(piece.encode())
-                ids += own
-            out.append(ids)
-        return out
+        cut = list(map(self.find, units))
+        pieces = list(dict.fromkeys(chain.from_iterable(cut)))
+        ids = dict(zip(pieces, self.bpe.encode_all([p.encode() for p in pieces]), strict=True))
+        return [ids[c[0]] if len(c) == 1 else [t for p in c for t in ids[p]] for c in cut]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids in order, and where the bytes of each id end."""
@@ -219,7 +354,7 @@ def encoder(ranks_path: str, pattern: str, remembered: int = 400_000) -> tuple[T
     """One encoder and its unit table per Python worker."""
     key = ranks_path, pattern, remembered
     if key not in _encoders:
-        own = TextEncoder(ranks_path, pattern, remembered)
+        own = TextEncoder(ranks_path, pattern)
         _encoders[key] = own, UnitTable(own.units, remembered)
     return _encoders[key]
 
@@ -227,7 +362,7 @@ def encoder(ranks_path: str, pattern: str, remembered: int = 400_000) -> tuple[T
 def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids: bool = False, remembered: int = 400_000) -> DataFrame:
     """Encode and decode each text: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids).
 
-    ``remembered`` is how many units and matches a Python worker keeps between batches; a
+    ``remembered`` is how many units a Python worker keeps between batches; a
     worker lives on after its stage, so a pipeline keeps fewer than a job of its own."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 

@@ -78,6 +78,33 @@ def test_prefix_bpe_matches_the_library(docs, table, empty):
     assert prefix_bpe.bpe_round_trip(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_prefix_tables_grow_together(monkeypatch):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = prefix_bpe.load_ranks(path)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(11)
+    parts = [b"the", b"er", b"ing", b" ", b"\xc3", b"\xa9", b"\xff", b"\x00", b"x", b"aaa", b"\xe6\x97\xa5", b"!!", b"lich", b"schen"]
+    strings = [b"", b"x" * 300, *(b"".join(rng.choice(np.array(parts, dtype=object), rng.integers(1, 14))) for _ in range(5000)), bytes(range(256))]
+    want = [own._core_bpe.encode_single_piece(s) if s else [] for s in strings]
+    bpe, scalar, grown = prefix_bpe.PrefixBpe(ranks), prefix_bpe.PrefixBpe.extend, []
+    monkeypatch.setattr(prefix_bpe.PrefixBpe, "extend", lambda self, data, table, end: (grown.append(data), scalar(self, data, table, end))[1])
+    assert bpe.encode_all(strings) == want
+    assert all(not s or len(s) > prefix_bpe._LONG for s in grown) and b"x" * 300 in grown  # only long ones go alone
+    monkeypatch.setattr(prefix_bpe, "_PAIRS", 50)  # the kept pairs turn over
+    monkeypatch.setattr(prefix_bpe, "_TOGETHER", 7)
+    assert prefix_bpe.PrefixBpe(ranks).encode_all(strings[:1500]) == want[:1500]
+    assert bpe.encode_all([]) == []
+    with pytest.raises(ValueError, match="lacks a byte"):
+        prefix_bpe.PrefixBpe({b"a": 0, b"b": 1, b"ab": 2}).encode_all([b"aba", b"abc"])
+    numbers = prefix_bpe.IntMap(10)
+    keys = rng.choice(1 << 40, 900, replace=False)
+    for some in np.array_split(keys, 3):
+        numbers.put(some, (some % 1000).astype(np.int32))
+    assert (numbers.get(keys) == keys % 1000).all() and (numbers.get(keys + (1 << 41)) == -1).all()
+
+
 def test_prefix_tables_append_and_edit():
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoder, _ = prefix_bpe.encoder(path, public_tokenizers.PATTERN)
