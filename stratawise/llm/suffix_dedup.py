@@ -8,7 +8,8 @@ at a window's first word and is read to that window's end, in letters of GRAM wo
    of the others start earlier there, so their words go when they have a window at all.
 2. *Pruning.*  In each window the 5-word gram with the least hash is its anchor, so equal
    windows have equal anchors at equal offsets.  Only anchors (a seventh of all places) are
-   shuffled; a suffix with an anchor in its window that occurs once can't be a repeat.
+   shuffled; a suffix whose window's own anchor occurs once can't be a repeat.  Anchors of
+   overlapping windows don't count: where a copy has other words around it, they are others.
 3. *Groups.*  Suffixes are dealt by a prefix of one letter; prefixes share a group (a
    virtual tree) so that one holds about ``group_rows`` suffixes.  Rows come sorted by group
    and are read as a stream.  A task first merges equal suffixes of its own slice, and a
@@ -89,16 +90,14 @@ class Windows:
             best[head] = np.where(nearer, best[step:], best[head])
             at[head] = np.where(nearer, at[step:], at[head])
             done += step
-        self.anchors = np.unique(at[self.starts])
+        self.own = at[self.starts]  # the anchor of each window
+        self.anchors = np.unique(self.own)
 
     def suffixes(self, repeated: np.ndarray) -> np.ndarray:
-        """Starts of the windows all of whose anchors are among ``repeated`` (places)."""
+        """Starts of the windows whose anchor is among ``repeated`` (places)."""
         known = np.zeros(len(self.grams) + 1, dtype=bool)
         known[repeated[repeated < len(self.grams)]] = True
-        once = np.zeros(len(self.grams) + 1, dtype=np.int64)
-        once[self.anchors[~known[self.anchors]] + 1] = 1
-        once = np.cumsum(once)
-        return self.starts[once[self.starts + self.depth - GRAM + 1] == once[self.starts]]
+        return self.starts[known[self.own]]
 
     def letters(self, starts: np.ndarray) -> np.ndarray:
         """A row of letters for each suffix; the last letter ends with the window."""

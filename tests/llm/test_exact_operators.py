@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -174,6 +175,26 @@ def test_suffix_groups_stay_within_their_bound():
     assert got == want and not rows and max(held) <= most
 
 
+def test_windows_with_other_neighbours_go(spark):
+    """Repeats of hardly more than a window: the words around a copy, and so the anchors of overlapping windows, are others."""
+    rng = random.Random(0)
+    word = lambda: f"{rng.choice('abcdefghij')}{rng.randrange(1000)}"
+    run = lambda n: " ".join(word() for _ in range(n))
+    bank = [run(n) for n in (20, 20, 20, 21, 22, 25, 30, 40, 60)]
+    rows = [(i * 7 - 900, " ".join(rng.choice(bank) if rng.random() < 0.5 else run(rng.randrange(1, 50)) for _ in range(rng.randrange(1, 5)))) for i in range(600)]
+    seen, want = set(), Counter()
+    for doc, text in rows:
+        w = text.split()
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            if (window := tuple(w[s : s + 20])) in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(window)
+        want[doc, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g))] += 1
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert counted(got, "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
 def test_words_of_later_copies_go(spark):
     text, short = " ".join(f"w{i}" for i in range(50)), "only a few words"
     rows = [(i, text) for i in (9, 4, 4, 7)] + [(1, short), (2, short), (3, text + " more"), (None, text)]
