@@ -51,10 +51,13 @@ def json_text(sections: DataFrame) -> DataFrame:
 
 
 def read_yaml(files: DataFrame) -> DataFrame:
-    """The inverse of ``yaml_text`` over (path, text): (path, section, pos, json).  Headers are carried down by text position."""
-    blocks = F.regexp_extract_all("text", F.lit(r"(?m)^(\w+):\n((?:  - [^\n]*\n?)*)"), 0)
-    own = files.select("path", F.explode(blocks).alias("b"))
-    return own.select("path", F.regexp_extract("b", r"^(\w+):", 1).alias("section"), F.posexplode(F.regexp_extract_all("b", F.lit(r"(?m)^  - ([^\n]*)$"), 1)).alias("pos", "json"))
+    """The inverse of ``yaml_text`` over (path, text): (path, section, pos, json).  A section is a header line and the items
+    directly below it.  Texts are cut into lines, for a pattern with a repeated group recurses once a line."""
+    own = files.select("path", F.explode(F.split("text", r"\n(?=\w+:\n)")).alias("b")).where(F.col("b").rlike(r"^\w+:\n"))
+    lines = own.select("path", F.split("b", "\n").alias("all")).select("path", F.substring_index(F.col("all")[0], ":", 1).alias("section"), F.slice("all", 2, F.size("all")).alias("rest"))
+    end = F.array_position(F.transform("rest", lambda x: x.startswith("  - ")), F.lit(False))
+    items = F.when(end > 0, F.slice("rest", 1, (end - 1).cast("int"))).otherwise(F.col("rest"))
+    return lines.select("path", "section", F.posexplode(F.transform(items, lambda x: F.substr(x, F.lit(5)))).alias("pos", "json"))
 
 
 def preview(automatic: DataFrame, manual: DataFrame, overrides: DataFrame, key: str = "key") -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from stratawise.operators import config
 from stratawise.sources import documents, effects, manifest, trees
 
 YAML = """# a comment
@@ -134,3 +135,12 @@ def test_rendered_effects_are_stable(spark):
     twice = effects.render(effects.read(once.select("path", F.col("content").alias("text"))))
     assert once.collect() == twice.collect()
     assert effects.data(effects.read(once.select("path", F.col("content").alias("text")))).first()["value"] == " \"v' "
+
+
+def test_long_sections_are_read_back(spark):
+    listed = lambda n, at=0: "".join(f"  - {i}\n" for i in range(at, at + n))
+    texts = [("long", "Feats:\n" + listed(60_000) + "Races:\n" + listed(2) + "gap\n" + listed(1)), ("odd", "junk\nTags:\n  - \n  -x\nA b:\n" + listed(1) + "None:\nTags:\n  - a: b\r\n  - last"), ("null", None)]
+    got = config.read_yaml(spark.createDataFrame(texts, "path string, text string"))
+    assert rows(got.where("path <> 'long'"), "section", "pos", "json") == [("Tags", 0, ""), ("Tags", 0, "a: b\r"), ("Tags", 1, "last")]
+    found = got.where("path = 'long'").groupBy("section").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum(F.col("json").cast("long") - F.col("pos")).alias("off"))
+    assert rows(found, "section", "n", "last", "off") == [("Feats", 60_000, 59_999, 0), ("Races", 2, 1, 0)]
