@@ -16,10 +16,16 @@ def changed_fields(mine: Column, base: Column) -> Column:
     return F.map_filter(mine, lambda k, v: ~v.eqNullSafe(F.element_at(base, k)))
 
 
+def _with_base(package: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """Package rows with those of the baseline.  Maps take many times the space of the files they are made from, by whose
+    size a broadcast would be chosen, so both sides are sorted."""
+    return package.join(base.hint("merge"), key, "left")
+
+
 def diff_maps(package: DataFrame, baseline: DataFrame, key: str, fields: str = "fields") -> DataFrame:
     """(key, change, changes): New rows with no changes listed, Modified rows with theirs; unchanged dropped."""
     base = baseline.select(key, F.col(fields).alias("__base"))
-    joined = package.join(base, key, "left")
+    joined = _with_base(package, base, key)
     changes = changed_fields(F.col(fields), F.col("__base"))
     out = joined.select(key, F.when(F.col("__base").isNull(), "New").otherwise("Modified").alias("change"), F.when(F.col("__base").isNotNull(), changes).alias("changes"))
     return out.where((F.col("change") == "New") | (F.size("changes") > 0))
@@ -29,7 +35,7 @@ def diff_columns(package: DataFrame, baseline: DataFrame, key: str, columns: Seq
     """(key, change, fields): New or Modified rows with the sorted names of changed columns."""
     base = baseline.select(key, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__there"))
     named = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.lit(c)) for c in sorted(columns)]))
-    out = package.join(base, key, "left").select(key, F.when(F.col("__there").isNull(), "New").otherwise("Modified").alias("change"), F.when(F.col("__there"), named).otherwise(F.array().cast("array<string>")).alias("fields"))
+    out = _with_base(package, base, key).select(key, F.when(F.col("__there").isNull(), "New").otherwise("Modified").alias("change"), F.when(F.col("__there"), named).otherwise(F.array().cast("array<string>")).alias("fields"))
     return out.where((F.col("change") == "New") | (F.size("fields") > 0))
 
 
@@ -92,24 +98,24 @@ def diff_section(package: DataFrame, baseline: DataFrame, rules: dict, key: str
     as sets where both sides have ``children``, a map from group to ids."""
     groups = rules["children"] if "children" in package.columns and "children" in baseline.columns else ()
     base = baseline.select(key, F.col("attributes").alias("__base"), *([F.col("children").alias("__children")] if groups else []))
-    joined = package.join(base, key, "left")
-    new = joined.where("__base is null").select(key, F.lit("New").alias("change"), *[F.lit(None).cast(t).alias(c) for c, t in (("field", "string"), ("added", "array<string>"), ("removed", "array<string>"), ("before", "string"), ("after", "string"))])
-    both = joined.where("__base is not null")
+    change = lambda kind, field=None, added=None, removed=None, before=None, after=None: F.struct(
+        F.lit(kind).alias("change"), *[(F.lit(None) if v is None else v).cast(t).alias(n) for n, t, v in (("field", "string", field), ("added", "array<string>", added), ("removed", "array<string>", removed), ("before", "string", before), ("after", "string", after))]
+    )
     named = {**rules["delimited"], **({"Selectors": ";"} if rules["selectors"] else {})}
-    sets = [F.struct(F.lit(f).alias("field"), *[c.alias(n) for c, n in zip(diff_delimited(F.col("attributes")[f], F.col("__base")[f], d), ("added", "removed"), strict=True)]) for f, d in named.items()]
-    sets += [F.struct(F.lit(g).alias("field"), *[x.alias(n) for x, n in zip(set_changes(F.element_at("children", g), F.element_at("__children", g)), ("added", "removed"), strict=True)]) for g in groups]
-    out = new
+    sets = [change("Modified", F.lit(f), *diff_delimited(F.col("attributes")[f], F.col("__base")[f], d)) for f, d in named.items()]
+    sets += [change("Modified", F.lit(g), *set_changes(F.element_at("children", g), F.element_at("__children", g))) for g in groups]
+    none = F.array().cast("array<struct<change:string,field:string,added:array<string>,removed:array<string>,before:string,after:string>>")
+    found = [none]
     if sets:
-        rows = both.select(key, F.explode(F.array(*sets)).alias("c")).where("size(c.added) + size(c.removed) > 0")
-        out = out.unionByName(rows.select(key, F.lit("Modified").alias("change"), "c.field", "c.added", "c.removed", F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after")))
+        found.append(F.filter(F.array(*sets), lambda x: F.size(x["added"]) + F.size(x["removed"]) > 0))
     if rules["scalars"] is None or rules["scalars"] or rules["flags"]:
-        wanted = None if rules["scalars"] is None else [*rules["scalars"], *rules["flags"]]
-        fields = both.select(key, "__base", F.explode("attributes").alias("field", "after"))
-        fields = fields.where(~F.col("field").isin(list(named) or [""])) if wanted is None else fields.where(F.col("field").isin(wanted))
-        fields = fields.withColumn("before", F.element_at("__base", F.col("field"))).where(scalar_change(F.col("after"), F.col("before")))
-        nothing = F.lit(None).cast("array<string>")
-        out = out.unionByName(fields.select(key, F.lit("Modified").alias("change"), "field", nothing.alias("added"), nothing.alias("removed"), "before", "after"))
-    return out
+        wanted = lambda f: ~f.isin(list(named) or [""]) if rules["scalars"] is None else f.isin([*rules["scalars"], *rules["flags"]])
+        own = F.filter(F.map_entries("attributes"), lambda a: wanted(a["key"]) & scalar_change(a["value"], F.element_at(F.col("__base"), a["key"])))
+        fields = F.transform(own, lambda a: change("Modified", a["key"], before=F.element_at(F.col("__base"), a["key"]), after=a["value"]))
+        found.append(F.coalesce(fields, none))
+    changes = F.when(F.col("__base").isNull(), F.array(change("New"))).otherwise(F.concat(*found))
+    # All changes of a row at once: the baseline is joined once, not for each kind.
+    return _with_base(package, base, key).select(key, F.explode(changes).alias("x")).select(key, "x.*")
 
 
 def rediff(package: DataFrame, baseline: DataFrame, other: DataFrame, key: str, fields: str = "fields") -> DataFrame:
@@ -126,7 +132,7 @@ def strip_inherited(df: DataFrame, parents: DataFrame, key: str, parent: str, fi
     """Fields equal to the parent row's are dropped; one level."""
     up = parents.select(F.col(key).alias(parent), F.col(fields).alias("__up"))
     kept = F.when(F.col("__up").isNull(), F.col(fields)).otherwise(F.map_filter(F.col(fields), lambda k, v: ~v.eqNullSafe(F.element_at(F.col("__up"), k))))
-    return df.join(up, parent, "left").withColumn(fields, kept).drop("__up")
+    return _with_base(df, up, parent).withColumn(fields, kept).drop("__up")
 
 
 def file_delta(planned: DataFrame, present: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -132,3 +132,19 @@ def test_workspace_undo_and_redo(spark, tmp_path):
     assert state() == [] and not staging.all_deleted(w.table("t")) and not staging.has_changes(w.table("t"))
     w.set_meta("k", "v")
     assert w.get_meta("k") == "v" and w.get_meta("other") is None
+
+
+def test_baselines_are_not_broadcast(spark):
+    """A baseline's maps outgrow the driver long before its files pass the size limit of broadcasts."""
+    side = lambda n, v: spark.range(n).select(F.col("id").alias("uuid"), F.create_map(F.lit("Name"), F.lit(v), F.lit("Passives"), F.concat(F.lit("a;"), F.col("id"))).alias("attributes"), F.create_map(F.lit("Tags"), F.array(F.lit(v))).alias("children"))
+    mine, base = side(4, "x"), side(3, "y").withColumn("attributes", F.when(F.col("uuid") > 0, F.col("attributes")))
+    rules = {"delimited": {"Passives": ";"}, "scalars": ("Name",), "flags": (), "selectors": False, "children": ("Tags",)}
+    got = diff.diff_section(mine, base, rules)
+    assert sorted((r.uuid, r.change, r.field or "", r.added or [], r.removed or [], r.before, r.after) for r in got.collect()) == [
+        (0, "New", "", [], [], None, None), *[x for i in (1, 2) for x in ((i, "Modified", "Name", [], [], "y", "x"), (i, "Modified", "Tags", ["x"], ["y"], None, None))], (3, "New", "", [], [], None, None)
+    ]
+    maps = lambda df: df.withColumnRenamed("attributes", "fields")
+    up = maps(base).withColumnRenamed("uuid", "p")
+    for df in (got, diff.diff_maps(maps(mine), maps(base), "uuid"), diff.strip_inherited(maps(mine).withColumn("p", F.col("uuid")), up.withColumnRenamed("p", "uuid"), "uuid", "p")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
