@@ -148,3 +148,13 @@ def test_baselines_are_not_broadcast(spark):
     for df in (got, diff.diff_maps(maps(mine), maps(base), "uuid"), diff.strip_inherited(maps(mine).withColumn("p", F.col("uuid")), up.withColumnRenamed("p", "uuid"), "uuid", "p")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_common_values_match_once(spark, monkeypatch):
+    taken, first_wins = [], lookup.first_wins
+    monkeypatch.setattr(lookup, "first_wins", lambda df, *a: taken.append(df) or first_wins(df, *a))
+    left = spark.range(200).select(F.col("id").alias("k"), F.lit("n").alias("u"), F.when(F.col("id") < 5, "m").alias("f"))
+    known = spark.range(300).select((F.col("id") + 7).alias("ord"), F.when(F.col("id") > 1, "n").alias("ku"), F.when(F.col("id") == 0, "m").alias("kf"))
+    got = lookup.first_match_or(left, known, [("u", "ku"), ("f", "kf")], "k", "ord")
+    assert rows(got, "k", "ord") == sorted([(i, 7 if i < 5 else 9) for i in range(200)], key=str)
+    assert taken[-1].count() == 205
