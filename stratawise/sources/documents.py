@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratawise.functions.labels import section_rank
 from stratawise.operators.precedence import first_wins
+from stratawise.sources.node_rows import arrow_rows
 from stratawise.sources.trees import MOST_DEPTH, NODES
 
 #: NODES with the source of an entry, which only section files give.
@@ -159,23 +158,23 @@ def parse(text: str) -> list[tuple]:
     return rows
 
 
+class Reader:
+    """A document's nodes; its text is gathered and read as a whole."""
+
+    def __init__(self):
+        self.texts: list[str] = []
+
+    def feed(self, text: str) -> list[tuple]:
+        self.texts.append(text)
+        return []
+
+    def close(self) -> list[tuple]:
+        return parse("".join(self.texts))
+
+
 def read(files: DataFrame) -> DataFrame:
     """SOURCED_NODES from (path, text); a text that can't be read gives one error row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "region", "node_id", "node_ord", "parent_ord", "root_ord", "depth", "commented", "attrs", "error", "source"]
-        for batch in batches:
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                try:
-                    rows = [(path, *r[:-2], {k: dict(zip(("type", "value", "handle", "version"), v, strict=True)) for k, v in r[-2].items()}, None, r[-1]) for r in parse(text or "")]
-                except (ValueError, TypeError, AttributeError) as e:
-                    rows = [(path, *[None] * 8, str(e), None)]
-                out = pd.DataFrame(rows, columns=names)
-                for c in ("node_ord", "parent_ord", "root_ord", "depth"):
-                    out[c] = out[c].astype("Int64")
-                yield out
-
-    return files.select("path", "text").mapInPandas(run, SOURCED_NODES)
+    return files.select("path", "text").mapInArrow(arrow_rows(Reader, (ValueError, TypeError, AttributeError), 11), SOURCED_NODES)
 
 
 # --- writing ------------------------------------------------------------------------------------

@@ -144,3 +144,28 @@ def test_long_sections_are_read_back(spark):
     assert rows(got.where("path <> 'long'"), "section", "pos", "json") == [("Tags", 0, ""), ("Tags", 0, "a: b\r"), ("Tags", 1, "last")]
     found = got.where("path = 'long'").groupBy("section").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum(F.col("json").cast("long") - F.col("pos")).alias("off"))
     assert rows(found, "section", "n", "last", "off") == [("Feats", 60_000, 59_999, 0), ("Races", 2, 1, 0)]
+
+
+def test_texts_are_read_as_streams(spark):
+    """Many documents share a batch; a document of any size gives many, and none of its rows where its end can't be read."""
+    import pyarrow as pa
+
+    from stratawise.sources import node_rows
+
+    entry = '<node id="N"><attribute id="UUID" type="guid" value="{}"/><children><node id="T"/></children></node>'
+    head, tail = '<save><region id="R"><node id="root"><children>', "</children></node></region></save>"
+    n = 30_000
+    big = head + "".join(entry.format(i) for i in range(n)) + tail
+    run = lambda texts: list(node_rows.arrow_rows(trees.Reader, (trees.ET.ParseError, ValueError), 10)([pa.RecordBatch.from_pydict({"path": [p for p, _ in texts], "text": [t for _, t in texts]})]))
+    assert len(run([(str(i), head + entry.format(i) + tail) for i in range(500)])) == 1
+    got = run([("small", head + tail), ("cut", big[:-1]), ("whole", big), ("bad", "<x")])
+    assert len(got) > 3 and max(b.num_rows for b in got) < 2 * node_rows.MOST_ROWS
+    table = pa.Table.from_batches(got)
+    assert table.num_rows == 1 + 1 + (2 * n + 1) + 1
+    assert sorted(p for p, e in zip(table["path"].to_pylist(), table["error"].to_pylist(), strict=True) if e) == ["bad", "cut"]
+    slices = [("a", 0, head), *[("a", i + 1, entry.format(i)) for i in range(300)], ("a", 301, tail), ("b", 0, head), ("b", 1, "<!-- " + entry.format("c")), ("b", 2, " -->" + tail), ("c", 0, head), ("d", 0, head + tail)]
+    nodes = trees.read_slices(spark.createDataFrame(slices, "path string, at int, text string").repartition(5), ["at"])
+    assert rows(nodes.where("error is not null"), "path") == [("c",)]
+    tops = trees.entries(nodes)
+    assert rows(tops.where("path = 'a'"), "uuid", "node_ord") == sorted(((str(i), 2 * i + 1) for i in range(300)), key=str)
+    assert rows(tops.where("path <> 'a'"), "path", "uuid", "commented") == [("b", "c", True)]
