@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from stratawise.operators.precedence import first_wins
 from stratawise.sources.node_rows import arrow_rows
 from stratawise.sources.trees import MOST_DEPTH, NODES
 
+#: Ordinals of nodes that share a part of a document or of a section's file.
+PART_NODES = 4096
 #: NODES with the source of an entry, which only section files give.
 SOURCED_NODES = NODES + ", source string"
 
@@ -34,8 +37,23 @@ def _unescaped(m: re.Match) -> str:
     return _LETTERS.get(s, s)
 
 
+def _pair(s: str) -> tuple[str, str] | None:
+    """Key and value of a mapping's line."""
+    if s[0].isalpha():  # what the pattern finds, without it
+        key, colon, value = s.partition(":")
+        return None if not colon or "#" in key or value and not value[0].isspace() else (key.rstrip(), value.lstrip())
+    m = _KEY.match(s)
+    return (m[1], m[2] or "") if m else None
+
+
+def _is_item(s: str) -> bool:
+    return s[:1] == "-" and (len(s) == 1 or s[1].isspace())
+
+
 def _scalar(s: str) -> Any:
     if s[:1] == '"':
+        if len(s) > 1 and s[-1] == '"' and "\\" not in s and '"' not in s[1:-1]:
+            return s[1:-1]
         m = re.match(r'"((?:[^"\\]|\\.)*)"\s*(?:#.*)?$', s, re.S)
         if not m:
             raise ValueError("a quoted text must end in its line")
@@ -83,8 +101,7 @@ def load(text: str) -> Any:
 
     def put(holder: Any, key: Any, s: str, indent: int) -> None:
         nonlocal slot, at
-        m = re.match(r"[|>][0-9+-]{0,2}\s*(?:#.*)?$", s)
-        if m:
+        if s[:1] in ("|", ">") and re.match(r"[|>][0-9+-]{0,2}\s*(?:#.*)?$", s):
             end = at
             while end < len(lines) and (not lines[end].strip() or len(lines[end]) - len(lines[end].lstrip(" ")) > indent):
                 end += 1
@@ -100,11 +117,11 @@ def load(text: str) -> Any:
         if not rest or rest[0] == "#" or rest.rstrip() in ("---", "..."):
             continue
         indent = len(raw) - len(rest)
-        if slot and (slot[2] > indent or (slot[2] == indent and not re.match(r"-(\s|$)", rest))):
+        if slot and (slot[2] > indent or (slot[2] == indent and not _is_item(rest))):
             slot = None  # the key had no value
         while stack and stack[-1][0] > indent:
             stack.pop()
-        while re.match(r"-(\s|$)", rest):
+        while _is_item(rest):
             if slot and (slot[2] < indent or isinstance(slot[0], dict)):
                 begin(indent, [])
             while stack and stack[-1][0] == indent and isinstance(stack[-1][1], dict):
@@ -118,15 +135,15 @@ def load(text: str) -> Any:
             indent, rest = indent + len(rest) - len(shorter), shorter
         if not rest:
             continue
-        m = _KEY.match(rest)
-        if m:
+        pair = _pair(rest)
+        if pair:
             if slot:
                 begin(indent, {})
             while stack and stack[-1][0] == indent and isinstance(stack[-1][1], list):
                 stack.pop()
             if not stack or stack[-1][0] != indent or not isinstance(stack[-1][1], dict):
                 raise ValueError(f"line {at}: a key outside a mapping")
-            put(stack[-1][1], _scalar(m[1]), m[2] or "", indent)
+            put(stack[-1][1], _scalar(pair[0]), pair[1], indent)
         elif slot:
             put(slot[0], slot[1], rest, slot[2])
         else:
@@ -190,7 +207,8 @@ def quoted(value: Column) -> Column:
 
 
 def entry_texts(nodes: DataFrame, source: Column | None = None) -> DataFrame:
-    """(path, region, root_ord, source, content): the YAML of each entry with its whole subtree, comments left out.
+    """(path, region, root_ord, source, content, nodes): the YAML of each entry with its whole subtree, comments left out, and its
+    number of nodes.
 
     Nodes in document order are lines in document order, so an entry is rendered by one sort of its own nodes;
     no task holds more than an entry."""
@@ -206,7 +224,7 @@ def entry_texts(nodes: DataFrame, source: Column | None = None) -> DataFrame:
     text = F.concat(head, quoted(F.col("node_id")), attributes, F.when(F.col("parent"), F.concat(F.lit("\n"), pad, F.lit("  children:"))).otherwise(""))
     rows = own.withColumns({"level": level.cast("int"), "parent": parent}).select("path", "region", "root_ord", "source", "node_ord", text.alias("content"))
     parts = F.array_sort(F.collect_list(F.struct(F.col("node_ord").alias("o"), F.col("content").alias("c"))))
-    return rows.groupBy("path", "region", "root_ord").agg(F.max("source").alias("source"), F.array_join(F.transform(parts, lambda x: x["c"]), "\n").alias("content"))
+    return rows.groupBy("path", "region", "root_ord").agg(F.max("source").alias("source"), F.array_join(F.transform(parts, lambda x: x["c"]), "\n").alias("content"), F.count("*").alias("nodes"))
 
 
 def _joined(entries: DataFrame, by: list[str], order: list[str], head: Column) -> DataFrame:
@@ -215,9 +233,33 @@ def _joined(entries: DataFrame, by: list[str], order: list[str], head: Column) -
     return entries.groupBy(*by).agg(F.count("*").alias("entries"), body.alias("content")).withColumn("content", F.concat(head, F.col("content"), F.lit("\n")))
 
 
+def _region_head() -> Column:
+    return F.concat(F.lit("region_id: "), quoted(F.col("region")), F.lit("\nnodes:\n"))
+
+
+def _section_head() -> Column:
+    return F.concat(F.lit("section: "), quoted(F.col("section")), F.lit("\nentries:\n"))
+
+
 def document_texts(nodes: DataFrame) -> DataFrame:
-    """(path, region, entries, content): each region of each document as YAML."""
-    return _joined(entry_texts(nodes), ["path", "region"], ["root_ord"], F.concat(F.lit("region_id: "), quoted(F.col("region")), F.lit("\nnodes:\n")))
+    """(path, region, entries, content): each region of each document as YAML, in one row; see ``document_parts``."""
+    return _joined(entry_texts(nodes), ["path", "region"], ["root_ord"], _region_head())
+
+
+def _parts(entries: DataFrame, by: list[str], head: Column) -> DataFrame:
+    """Entries joined to parts of about PART_NODES nodes, each with the head of its file, so that it is a document of its own."""
+    dealt = entries.withColumn("part", F.floor(F.col("root_ord") / PART_NODES))
+    parts = F.array_sort(F.collect_list(F.struct("root_ord", "content", "nodes")))
+    body = F.array_join(F.transform("x", lambda e: e["content"]), "\n")
+    size = F.aggregate("x", F.lit(0).cast("long"), lambda n, e: n + e["nodes"])
+    rows = dealt.groupBy(*by, "part").agg(parts.alias("x"))
+    return rows.select(*by, "part", F.get("x", F.lit(0))["root_ord"].alias("start"), F.size("x").alias("entries"), size.alias("nodes"), F.concat(head, body, F.lit("\n")).alias("content"))
+
+
+def document_parts(nodes: DataFrame) -> DataFrame:
+    """(path, region, part, start, entries, nodes, content): ``document_texts`` in parts of bounded size, which begin with node
+    ``start`` and are documents of their own.  The whole text is the first part, then the others without their heads."""
+    return _parts(entry_texts(nodes), ["path", "region"], _region_head())
 
 
 def section_entries(nodes: DataFrame, section: Column, source: Column) -> DataFrame:
@@ -225,18 +267,49 @@ def section_entries(nodes: DataFrame, section: Column, source: Column) -> DataFr
 
     This is the form to write at scale, a folder a section; ``section_texts`` makes the single files."""
     placed = nodes.withColumns({"region": section, "source": source})
-    return entry_texts(placed, F.col("source")).withColumnRenamed("region", "section").select("section", "source", "path", "root_ord", "content")
+    return entry_texts(placed, F.col("source")).withColumnRenamed("region", "section").select("section", "source", "path", "root_ord", "content", "nodes")
 
 
 def section_texts(entries: DataFrame, order: list[str] = ["path", "root_ord"]) -> DataFrame:  # noqa: B006
     """(section, entries, content): one YAML file a section.  A file is one row, as large as its section."""
-    return _joined(entries, ["section"], order, F.concat(F.lit("section: "), quoted(F.col("section")), F.lit("\nentries:\n")))
+    return _joined(entries, ["section"], order, _section_head())
+
+
+def section_parts(entries: DataFrame, first: list[str] = []) -> DataFrame:  # noqa: B006
+    """(section, first..., path, part, start, entries, nodes, content): a section's file in parts of bounded size, which are
+    section files of their own.
+
+    The file is the first part and then the others without their heads, by ``first``, path and part; ``start`` is the number
+    of nodes before a part."""
+    parts = _parts(entries, ["section", *first, "path"], _section_head())
+    order = [*first, "path", "part"]
+    before = Window.partitionBy("section").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # Only numbers go through the window.  With the contents held on to, both sides of the join read one shuffle of them.
+    places = parts.where(F.length("content") > 0).select("section", *order, F.coalesce(F.sum("nodes").over(before), F.lit(0)).alias("start"))
+    same = reduce(Column.__and__, [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in ("section", *order)])
+    return parts.alias("p").join(places.alias("q"), same).select("p.section", *[f"p.{c}" for c in order], "q.start", "p.entries", "p.nodes", "p.content")
+
+
+def _both(present: DataFrame, new: DataFrame) -> DataFrame:
+    return present.withColumn("batch", F.lit(0)).unionByName(new.withColumn("batch", F.lit(1)))
 
 
 def appended(present: DataFrame, new: DataFrame) -> DataFrame:
     """(section, entries, content): present entries in their order, new ones behind them."""
-    both = present.withColumn("batch", F.lit(0)).unionByName(new.withColumn("batch", F.lit(1)))
-    return section_texts(both, ["batch", "path", "root_ord"])
+    return section_texts(_both(present, new), ["batch", "path", "root_ord"])
+
+
+def appended_parts(present: DataFrame, new: DataFrame) -> DataFrame:
+    """``appended`` as ``section_parts``."""
+    return section_parts(_both(present, new), ["batch"])
+
+
+def read_parts(parts: DataFrame) -> DataFrame:
+    """SOURCED_NODES from (path, start, text): nodes of a part are numbered on from ``start``, as in the whole file or, for
+    parts of a document, with gaps where comments and outer nodes stood."""
+    named = parts.select(F.to_json(F.struct(F.col("start").cast("long").alias("s"), F.col("path").cast("string").alias("p"))).alias("path"), "text")
+    read_ = read(named).withColumn("at", F.from_json("path", "s long, p string"))
+    return read_.withColumns({"path": F.col("at.p"), **{n: F.col(n) + F.col("at.s") for n in ("node_ord", "parent_ord", "root_ord")}}).drop("at")
 
 
 def key_index(nodes: DataFrame) -> DataFrame:

@@ -169,3 +169,22 @@ def test_texts_are_read_as_streams(spark):
     tops = trees.entries(nodes)
     assert rows(tops.where("path = 'a'"), "uuid", "node_ord") == sorted(((str(i), 2 * i + 1) for i in range(300)), key=str)
     assert rows(tops.where("path <> 'a'"), "path", "uuid", "commented") == [("b", "c", True)]
+
+
+def test_parts_make_up_the_file(spark, monkeypatch):
+    """Parts are bounded, make up the texts that single rows hold, and are read back under the same ordinals."""
+    monkeypatch.setattr(documents, "PART_NODES", 6)
+    node = lambda p, i, child: (p, "R", "N" if not child else "C", i, i - 1 if child else None, i - 1 if child else i, int(child), i % 14 == 5, {"UUID": ("guid", f"{p}{i}", None, None)}, None)
+    nodes = spark.createDataFrame([node(p, i, i % 2) for p in ("a", "b") for i in range(40)], trees.NODES).repartition(3)
+    parts, whole = documents.document_parts(nodes), documents.document_texts(nodes)
+    assert parts.agg(F.max("nodes")).first()[0] <= 6 and parts.count() == 14
+    cells = lambda df: rows(df.where("error is null"), "path", "region", "node_id", "depth", "attrs", "source")
+    again = documents.read_parts(parts.select("path", "start", F.col("content").alias("text")))
+    assert cells(again) == cells(documents.read(whole.select("path", F.col("content").alias("text"))))
+    assert again.select("path", "node_ord").distinct().count() == again.count()
+    entries = documents.section_entries(nodes, F.when(F.col("path") == "a", "Races"), F.col("path"))
+    more = documents.section_entries(nodes, F.lit("Races"), F.lit("late"))
+    for parts, whole in ((documents.section_parts(entries), documents.section_texts(entries)), (documents.appended_parts(more, entries), documents.appended(more, entries))):
+        got = documents.read_parts(parts.select(F.col("section").alias("path"), "start", F.col("content").alias("text")))
+        want = documents.read(whole.select(F.col("section").alias("path"), F.col("content").alias("text")))
+        assert rows(got, *want.columns) == rows(want, *want.columns) and got.count() > 60
