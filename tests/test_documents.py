@@ -188,3 +188,10 @@ def test_parts_make_up_the_file(spark, monkeypatch):
         got = documents.read_parts(parts.select(F.col("section").alias("path"), "start", F.col("content").alias("text")))
         want = documents.read(whole.select(F.col("section").alias("path"), F.col("content").alias("text")))
         assert rows(got, *want.columns) == rows(want, *want.columns) and got.count() > 60
+
+
+def test_effects_are_parsed_once(spark):
+    texts = spark.createDataFrame([("a", effect('<component class="C"><properties><property id="p"><data><datum value="v"/></data></property></properties></component>')), ("b", "<effect")], "path string, text string")
+    for df, n in ((effects.data(effects.read(texts)), 1), (effects.data(effects.read(effects.render(effects.read(texts)).select("path", F.col("content").alias("text")))), 2)):
+        assert rows(df, "path", "value") == [("a", "v")]
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == n
